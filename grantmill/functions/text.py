@@ -16,6 +16,16 @@ _TOKEN_AFTER = (
 )
 
 
+def fence(c: Column) -> Column:
+    """The same value, but opaque to filter pushdown.
+
+    Without it the optimizer rewrites a filter on a result (or on an exploded
+    result) into the long expression behind it, which then runs twice and
+    grows with every layer.  Filter the input, not the result, to prune scans.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace (``trim`` only knows U+0020)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

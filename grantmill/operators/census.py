@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
-from ..functions.text import evidence_text
+from ..functions.text import evidence_text, fence
 from .lexicon import Lexicon
 from .matching import int_array, literal, match_terms, term_names
 from .ranking import top_k
@@ -29,7 +29,7 @@ def label_census(df: DataFrame, title: str, body: str, lexicon: Lexicon, method:
     allowed = F.when(F.col("anchor_matched"), int_array(lexicon.ids("keyword"))).otherwise(
         int_array(lexicon.ids("keyword", requires=None))
     )
-    df = df.withColumn("_kw", F.array_intersect("_h", allowed))
+    df = df.withColumn("_kw", fence(F.array_intersect("_h", allowed)))
     weights = literal([float(t.weight or 0.0) for t in lexicon.terms], "double")
 
     def score(ids):

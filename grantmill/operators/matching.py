@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (
     cue_pattern,
+    fence,
     keyword_in_context,
     matches_term,
     squeeze,
@@ -54,7 +55,7 @@ def string_array(values: Sequence[str]) -> Column:
 
 def _scan(df: DataFrame, text: str, terms: Sequence[Term], out: str) -> DataFrame:
     picks = [F.when(matches_term(F.col(text), t.term), F.lit(t.ord)).otherwise(F.lit(-1)) for t in terms]
-    return df.withColumn(out, F.array_remove(F.array(*picks), -1))
+    return df.withColumn(out, fence(F.array_remove(F.array(*picks), -1)))
 
 
 def _tokens(df: DataFrame, text: str, terms: Sequence[Term], out: str) -> DataFrame:
@@ -87,9 +88,8 @@ def _tokens(df: DataFrame, text: str, terms: Sequence[Term], out: str) -> DataFr
         literal(plan, "struct<i:int,k:string,p:string>"),
         lambda t: F.array_contains(F.col(found), t["k"]) & (t["p"].isNull() | F.rlike(F.col(text), t["p"])),
     )
-    return df.withColumn(
-        out, F.when(F.size(found) > 0, F.transform(candidates, lambda t: t["i"])).otherwise(int_array([]))
-    ).drop(words, found)
+    hit = F.when(F.size(found) > 0, F.transform(candidates, lambda t: t["i"])).otherwise(int_array([]))
+    return df.withColumn(out, fence(hit)).drop(words, found)
 
 
 def match_terms(
@@ -121,7 +121,8 @@ def explode_hits(df: DataFrame, lexicon: Lexicon, *keep: str, hits: str = "hits"
         "struct<term:string,role:string,category:string,lang:string,weight:double,ord:int>",
     )
     exploded = df.select(*keep, F.explode(hits).alias("__i"))
-    return exploded.select(*keep, F.element_at(attrs, F.col("__i") + 1).alias("__t")).select(*keep, "__t.*")
+    names = exploded.columns[:-1]
+    return exploded.select(*names, F.element_at(attrs, F.col("__i") + 1).alias("__t")).select(*names, "__t.*")
 
 
 def net_filter(df: DataFrame, text: str, phrases: Sequence[str], out: str = "matched_phrases") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import evidence_text
+from ..functions.text import evidence_text, fence
 from .lexicon import Lexicon
 from .matching import cue, int_array, literal, match_terms, string_array, term_names
 
@@ -203,7 +203,7 @@ def decide(df: DataFrame, rules: RuleSet) -> DataFrame:
         .when(tie, "tie_undecided")
         .otherwise("decisive")
     )
-    return df.withColumn("rule_path", path)
+    return df.withColumn("rule_path", fence(path))
 
 
 def _reason(rules: RuleSet) -> Column:

@@ -28,5 +28,5 @@ for n in names:
     took = time.time() - t0
     bad += bool(p)
     if p or took > 8:
-        print(("FAIL" if p else "slow"), n, f"{took:.1f}s", *p, flush=True)
+        print(("FAIL" if p else "slow"), n, f"{took:.1f}s", *[x[:600] for x in p], flush=True)
 print(len(names), "queries,", bad, "failing")

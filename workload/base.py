@@ -328,7 +328,7 @@ r0 AS (SELECT *, {sql_hits(text, lex)} AS hits, {cues} FROM {source}),
 r1 AS (SELECT *, (len({only('hits', lex.ids('anchor'))}) > 0 OR c_older_reference <> '') AS anchored FROM r0),
 r2 AS (SELECT *, list_filter(hits, lambda x: list_contains(CASE WHEN anchored THEN {sql_ids(lex.ids('keyword'))}
          ELSE {sql_ids(lex.ids('keyword', requires=None))} END, x)) AS kw FROM r1),
-r3 AS (SELECT *, CASE WHEN len(kw) = 0 THEN []::INT[] ELSE list_concat(kw, list_filter(hits, x ->
+r3 AS (SELECT *, CASE WHEN len(kw) = 0 THEN []::INT[] ELSE list_concat(kw, list_filter(hits, lambda x:
          (anchored AND list_contains({sql_ids(lex.ids('conditional', requires='anchor'))}, x))
          OR (c_developing <> '' AND list_contains({sql_ids(lex.ids('conditional', requires='dev_cues'))}, x)))) END AS votes FROM r2),
 r4 AS (SELECT *, {", ".join(cats)} FROM r3),
