@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.hashing import seeded, split_half
+from ..session import materialise
 from .ranking import keep_one, top_k
 
 
@@ -38,30 +39,50 @@ def gate_sample(
     ``df`` has record_id, label, source, confidence, llm_category.
     """
     bench = benchmark.select("record_id", F.lit(True).alias("is_bench"))
-    pool = df.join(bench, "record_id", "left").select(
-        "record_id", "label", "source",
-        boundary_flags(F.col("label"), F.col("confidence"), F.col("llm_category")).alias("flags"),
-        F.coalesce(F.col("is_bench"), F.lit(False)).alias("is_bench"),
-        seeded(F.col("record_id"), seed).alias("h"),
+    pool = materialise(
+        df.join(bench, "record_id", "left").select(
+            "record_id", "label", "source",
+            boundary_flags(F.col("label"), F.col("confidence"), F.col("llm_category")).alias("flags"),
+            F.coalesce(F.col("is_bench"), F.lit(False)).alias("is_bench"),
+            seeded(F.col("record_id"), seed).alias("h"),
+        ),
+        "gate-pool",
     )
-    forced = pool.filter("is_bench").withColumn("why", F.lit("benchmark"))
-    covered = forced.select("label", "source").distinct()
+    forced = pool.filter("is_bench")
     stratum = keep_one(pool.filter("NOT is_bench"), ["label", "source"], [F.col("h")]).join(
-        covered, ["label", "source"], "left_anti"
-    ).withColumn("why", F.lit("stratum_min"))
-    picked = forced.unionByName(stratum)
-    for flag in ("low_margin", "llm_disagree"):
-        rest = pool.filter(F.array_contains("flags", flag) & ~F.col("is_bench")).join(
-            picked.select("record_id"), "record_id", "left_anti"
-        )
-        picked = picked.unionByName(rest.orderBy("h").limit(quota).withColumn("why", F.lit(flag)))
-    rest = pool.filter("NOT is_bench").join(picked.select("record_id"), "record_id", "left_anti")
-    fill = top_k(rest, ["label"], [F.col("h")], target, "turn").orderBy("turn", "label").limit(target)
-    # the fill takes what the earlier picks leave of the target
-    room = picked.select(F.lit(target) - F.count(F.lit(1))).scalar()
-    w = Window.orderBy("turn", "label")  # at most ``target`` rows
-    fill = fill.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= room).drop("n", "turn").withColumn("why", F.lit("fill"))
-    return picked.unionByName(fill).select(
+        forced.select("label", "source").distinct(), ["label", "source"], "left_anti"
+    )
+    tagged = pool.filter("NOT is_bench").join(stratum.select("record_id", F.lit(True).alias("s")), "record_id", "left")
+    tagged = tagged.withColumn("s", F.coalesce("s", F.lit(False)))
+    free = tagged.filter("NOT s")
+
+    # everything the remaining steps can reach, bounded by quota and target
+    def flagged(name, n):
+        return free.filter(F.array_contains("flags", name)).orderBy("h").limit(n)
+
+    reach = tagged.filter("s").unionByName(flagged("low_margin", quota)).unionByName(flagged("llm_disagree", 2 * quota))
+    reach = reach.unionByName(top_k(free, ["label"], [F.col("h")], target + 2 * quota, "r").drop("r"))
+    reach = reach.dropDuplicates(["record_id"])
+
+    def rank_where(c, *order):
+        return F.when(c, F.row_number().over(Window.partitionBy(c).orderBy(*order)))
+
+    low = F.array_contains("flags", "low_margin") & ~F.col("s")
+    reach = reach.withColumn("low", F.coalesce(rank_where(low, "h") <= quota, F.lit(False)))
+    dis = F.array_contains("flags", "llm_disagree") & ~F.col("s") & ~F.col("low")
+    reach = reach.withColumn("dis", F.coalesce(rank_where(dis, "h") <= quota, F.lit(False)))
+    taken = F.col("s") | F.col("low") | F.col("dis")
+    turn = F.row_number().over(Window.partitionBy("label", taken).orderBy("h"))
+    reach = reach.withColumn("turn", turn).withColumn("n", rank_where(~taken, "turn", "label"))
+    used = F.sum(taken.cast("int")).over(Window.partitionBy())
+    room = forced.select(F.lit(target) - F.count(F.lit(1))).scalar() - used
+    why = (
+        F.when(F.col("s"), "stratum_min").when(F.col("low"), "low_margin").when(F.col("dis"), "llm_disagree")
+        .when(F.col("n") <= room, "fill")
+    )
+    picked = reach.select("record_id", "label", "source", "flags", why.alias("why")).filter("why IS NOT NULL")
+    out = picked.unionByName(forced.select("record_id", "label", "source", "flags", F.lit("benchmark").alias("why")))
+    return out.select(
         "record_id", "label", "source", "why", "flags", split_half(F.col("record_id"), seed).alias("split"),
         F.concat_ws("|", "label", "source").alias("stratum"),
     )
@@ -95,7 +116,7 @@ def quota_sample(
         n = F.lit(half_even(size * part))
         quota = F.when(c, n) if quota is None else quota.when(c, n)
     # at most ``size`` per stratum can be needed, for quota and top-up together
-    ranked = top_k(pool, ["stratum"], [F.col("h")], size, "r", salt="h")
+    ranked = materialise(top_k(pool, ["stratum"], [F.col("h")], size, "r", salt="h"), "study-pool")
     chosen = ranked.filter(F.col("r") <= quota)
     leftover = ranked.filter(F.col("r") > quota).orderBy("h").limit(size)
     room = chosen.select(F.lit(size) - F.count(F.lit(1))).scalar()
