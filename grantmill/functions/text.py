@@ -128,11 +128,23 @@ def cased_tokens(text: Column) -> Column:
     )
 
 
-def keyword_in_context(text: Column, pattern: Column | str, width: int = 70) -> Column:
-    """First match with ``width`` characters either side, newlines as spaces."""
+def url_quote(c: Column) -> Column:
+    """Percent-encoding of a path or query value ('/' and '~' stay)."""
+    out = F.url_encode(c)
+    for old, new in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def keyword_in_context(text: Column, pattern: Column | str, width: int = 70, fold: bool = True) -> Column:
+    """First match with ``width`` characters either side, newlines as spaces.
+
+    ``fold`` searches the lower-cased text; the window keeps its own case.
+    """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    at = F.regexp_instr(F.lower(text), p)
-    hit = F.length(F.regexp_substr(F.lower(text), p))
+    searched = F.lower(text) if fold else text
+    at = F.regexp_instr(searched, p)
+    hit = F.length(F.regexp_substr(searched, p))
     start = F.greatest(at - width, F.lit(1))
     window = text.substr(start, at + hit + width - start)
     return F.when(at > 0, F.replace(window, F.lit("\n"), F.lit(" "))).otherwise("")

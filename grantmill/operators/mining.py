@@ -140,7 +140,7 @@ def mine_candidates(
         F.col("a").alias("n_pos"), F.col("b").alias("n_bg"), F.round("lift", 2).alias("lift"),
         F.round(F.col("eur") / 1e6, 2).alias("eur_pos_m"),
         (F.col("gram").isin(traps) if traps else F.lit(False)).alias("is_trap"),
-        "example_record_id", keyword_in_context(F.col("text"), pattern).alias("context"),
+        "example_record_id", keyword_in_context(F.col("text"), pattern, fold=False).alias("context"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.dates import in_window, leading_year
 from ..functions.money import comma_decimal, plain_decimal, to_eur
-from ..functions.text import evidence_text, first_non_empty, strip, title_key
+from ..functions.text import evidence_text, first_non_empty, strip, title_key, url_quote
 from .matching import net_filter
 from .ranking import keep_one
 
@@ -100,7 +100,7 @@ def swecris(raw: DataFrame, retrieved_at: str, order: str = "ord", phrase: str =
         ~only_broad(F.col("phrases")) & in_window(year, vocab.FIRST_YEAR, vocab.LAST_YEAR) & (title != "")
     )
     named = rename_collisions(kept, "ProjectId", "FundingOrganisationId", order, "swecris")
-    quoted = F.replace(F.url_encode(F.col("ProjectId")), F.lit("+"), F.lit("%20"))
+    quoted = url_quote(F.col("ProjectId"))
     return named.select(
         *_census(
             "swecris", record_id=F.col("record_id"), source_id=F.col("ProjectId"), title=title,
