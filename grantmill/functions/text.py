@@ -26,6 +26,12 @@ def fence(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
+def explode_once(c: Column) -> Column:
+    """Explode a computed array without evaluating it a second time (the
+    optimizer would otherwise filter on its size below the explode)."""
+    return F.explode(fence(c))
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace (``trim`` only knows U+0020)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -150,15 +150,16 @@ def study_coverage(batch: DataFrame, judgments: DataFrame) -> DataFrame:
 
 
 def shared_label_counts(
-    judgments: DataFrame, answer: str, labels: Sequence[str], block: int = 512, item_block: int = 2048
+    judgments: DataFrame, answer: str, labels: Sequence[str], block: int = 256, item_block: int = 2048
 ) -> DataFrame:
-    """``(a, b, label_a, label_b, n)`` over the items both annotators a < b did.
-
-    Annotators are hashed to blocks and items to groups.  One task sees the
-    judgments of two annotator blocks on one item group and counts co-labels
-    by a matrix product, so pairs are formed per annotator pair, not per item,
-    and one hot item spreads over all block pairs.  Both block counts follow
-    from the data, which bounds the matrices of a task.
+    """``(a, b, c_0 .. c_kk)``: co-label counts of annotators a < b.
+
+    Cell ``x * k + y`` counts the shared items that a gave label x and b gave
+    label y.  Annotators are hashed to blocks and items to groups; one task
+    sees two annotator blocks on one item group and counts by a matrix
+    product.  No pair is formed per item, and one hot item spreads over all
+    block pairs.  Both block counts follow from the data, which bounds the
+    matrices of a task.
     """
     import numpy as np
     import pandas as pd
@@ -170,49 +171,52 @@ def shared_label_counts(
     known = judgments.filter(F.col(answer).isin(list(labels)))
     code = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(answer)).cast("int") - 1
     rows = known.select(
-        F.col("labeller_id").alias("who"), F.col("record_id").cast("string").alias("item"), code.alias("code"),
+        F.col("labeller_id").alias("who"), F.xxhash64("record_id").alias("item"), code.alias("code"),
         F.pmod(F.xxhash64("labeller_id"), blocks).alias("mine"), F.pmod(F.xxhash64("record_id"), item_groups).alias("part"),
-        F.sequence(F.lit(0).cast("bigint"), blocks - 1).alias("others"),
-    ).withColumn("other", F.explode("others"))
+        F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"),
+    )
     rows = rows.select("who", "item", "code", "mine", "part", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
     k = len(labels)
+    cells = [f"c_{i}" for i in range(k * k)]
     who_type = judgments.schema["labeller_id"].dataType.simpleString()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
         items = pd.factorize(pdf["item"])[0]
-        size = items.max() + 1
         sides = []
         for b in (lo, hi):
             keep = (pdf["mine"] == b).to_numpy()
             who, names = pd.factorize(pdf["who"][keep])
-            m = np.zeros((len(names) * k, size), dtype=np.float32)
+            m = np.zeros((len(names) * k, items.max() + 1), dtype=np.float32)
             m[who * k + pdf["code"].to_numpy()[keep], items[keep]] = 1
-            sides.append((m, names.to_numpy()))
+            sides.append((m, np.asarray(names)))
         (m1, n1), (m2, n2) = sides
-        product = m1 @ m2.T
-        i, j = np.nonzero(product)
-        a, b = n1[i // k], n2[j // k]
-        out = pd.DataFrame({"a": a, "b": b, "la": i % k, "lb": j % k, "n": product[i, j].astype("int64")})
-        swap = out["a"] > out["b"]
-        out.loc[swap, ["a", "b", "la", "lb"]] = out.loc[swap, ["b", "a", "lb", "la"]].to_numpy()
-        out = out[out["a"] != out["b"]]
-        # within one block every pair appears in both orders
-        return out.drop_duplicates() if lo == hi else out
-
-    partial = rows.groupBy("part", "lo", "hi").applyInPandas(count, f"a {who_type}, b {who_type}, la int, lb int, n bigint")
-    return partial.groupBy("a", "b", "la", "lb").agg(F.sum("n").alias("n"))
+        if not len(n1) or not len(n2):
+            return pd.DataFrame(columns=["a", "b", *cells])
+        table = (m1 @ m2.T).astype("int64").reshape(len(n1), k, len(n2), k).transpose(0, 2, 1, 3).reshape(-1, k, k)
+        a, b = np.repeat(n1, len(n2)), np.tile(n2, len(n1))
+        swap = a > b
+        # within one block every pair comes in both orders; one is enough
+        keep = (a != b) & (table.sum(axis=(1, 2)) > 0) & (~swap if lo == hi else True)
+        table[swap] = table[swap].transpose(0, 2, 1)
+        out = pd.DataFrame(table[keep].reshape(-1, k * k), columns=cells)
+        out.insert(0, "a", np.where(swap, b, a)[keep])
+        out.insert(1, "b", np.where(swap, a, b)[keep])
+        return out
+
+    schema = f"a {who_type}, b {who_type}, " + ", ".join(f"{c} bigint" for c in cells)
+    partial = rows.groupBy("part", "lo", "hi").applyInPandas(count, schema)
+    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in cells])
 
 
 def cohen_kappa(judgments: DataFrame, answer: str = "geroscience", labels: Sequence[str] = tuple(ANSWERS)) -> DataFrame:
     """Kappa of every annotator pair over its shared items; null if undefined."""
-    cells = shared_label_counts(judgments, answer, labels)
-    agg = cells.groupBy("a", "b").agg(
-        F.sum("n").alias("shared"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("n")).otherwise(0)).alias("same"),
-        *[F.sum(F.when(F.col("la") == i, F.col("n")).otherwise(0)).alias(f"a_{i}") for i in range(len(labels))],
-        *[F.sum(F.when(F.col("lb") == i, F.col("n")).otherwise(0)).alias(f"b_{i}") for i in range(len(labels))],
-    )
+    t = shared_label_counts(judgments, answer, labels)
+    k = len(labels)
+    cell = lambda x, y: F.col(f"c_{x * k + y}")
+    n = sum(cell(x, y) for x in range(k) for y in range(k))
+    t = t.withColumn("shared", n)
     n = F.col("shared")
-    expected = sum((F.col(f"a_{i}") / n) * (F.col(f"b_{i}") / n) for i in range(len(labels)))
-    observed = F.col("same") / n
-    return agg.select("a", "b", "shared", F.when(expected < 1, F.round((observed - expected) / (1 - expected), 6)).alias("kappa"))
+    observed = sum(cell(x, x) for x in range(k)) / n
+    expected = sum((sum(cell(x, y) for y in range(k)) / n) * (sum(cell(y, x) for y in range(k)) / n) for x in range(k))
+    return t.select("a", "b", "shared", F.when(expected < 1, F.round((observed - expected) / (1 - expected), 6)).alias("kappa"))

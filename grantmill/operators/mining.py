@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.money import MONEY
-from ..functions.text import cased_tokens, distinct_grams, keyword_in_context, title_key
+from ..functions.text import cased_tokens, distinct_grams, explode_once, keyword_in_context, title_key
 from .lexicon import Lexicon, Term
 from .lexicon_stats import proxy_of
 from .matching import covered, match_terms
@@ -23,12 +23,12 @@ from .ranking import top_k
 
 def grams(df: DataFrame, record_id: str, text: str, stopwords: Iterable[str] = vocab.BASE_STOPWORDS, max_n: int = 3) -> DataFrame:
     """One row per document and distinct gram."""
-    return df.select(record_id, F.explode(distinct_grams(F.col(text), stopwords, max_n)).alias("gram"))
+    return df.select(record_id, explode_once(distinct_grams(F.col(text), stopwords, max_n)).alias("gram"))
 
 
 def proper_tokens(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """Tokens seen at least twice and capitalised mid-sentence in 80% of uses."""
-    rows = df.select(record_id, F.explode(cased_tokens(F.col(text))).alias("p")).select(
+    rows = df.select(record_id, explode_once(cased_tokens(F.col(text))).alias("p")).select(
         record_id, F.lower("p.token").alias("token"),
         ((F.col("p.after") == "") & F.col("p.token").rlike(r"^\p{Lu}")).alias("upper"),
     )
@@ -85,7 +85,7 @@ def scored_grams(
     docs: DataFrame, stopwords: Iterable[str], categories: Sequence[str] = vocab.CATEGORIES, min_pos: int = 3
 ) -> DataFrame:
     """``(gram, category, a, b, n_pos, n_bg, lift)`` for grams with a >= min_pos."""
-    per_doc = docs.select("expert", "blind", F.explode(distinct_grams(F.col("text"), stopwords)).alias("gram"))
+    per_doc = docs.select("expert", "blind", explode_once(distinct_grams(F.col("text"), stopwords)).alias("gram"))
     counts = gram_counts(per_doc, categories).filter(F.col("a") >= min_pos)
     # the totals have one row per category of the vocabulary
     j = counts.join(F.broadcast(title_totals(docs, categories)), "category")
@@ -110,7 +110,7 @@ def mine_candidates(
 
     where = docs.filter("blind").select(
         "record_id", F.col("expert").alias("category"), "title_key", "amount", F.length("text").alias("chars"),
-        F.explode(distinct_grams(F.col("text"), stopwords)).alias("gram"),
+        explode_once(distinct_grams(F.col("text"), stopwords)).alias("gram"),
     ).join(passing.select("gram", "category"), ["gram", "category"], "left_semi")
     # longest text first, then the lowest record id
     by_title = where.groupBy("category", "gram", "title_key").agg(
@@ -250,7 +250,7 @@ def log_odds(docs: DataFrame, label: str, text: str, stopwords: Iterable[str], c
         F.struct(F.lit(c).alias("category"), F.col(f"in_{i}").alias("in_docs"), (F.col("all") - F.col(f"in_{i}")).alias("out_docs"))
         for i, c in enumerate(categories)
     ])).alias("t")).select("t.*")
-    rows = docs.select(F.col(label).alias("label"), F.explode(distinct_grams(F.col(text), stopwords, max_n)).alias("gram"))
+    rows = docs.select(F.col(label).alias("label"), explode_once(distinct_grams(F.col(text), stopwords, max_n)).alias("gram"))
     agg = rows.groupBy("gram").agg(
         F.count(F.lit(1)).alias("df"), *[F.count_if(F.col("label") == c).alias(f"a_{i}") for i, c in enumerate(categories)]
     ).filter(F.col("df") >= min_docs)
@@ -276,7 +276,7 @@ def entity_funnel(
     listed = names.select(words.alias("gram"))
     unique = listed.filter("gram <> ''").distinct()
     usable = unique.filter(F.length("gram") >= 3)
-    found = docs.select(F.col(label).alias("label"), F.explode(distinct_grams(F.col(text), [], max_n, 1)).alias("gram"))
+    found = docs.select(F.col(label).alias("label"), explode_once(distinct_grams(F.col(text), [], max_n, 1)).alias("gram"))
     hits = found.join(usable, "gram", "left_semi").groupBy("gram").agg(
         F.count(F.lit(1)).alias("hits"), F.count_if(F.col("label") == category).alias("ok")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.hashing import fingerprint
-from ..functions.text import is_slug
+from ..functions.text import explode_once, is_slug
 
 ID, COUNTRY = r"^[a-z]{2}-[0-9]{3}\z", r"^[A-Z]{2}\z"
 DATE = r"^\d{4}(-\d{2}(-\d{2})?)?\z"
@@ -30,20 +30,17 @@ def _report(checks: Sequence[tuple[Column, str | Column]]) -> Column:
     )
 
 
-def _field(raw: Column, name: str) -> Column:
-    """A text field, null when absent or not a JSON string."""
-    return F.when(F.get_json_object(raw, f"$.{name}").isNotNull(), F.from_json(raw, f"`{name}` STRING")[name])
-
-
 def finding_violations(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Violations of finding records given as JSON text in ``raw``.
 
     The raw object is inspected, so unexpected fields and non-text values show.
     """
     r = F.col(raw)
-    keys = F.json_object_keys(r)
-    is_text = lambda n: F.get(F.regexp_extract_all(r, F.lit(rf'"{n}"\s*:\s*(")'), F.lit(1)), F.lit(0)).isNotNull()
-    text = lambda n: F.when(is_text(n), F.get_json_object(r, f"$.{n}"))
+    # one parse per record; values of any JSON type arrive as text
+    df = df.withColumn("__m", F.from_json(r, "map<string,string>"))
+    keys, text = F.map_keys("__m"), lambda n: F.try_element_at("__m", F.lit(n))
+    # where a number or object could pass for text, look at the raw value
+    quoted = lambda n: F.when(r.rlike(rf'"{n}"\s*:\s*"'), text(n))
     kind, fid, country = text("type"), text("id"), text("country")
     finding = F.coalesce(kind == "finding", F.lit(False))
     required = F.when(finding, F.array(*map(F.lit, vocab.FINDING_REQUIRED))).otherwise(F.array(*map(F.lit, vocab.NOTHING_REQUIRED)))
@@ -51,7 +48,7 @@ def finding_violations(df: DataFrame, raw: str = "raw") -> DataFrame:
         F.array(*map(F.lit, vocab.NOTHING_REQUIRED + vocab.NOTHING_OPTIONAL))
     )
     both = _like(fid, ID) & _like(country, COUNTRY)
-    claim = F.coalesce(text("claim"), F.lit(""))
+    claim = F.coalesce(quoted("claim"), F.lit(""))
     fixed = _report([
         (~_in(kind, ["finding", "nothing_reliable_found"]), "bad type"),
         (~_like(fid, ID), "bad id"),
@@ -62,13 +59,13 @@ def finding_violations(df: DataFrame, raw: str = "raw") -> DataFrame:
         (finding & ~_in(text("confidence"), list(vocab.CONFIDENCE_WEIGHT)), "bad confidence"),
         (finding & ~F.length(claim).between(20, 700), "claim length"),
         (finding & ~F.startswith(F.coalesce(text("source_url"), F.lit("")), F.lit("https://")), "source_url must be https"),
-        (finding & ~_like(text("source_date"), DATE), "bad source_date"),
-        (~finding & (F.length(F.coalesce(text("search_note"), F.lit(""))) < 20), "search_note too short"),
+        (finding & ~_like(quoted("source_date"), DATE), "bad source_date"),
+        (~finding & (F.length(F.coalesce(quoted("search_note"), F.lit(""))) < 20), "search_note too short"),
     ])
     missing = F.transform(F.array_except(required, keys), lambda k: F.concat(F.lit("missing field "), k))
     extra = F.transform(F.array_except(keys, allowed), lambda k: F.concat(F.lit("unexpected field "), k))
     listed = F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(F.concat(missing, extra, fixed))
-    return df.withColumn("violation", F.explode(listed))
+    return df.withColumn("violation", explode_once(listed)).drop("__m")
 
 
 def verdict_violations(df: DataFrame, key: str = "key") -> DataFrame:
@@ -88,7 +85,7 @@ def verdict_violations(df: DataFrame, key: str = "key") -> DataFrame:
         (~F.col("reviewed").eqNullSafe(reviewed), "reviewed flag inconsistent"),
         (~F.col("correct").eqNullSafe(reviewed & correct), "correct flag inconsistent"),
     ])
-    return df.withColumn("violation", F.explode(bad))
+    return df.withColumn("violation", explode_once(bad))
 
 
 JUDGE_FIELDS = ["verdict", "reason"]
@@ -139,7 +136,7 @@ def judge_mark_violations(df: DataFrame, key: str = "key", raw: str = "raw") ->
         ]),
         F.coalesce(nested, F.array().cast("array<string>")),
     )
-    return df.withColumn("violation", F.explode(F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(bad)))
+    return df.withColumn("violation", explode_once(F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(bad)))
 
 
 def duplicate_ids(df: DataFrame, key: str) -> DataFrame:

@@ -22,6 +22,13 @@ def read_census(spark: SparkSession, paths: Sequence[str] | str, partitions: int
     return df.repartition(partitions) if partitions else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores when it has fewer splits than cores (one
+    small or unsplittable file).  A large scan is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_csv(
     spark: SparkSession, paths: Sequence[str] | str, required: Sequence[str], expected: int | None = None,
     separator: str = ",", strip_nul: bool = False,

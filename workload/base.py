@@ -11,6 +11,7 @@ from grantmill.functions.text import evidence_text
 from grantmill.operators.agreement import latest_judgments
 from grantmill.operators.lexicon import Lexicon, Term
 from grantmill.operators.rules import RuleSet
+from grantmill.sources.readers import spread
 from grantmill import vocab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,7 +198,7 @@ counts AS (
 def documents(t: Tables) -> DataFrame:
     """Whole texts; the title is the first line and the body the rest."""
     title = F.substring_index("text", "\n", 1)
-    return t.documents.select(
+    return spread(t.documents).select(
         F.col("doc_id").alias("record_id"), title.alias("title"),
         F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 2)").alias("abstract"),
         F.lower("text").alias("t"), "text", "lang", "source", F.col("n_chars").cast("decimal(18,2)").alias("amount_eur"),

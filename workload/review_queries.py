@@ -8,6 +8,7 @@ from grantmill import vocab
 from grantmill.functions import hashing, stats
 from grantmill.functions.text import csv_cell_guard
 from grantmill.operators import adjudication, gate, index, ranking, sampling, validation
+from grantmill.sources.readers import spread
 
 from .base import (
     ARD, CARE, CUSTOMERS, FA, INT, JUDGMENTS, MARK_LABEL, RULED, RULED_EXPERTS, Tables, case, judgments, labelled_customers,
@@ -302,7 +303,7 @@ def validation_report(t):
         F.when(e % 7 == 0, "2/2024").otherwise("2024-01").alias("source_date"), F.lit("high").alias("confidence"),
         F.lit("2024-01-02T03:04:05Z").alias("retrieved_at"),
     ))
-    v = validation.finding_violations(t.events.select("event_id", raw.alias("raw")))
+    v = validation.finding_violations(spread(t.events).select("event_id", raw.alias("raw")))
     return v.groupBy("violation").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 

@@ -115,11 +115,11 @@ WORDS = f"{DOCUMENTS}, w AS (SELECT record_id, source, amount_eur, text, regexp_
 
 
 def words(t):
-    from grantmill.functions.text import distinct_grams, title_key
+    from grantmill.functions.text import distinct_grams, explode_once, title_key
 
     d = documents(t)
     return d.select("record_id", "source", F.col("amount_eur").alias("amount"), F.length("text").alias("chars"), "text", title_key(F.col("title")).alias("title_key"),
-                    F.explode(distinct_grams(F.col("text"), STOP, 1)).alias("gram"))
+                    explode_once(distinct_grams(F.col("text"), STOP, 1)).alias("gram"))
 
 
 @query("money_by_title_key", f"WITH {WORDS}, o AS (SELECT gram, title_key, arg_min(amount_eur, record_id) AS m FROM w GROUP BY 1, 2) SELECT gram, count(*) AS titles, CAST(sum(m) AS DOUBLE) AS amount FROM o GROUP BY 1")
