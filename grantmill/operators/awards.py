@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import importlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,17 +79,27 @@ def predictor(spec: str | Callable | None) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.withColumn("predicted", apply(F.col("text")))
 
 
-def binary_score(df: DataFrame, predicted: str, actual: Column, value: str) -> DataFrame:
-    """Counts, precision, recall, F1 and misassigned money in one aggregate."""
-    p, a, v = F.col(predicted), F.coalesce(actual, F.lit(False)), F.col(value).cast(MONEY)
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
-    agg = df.agg(
-        F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"), F.count_if(~p & ~a).alias("tn"),
-        zero(F.when(p & ~a, v)).alias("wrongly_included"), zero(F.when(~p & a, v)).alias("missed"),
-    )
+def binary_scores(df: DataFrame, predicted: str, runs: Mapping[str, tuple[Column, Column]], value: str) -> DataFrame:
+    """Counts, precision, recall, F1 and misassigned money per run.
+
+    A run is (rows to score, truth); all runs share one scan and one aggregate.
+    """
+    p, v = F.col(predicted), F.col(value).cast(MONEY)
+    names = ["tp", "fp", "fn", "tn", "wrongly_included", "missed"]
+    sums = []
+    for i, (where, truth) in enumerate(runs.values()):
+        w, a = F.coalesce(where, F.lit(False)), F.coalesce(truth, F.lit(False))
+        cells = [w & p & a, w & p & ~a, w & ~p & a, w & ~p & ~a]
+        sums += [F.count_if(c).alias(f"{n}_{i}") for n, c in zip(names, cells)]
+        for n, c in zip(names[4:], cells[1:3]):
+            sums.append(F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("double").alias(f"{n}_{i}"))
+    rows = F.array(*[
+        F.struct(F.lit(run).alias("run"), *[F.col(f"{n}_{i}").alias(n) for n in names]) for i, run in enumerate(runs)
+    ])
+    agg = df.agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
     precision, recall = stats.share(F.col("tp"), F.col("tp") + F.col("fp")), stats.share(F.col("tp"), F.col("tp") + F.col("fn"))
     return agg.select(
-        "tp", "fp", "fn", "tn", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
+        "run", "tp", "fp", "fn", "tn", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
         F.round(stats.f1(precision, recall), 6).alias("f1"), "wrongly_included", "missed",
     )
 
@@ -105,17 +115,13 @@ def first_slot(categories: str, category: str) -> Column:
 def score_awards(awards: DataFrame, predict=None, category: str = vocab.CANCER_CATEGORY) -> DataFrame:
     """Three scores: any slot, first slot, and any slot with redacted rows."""
     rows = predictor(predict)(ground_truth(awards).withColumn("text", award_text())).withColumn("redacted", is_redacted(F.col("text")))
-    scoreable = rows.filter("NOT redacted")
-    runs = [
-        ("any_category", scoreable, any_slot("health_categories", category)),
-        ("primary_category", scoreable, first_slot("health_categories", category)),
-        ("including_redacted", rows, any_slot("health_categories", category)),
-    ]
-    out = None
-    for name, df, truth in runs:
-        one = binary_score(df, "predicted", truth, "value_gbp").withColumn("run", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    clean, anywhere = ~F.col("redacted"), any_slot("health_categories", category)
+    runs = {
+        "any_category": (clean, anywhere),
+        "primary_category": (clean, first_slot("health_categories", category)),
+        "including_redacted": (F.lit(True), anywhere),
+    }
+    return binary_scores(rows, "predicted", runs, "value_gbp")
 
 
 def apportioned_profile(df: DataFrame, groups: str, value: str) -> DataFrame:

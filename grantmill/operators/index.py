@@ -90,9 +90,12 @@ def checks_reviewed(checks: Column) -> Column:
 
 def accuracy(verdicts: DataFrame, country: str = "country") -> DataFrame:
     """Correct over reviewed per country and overall."""
-    c = F.col(country)
-    agg = verdicts.groupingSets([[c], []], c).agg(
-        F.grouping_id().alias("gid"), F.count_if("reviewed").alias("reviewed"), F.count_if(F.col("reviewed") & F.col("correct")).alias("correct")
+    c = F.col("country")
+    cells = verdicts.groupBy(F.col(country).alias("country")).agg(
+        F.count_if("reviewed").alias("reviewed"), F.count_if(F.col("reviewed") & F.col("correct")).alias("correct")
+    )
+    agg = cells.groupingSets([[c], []], c).agg(
+        F.grouping_id().alias("gid"), F.sum("reviewed").alias("reviewed"), F.sum("correct").alias("correct")
     )
     return agg.select(
         F.when(F.col("gid") == 1, "all").otherwise(c).alias("country"), "reviewed", "correct",

@@ -159,10 +159,11 @@ def agreement_by_label(
     A record without an expert label counts and does not agree.
     """
     same = F.coalesce(F.col(label) == F.col(expert), F.lit(False))
-    agg = df.groupingSets([[F.col(label)], []], F.col(label)).agg(
-        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.count_if(same).alias("agreeing")
+    cells = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("agreeing"))
+    agg = cells.groupingSets([[F.col("label")], []], F.col("label")).agg(
+        F.grouping_id().alias("gid"), F.sum("n").alias("n"), F.sum("agreeing").alias("agreeing")
     )
-    name = F.when(F.col("gid") == 1, "overall").otherwise(F.col(label))
+    name = F.when(F.col("gid") == 1, "overall").otherwise(F.col("label"))
     known = F.lit(None).cast("double")
     for k, v in baseline.items():
         known = F.when(name == k, F.lit(v)).otherwise(known)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.money import MONEY
 from ..functions.text import cased_tokens, distinct_grams, explode_once, keyword_in_context, title_key
+from ..session import materialise
 from .lexicon import Lexicon, Term
 from .lexicon_stats import proxy_of
 from .matching import covered, match_terms
@@ -101,12 +102,13 @@ def mine_candidates(
     ``docs`` as in ``prepare``'s input.  Ten columns: category, term, words,
     n_pos, n_bg, lift, eur_pos_m, is_trap, example_record_id, context.
     """
-    docs = prepare(docs, categories)
+    # expert-labelled records only; several steps need them, so read rules once
+    docs = materialise(prepare(docs, categories), "mining-docs")
     known = Lexicon.of(t for t in lexicon.terms if t.role in ("keyword", "anchor", "exclusion"))
     passing = scored_grams(docs, stopwords, categories, min_pos).filter(
         (F.col("lift") >= min_lift) & ((F.size(F.split("gram", " ")) > 1) | (F.col("b") == 0))
     )
-    passing = covered("gram", known, passing).filter("NOT covered").drop("covered")
+    passing = materialise(covered("gram", known, passing).filter("NOT covered").drop("covered"), "mining-passing")
 
     where = docs.filter("blind").select(
         "record_id", F.col("expert").alias("category"), "title_key", "amount", F.length("text").alias("chars"),
@@ -120,7 +122,7 @@ def mine_candidates(
     extras = by_title.groupBy("category", "gram").agg(
         F.sum("amount").cast("double").alias("eur"), F.min("best").alias("best")
     ).select("category", "gram", "eur", F.col("best.record_id").alias("example_record_id"))
-    found = passing.join(extras, ["category", "gram"])
+    found = materialise(passing.join(extras, ["category", "gram"]), "mining-found")
 
     examples = found.select(F.col("example_record_id").alias("record_id")).distinct()
     example_docs = docs.select("record_id", "text").join(examples, "record_id", "left_semi")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -64,8 +64,11 @@ def ratio_rollup(
 ) -> DataFrame:
     """Grand total, regions and (region, funder) pairs in one pass."""
     r, f = F.col(region), F.col(funder)
-    agg = df.groupingSets([[r, f], [r], []], r, f).agg(
-        F.grouping_id().alias("gid"), *measures(F.col(label), F.col(amount))
+    # cells first: the grouping sets then expand cells, not grants
+    cells = df.groupBy(r, f).agg(*measures(F.col(label), F.col(amount)))
+    names = [c for c in cells.columns if c not in (region, funder)]
+    agg = cells.groupingSets([[r, f], [r], []], r, f).agg(
+        F.grouping_id().alias("gid"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]
     )
     level = F.when(F.col("gid") == 0, "funder").when(F.col("gid") == 1, "region").otherwise("total")
     return finish(agg.withColumn("level", level), "level", region, funder)
@@ -81,8 +84,6 @@ def category_distribution(
         F.sum(F.col(amount_eur).cast(MONEY)).alias("eur"),
     )
     # the window runs over cells: at most one row per category and group
-    from pyspark.sql import Window
-
     whole = F.sum("n").over(Window.partitionBy(*[F.col(b) for b in by]))
     return cells.select(
         *by, "category", "n",

@@ -32,7 +32,7 @@ def latest_per_key(events: DataFrame) -> DataFrame:
 
 def run_state(
     events: DataFrame, state_path: str, checkpoint: str, known: DataFrame | None = None,
-    rejected_path: str | None = None, on_batch: Callable[[DataFrame, int], None] | None = None, once: bool = True,
+    on_batch: Callable[[DataFrame, int], None] | None = None, once: bool = True,
 ) -> StreamingQuery:
     """Start the state stream over judgment events.
 
@@ -41,23 +41,27 @@ def run_state(
     lists the valid records.  ``on_batch`` gets the state after each write.
     """
     spark = events.sparkSession
-    judged = split_judgments(events, known)
-    good = judged.filter("rejected IS NULL").drop("rejected")
+    good = split_judgments(events, known).filter("rejected IS NULL").drop("rejected")
 
     def write(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
         if on_batch:
             on_batch(current_state(spark, state_path), batch_id)
 
-    if rejected_path:
-        bad = judged.filter("rejected IS NOT NULL").writeStream.option("checkpointLocation", f"{checkpoint}-rejected")
-        bad = bad.trigger(availableNow=True) if once else bad
-        bad.format("parquet").option("path", rejected_path).start()
     writer = latest_per_key(good).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer
     return writer.foreachBatch(write).start()
 
 
+def run_rejected(
+    events: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None, once: bool = True
+) -> StreamingQuery:
+    """Keep rejected events, with the reason, in a table of their own."""
+    bad = split_judgments(events, known).filter("rejected IS NOT NULL")
+    writer = bad.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def current_state(spark: SparkSession, state_path: str) -> DataFrame:
     """Latest row per key; an undone judgment (null answer) is not shown."""
     rows = spark.read.option("basePath", state_path).parquet(f"{state_path}/batch_id=*")

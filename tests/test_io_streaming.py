@@ -11,7 +11,7 @@ from grantmill.operators.ratio import ratio_rollup
 from grantmill.plans import lexicon_loop
 from grantmill.operators.rules import RuleSet
 from grantmill.sources import readers, writers
-from grantmill.streaming.judgments import batch_state, compact, current_state, run_state, without_undone
+from grantmill.streaming.judgments import batch_state, compact, current_state, run_rejected, run_state, without_undone
 from lexicons import small_lexicon
 
 
@@ -112,6 +112,9 @@ def test_stream_equals_batch(spark, folder):
         stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
         q = run_state(stream, f"{folder}/state", f"{folder}/cp", known=known, on_batch=lambda s, b: seen.append(b))
         q.awaitTermination()
+    run_rejected(spark.readStream.schema(EVENT).json(f"{folder}/in"), f"{folder}/bad", f"{folder}/cp-bad", known).awaitTermination()
+    bad = {(r.seq, r.rejected) for r in spark.read.parquet(f"{folder}/bad").collect()}
+    assert bad == {(3, "labeller_id must be a slug"), (5, "unknown answer"), (8, "unknown record")}
     state = current_state(spark, f"{folder}/state")
     log = spark.read.schema(EVENT).json(f"{folder}/in").join(known, "record_id", "left_semi")
     want = {tuple(r) for r in batch_state(log).select("record_id", "labeller_id", "geroscience", "seq").collect()}

@@ -487,14 +487,11 @@ def human_awards(t):
 )
 def binary_money_score(t):
     rows = awards.ground_truth(human_awards(t))
-    clean = rows.filter("NOT redacted")
+    clean = ~F.col("redacted")
     any_slot = awards.any_slot("health_categories", "toxic") | awards.any_slot("health_categories", "low quality")
     first = awards.first_slot("health_categories", "low quality")
-    out = None
-    for name, df, truth in (("any", clean, any_slot), ("first", clean, first), ("with_redacted", rows, any_slot)):
-        one = awards.binary_score(df, "predicted", truth, "value_gbp").withColumn("run", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    runs = {"any": (clean, any_slot), "first": (clean, first), "with_redacted": (F.lit(True), any_slot)}
+    return awards.binary_scores(rows, "predicted", runs, "value_gbp")
 
 
 @query(
