@@ -304,7 +304,7 @@ def rules_sql(rules: RuleSet, source: str, text: str) -> str:
     """CTE ``ruled`` with label, rule_path and scores for each row of ``source``."""
     lex = rules.lexicon
     cues = ", ".join(f"{sql_cue(text, a)} AS c_{n}" for n, a in rules.cues.items())
-    w = "[" + ", ".join(str(float(t.weight or 0)) for t in lex.terms) + "]"
+    w = "[" + ", ".join(str(float(t.weight or 0)) for t in lex.terms) + "]::DOUBLE[]"
 
     def only(values, ids):
         return f"list_filter({values}, lambda x: list_contains({sql_ids(ids)}, x))"
@@ -314,9 +314,9 @@ def rules_sql(rules: RuleSet, source: str, text: str) -> str:
         mine = only("votes", lex.ids(["keyword", "conditional"], c))
         cats.append(f"{mine} AS v_{c}")
     structs = ", ".join(
-        f"{{'neg': -round(coalesce(list_sum(list_transform(v_{c}, lambda i: {w}[i + 1])), 0), 3), 'cat': '{c}', 'n': len(v_{c}), "
+        f"{{'neg': -round(coalesce(list_sum(list_transform(v_{c}, lambda i: ({w})[i + 1])), 0), 3), 'cat': '{c}', 'n': len(v_{c}), "
         f"'kept': len({only(f'v_{c}', lex.ids('keyword'))}), "
-        f"'strong': len(list_filter(v_{c}, lambda i: {w}[i + 1] >= {rules.evidence_floor})) > 0}}"
+        f"'strong': len(list_filter(v_{c}, lambda i: ({w})[i + 1] >= {rules.evidence_floor})) > 0}}"
         for c in vocab.CATEGORIES
     )
     pair = lambda a, b: f"coalesce((top = '{a}' AND second = '{b}') OR (top = '{b}' AND second = '{a}'), false)"
@@ -334,7 +334,7 @@ r3 AS (SELECT *, CASE WHEN len(kw) = 0 THEN []::INT[] ELSE list_concat(kw, list_
          OR (c_developing <> '' AND list_contains({sql_ids(lex.ids('conditional', requires='dev_cues'))}, x)))) END AS votes FROM r2),
 r4 AS (SELECT *, {", ".join(cats)} FROM r3),
 r5 AS (SELECT *, list_sort(list_filter([{structs}], lambda s: s.n > 0)) AS r FROM r4),
-r6 AS (SELECT *, r[1].cat AS top, r[2].cat AS second, -r[1].neg AS top_score, coalesce(-r[2].neg, CASE WHEN len(r) > 0 THEN 0.0 END) AS second_score FROM r5),
+r6 AS (SELECT *, r[1].cat AS top, r[2].cat AS second, -r[1].neg AS top_score, coalesce(-r[2].neg, CASE WHEN len(r) > 0 THEN 0.0::DOUBLE END) AS second_score FROM r5),
 r7 AS (SELECT *, round(top_score - second_score, 3) AS margin FROM r6),
 r8 AS (SELECT *, CASE
     WHEN len({only('hits', lex.ids('ecology'))}) > 0 AND c_human_biomedical = '' AND c_older_reference = '' THEN 'off_domain_ecology'

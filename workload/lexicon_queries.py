@@ -272,7 +272,7 @@ def legacy_agreement(t):
     "agreement_by_label",
     f"""WITH {RULED_EXPERTS}, g AS (SELECT CASE WHEN grouping(label) = 1 THEN 'overall' ELSE label END AS label, count(*) AS n,
       count(*) FILTER (label = expert_label) AS agreeing FROM ruled GROUP BY GROUPING SETS ((label), ()))
-    SELECT label, n, agreeing, round(agreeing / n, 4) AS rate, CASE label {' '.join(f"WHEN '{k}' THEN {v}" for k, v in vocab.BASELINE_AGREEMENT.items())} END AS baseline FROM g""",
+    SELECT label, n, agreeing, round(agreeing / n, 4) AS rate, CASE label {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in vocab.BASELINE_AGREEMENT.items())} END AS baseline FROM g""",
 )
 def agreement_by_label(t):
     return lexicon_stats.agreement_by_label(ruled_documents(t, experts=True))
@@ -299,7 +299,7 @@ CENSUS_LEX = Lexicon.of(x for x in LEXICON.terms if x.role in ("keyword", "ancho
 
 
 def _census_sql() -> str:
-    lex, w = CENSUS_LEX, "[" + ", ".join(str(float(x.weight or 0)) for x in CENSUS_LEX.terms) + "]"
+    lex, w = CENSUS_LEX, "([" + ", ".join(str(float(x.weight or 0)) for x in CENSUS_LEX.terms) + "]::DOUBLE[])"
     cats = lex.categories()
     only = lambda v, ids: f"list_filter({v}, lambda x: list_contains({sql_ids(ids)}, x))"
     mine = ", ".join(f"{only('kw', lex.ids('keyword', c))} AS v{i}" for i, c in enumerate(cats))
