@@ -26,7 +26,6 @@ from ..functions.text import (
     keyword_in_context,
     matches_term,
     squeeze,
-    strip,
     term_pattern,
     term_tokens,
 )
@@ -188,8 +187,3 @@ def keyword_context(df: DataFrame, text: str, term: str, width: int = 70) -> Dat
     pattern = term_pattern(term)
     return df.withColumn("context", keyword_in_context(F.col(text), pattern, width)).filter(F.col("context") != "")
 
-
-__all__ = [
-    "match_terms", "term_names", "explode_hits", "net_filter", "screen", "cue", "cue_literals",
-    "anchors", "covered", "quote_found", "keyword_context", "int_array", "string_array", "strip",
-]

@@ -201,12 +201,12 @@ def validate_candidates(
 
     gate1 = F.lit(False)
     for lang, (hits, precision) in thresholds.items():
-        gate1 = F.when(F.col("lang") == lang, (F.col("atlas_hits") >= hits) & (F.col("prec_proxy") >= precision)).otherwise(gate1)
-    out = g.withColumns({"prec_proxy": rate("legacy_ok", "atlas_hits"), "prec_expert": rate("expert_ok", "expert_hits")})
+        gate1 = F.when(F.col("lang") == lang, (F.col("atlas_hits") >= hits) & (F.col("prec_llm_proxy") >= precision)).otherwise(gate1)
+    out = g.withColumns({"prec_llm_proxy": rate("legacy_ok", "atlas_hits"), "prec_expert": rate("expert_ok", "expert_hits")})
     out = out.withColumns({"gate1": gate1, "gate2": (F.col("expert_hits") >= 3) & (F.col("prec_expert") >= 0.60)})
     is_trap = F.coalesce(F.col("requires") == "trap", F.lit(False))
     return out.select(
-        "category", "term", "lang", is_trap.alias("is_trap"), "atlas_hits", "prec_proxy", "expert_hits", "prec_expert",
+        "category", "term", "lang", is_trap.alias("is_trap"), "atlas_hits", "prec_llm_proxy", "expert_hits", "prec_expert",
         "gate1", "gate2", zero(F.col("census_ambiguous_hits")).alias("census_ambiguous_hits"),
         F.round(F.coalesce("eur", F.lit(0.0)) / 1e6, 2).alias("census_ambiguous_eur_m"),
         decision(F.col("gate1"), F.col("gate2"), is_trap, F.col("expert_hits")).alias("decision"),

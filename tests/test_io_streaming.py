@@ -147,3 +147,45 @@ def test_lexicon_loop(spark):
     gated = lexicon_loop.gate(mined, corpus, experts, undecided, {"en": (3, 0.6)})
     assert {r.decision for r in gated.filter("term = 'quiet rest'").collect()} == {"admit"}
     assert {r.label: r.rate for r in lexicon_loop.accept(corpus, experts, rules).collect()}["overall"] == 0.5
+
+
+def test_funnel_digest_and_misfiled(spark, folder):
+    from grantmill.functions.hashing import table_digest
+    from grantmill.operators.normalize import funnel
+    from grantmill.operators.validation import drifted, misfiled
+
+    raw = spark.createDataFrame([("se", 2016), ("se", 2010), ("eu", 2017)], "source string, year int")
+    f = funnel(raw, "source", {"fetched": F.lit(True), "kept": F.col("year") >= 2015})
+    writers.write_funnel([f.filter("source = 'se'"), f.filter("source = 'eu'")], f"{folder}/funnel")
+    assert {(r.source, r.stage): r.n for r in spark.read.parquet(f"{folder}/funnel").collect()}[("se", "kept")] == 1
+    stored = table_digest(raw)
+    assert not drifted(stored, table_digest(raw.repartition(5))).first().drifted
+    assert drifted(stored, table_digest(raw.filter("year > 2010"))).first().drifted
+    bad = misfiled(spark.createDataFrame([("sweden", "SE"), ("sweden", "NO"), ("mars", "MA")], "slug string, country string"), "slug", "country", {"sweden": "SE"})
+    assert {(r.country, r.violation) for r in bad.collect()} == {("NO", "misfiled"), ("MA", "unknown file")}
+
+
+def test_hot_keys_stay_exact(spark):
+    """One key holds most rows: results equal brute force on the same rows."""
+    from grantmill.operators.agreement import answer_counts, observed_agreement
+    from grantmill.operators.normalize import dedupe_collect, rename_collisions
+    from grantmill.operators.ratio import leave_one_out
+
+    n = 3000
+    rows = [(i, "hot" if i % 3 else f"k{i}", ["yes", "no", "borderline"][i % 3 - 1 if i % 2 else 0], i % 7) for i in range(n)]
+    df = spark.createDataFrame(rows, "ord int, key string, geroscience string, p int")
+    d = {r.key: r for r in dedupe_collect(df, ["key"], "ord", "p").collect()}
+    assert d["hot"].ord == 1 and d["hot"].phrases == list(range(7)) and len(d) == n // 3 + 1
+    named = rename_collisions(df, "key", "ord", "ord", "s").filter("key = 'hot'")
+    assert named.filter("record_id = 's:hot'").count() == 1 and named.select("record_id").distinct().count() == 2 * n // 3
+    j = df.select(F.col("key").alias("record_id"), F.col("ord").cast("string").alias("labeller_id"), "geroscience")
+    hot = [a for _, k, a, _ in rows if k == "hot"]
+    same = sum(hot.count(a) * (hot.count(a) - 1) // 2 for a in set(hot))
+    got = observed_agreement(j).first()
+    assert (got.agreeing_pairs, got.pairs) == (same, len(hot) * (len(hot) - 1) // 2) and answer_counts(j).count() == len(d)
+    g = df.select(F.col("ord").cast("string").alias("record_id"), F.col("key").alias("region"), F.when(F.col("p") == 0, "intervention").otherwise("care").alias("label"),
+                  (F.col("ord") + 1).cast("double").alias("amount_eur"))
+    mine = [(i + 1, p == 0) for i, k, _, p in rows if k == "hot"]
+    num, den = sum(v for v, x in mine if x), sum(v for v, _ in mine)
+    swing = max(abs((num - v * x) / (den - v) - num / den) for v, x in mine)
+    assert leave_one_out(g).filter("region = 'hot'").first().swing == round(swing, 6)

@@ -17,8 +17,7 @@ LABELS = sql_list(vocab.LABELS)
 
 
 def batch(t: Tables):
-    """Study batch: customers 0..119 do not matter; every customer is a row,
-    and only the first hundred ids carry judgments."""
+    """Every customer is a batch record; only some carry judgments."""
     return labelled_customers(t)
 
 

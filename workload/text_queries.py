@@ -148,9 +148,9 @@ def _gates_sql() -> str:
     s AS (SELECT c.*, count(h.ord) AS atlas_hits, count(*) FILTER (llm_category = CASE WHEN category = '{SOC}' THEN 'ambiguous' ELSE category END) AS ok,
       count(expert_label) AS expert_hits, count(*) FILTER (expert_label = category) AS eok, count(*) FILTER (label = 'ambiguous') AS census_ambiguous_hits,
       round(coalesce(CAST(sum(amount_eur) FILTER (label = 'ambiguous') AS DOUBLE), 0) / 1e6, 2) AS census_ambiguous_eur_m FROM c LEFT JOIN h ON c.ord = h.ord GROUP BY ALL),
-    p AS (SELECT *, CASE WHEN atlas_hits > 0 THEN round(ok / atlas_hits, 3) ELSE 0 END AS prec_proxy, CASE WHEN expert_hits > 0 THEN round(eok / expert_hits, 3) ELSE 0 END AS prec_expert FROM s),
-    q AS (SELECT *, CASE lang WHEN 'en' THEN atlas_hits >= 20 AND prec_proxy >= 0.3 ELSE atlas_hits >= 5 AND prec_proxy >= 0.2 END AS gate1, expert_hits >= 3 AND prec_expert >= 0.6 AS gate2 FROM p)
-    SELECT category, term, lang, is_trap, atlas_hits, prec_proxy, expert_hits, prec_expert, gate1, gate2, census_ambiguous_hits, census_ambiguous_eur_m,
+    p AS (SELECT *, CASE WHEN atlas_hits > 0 THEN round(ok / atlas_hits, 3) ELSE 0 END AS prec_llm_proxy, CASE WHEN expert_hits > 0 THEN round(eok / expert_hits, 3) ELSE 0 END AS prec_expert FROM s),
+    q AS (SELECT *, CASE lang WHEN 'en' THEN atlas_hits >= 20 AND prec_llm_proxy >= 0.3 ELSE atlas_hits >= 5 AND prec_llm_proxy >= 0.2 END AS gate1, expert_hits >= 3 AND prec_expert >= 0.6 AS gate2 FROM p)
+    SELECT category, term, lang, is_trap, atlas_hits, prec_llm_proxy, expert_hits, prec_expert, gate1, gate2, census_ambiguous_hits, census_ambiguous_eur_m,
       CASE WHEN gate1 AND gate2 AND is_trap THEN 'conditional_candidate' WHEN gate1 AND gate2 THEN 'admit' WHEN gate1 AND expert_hits < 3 THEN 'provisional'
         WHEN gate1 THEN 'reject_gate2' WHEN gate2 THEN 'reject_gate1' ELSE 'reject_both' END AS decision FROM q"""
 
