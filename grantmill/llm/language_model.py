@@ -61,6 +61,7 @@ class Vocabulary:
     kinds: int
     rare_total: int
     rare_kinds: int
+    counts: tuple[int, ...]
 
 
 class Model:
@@ -70,17 +71,21 @@ class Model:
         self.parts = parts
 
     @staticmethod
-    def new(seed: int = 7) -> "Model":
+    def new(vocab: Vocabulary | None = None, seed: int = 7) -> "Model":
+        """Random weights; the output starts from the counts of the vocabulary."""
         rng = np.random.default_rng(seed)
 
         def uniform(*shape: int, scale: float) -> np.ndarray:
             return rng.uniform(-scale, scale, shape).astype(np.float32)
 
         h = HIDDEN
+        words = np.full(VOCABULARY, 0.1)
+        words[: len(vocab.counts) if vocab else 0] += vocab.counts if vocab else ()
+        per_class = np.append(words.reshape(CLASSES, CLASS_SIZE).sum(axis=1), (vocab.rare_total if vocab else 0) + 0.1)
         return Model([
             uniform(VOCABULARY + 1, 3 * h, scale=0.1), uniform(h, 2 * h, scale=0.3), uniform(h, h, scale=0.3), np.zeros(3 * h, np.float32),
-            uniform(h, CLASSES + 1, scale=0.1), np.zeros(CLASSES + 1, np.float32),
-            uniform(CLASSES, h, CLASS_SIZE, scale=0.1), np.zeros((CLASSES, CLASS_SIZE), np.float32),
+            uniform(h, CLASSES + 1, scale=0.02), np.log(per_class / per_class.sum()).astype(np.float32),
+            uniform(CLASSES, h, CLASS_SIZE, scale=0.02), np.log(words).reshape(CLASSES, CLASS_SIZE).astype(np.float32),
         ])
 
     def flat(self) -> np.ndarray:
@@ -299,7 +304,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, dict[bytes, int]]:
     table[END] = ends[0] if ends else 0
     inside = sum(table[t] for t in ids)
     known = sum(1 for t in ids if table[t])
-    return Vocabulary(ids, total, kinds, total - inside, kinds - known), table
+    return Vocabulary(ids, total, kinds, total - inside, kinds - known, tuple(table[t] for t in ids)), table
 
 
 def _ids(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
@@ -320,6 +325,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
     """
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(vocab.ids)
+    unfitted = spark.sparkContext.broadcast(Model.new(vocab).flat())
     learn = docs.where(crc_remainder(F.col("doc_id"), FOLDS) != 0)
     draw = F.md5(F.concat(F.lit("lm"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     # ids first, so that no text travels through the top-n
@@ -328,7 +334,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = sorted((o.as_py(), t.as_py() or "") for b in batches for o, t in zip(b.column(0), b.column(1)))
-        model = Model.new()
+        model = Model.of(unfitted.value)
         trainer = Trainer(model)
         docs_ids = [_ids(t, words.value) for _, t in texts]
         for turn in range(PASSES):
@@ -337,7 +343,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([model.flat().tobytes()])], ["w"])
 
     start = sample.coalesce(1).mapInArrow(first, "w binary").first()
-    warm = np.frombuffer(start["w"], np.float32) if start else Model.new().flat()
+    warm = np.frombuffer(start["w"], np.float32) if start else unfitted.value
     begin = spark.sparkContext.broadcast(warm)
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

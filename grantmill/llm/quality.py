@@ -33,8 +33,10 @@ SAMPLE = 1200
 #: Bytes of sampled text per label that go into its dictionary, and the dictionary's size.
 DICTIONARY_TEXT = 3_000_000
 DICTIONARY_SIZE = 112_640
-BLOCK = 2048
+BLOCK = 1024
 LEVEL = 3
+#: Segment length of the dictionary builder: long segments keep whole stretches of text.
+SEGMENT = 1000
 
 
 def _blocks(data: bytes) -> list[bytes]:
@@ -45,7 +47,7 @@ def build_dictionary(texts: list[bytes]) -> bytes:
     """A zstandard dictionary of the texts; few or short samples are used as raw content."""
     samples = [b for t in texts for b in _blocks(t)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_SIZE, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_SIZE, samples, k=SEGMENT, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"\n".join(samples)[-DICTIONARY_SIZE:]
 
