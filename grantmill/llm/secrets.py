@@ -132,10 +132,11 @@ def digest(found: DataFrame) -> DataFrame:
 
     names = [r.kind for r in BASE]
     base = F.filter("findings", lambda s: s["kind"].isin(names))
-    counts = [
-        F.size(F.filter("findings", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in names
-    ]
+
+    def number(kind: str):
+        return F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        F.col("path").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"),
+        F.col("path").alias("doc_id"), *map(number, names), F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("findings")).alias("spans"), "blob",
     )
