@@ -16,6 +16,7 @@ own place; documents may be longer than a block; an empty table gives no blocks.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -69,6 +70,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.known: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def cut(text: str | None) -> list[bytes]:
+        """The words of a text, in fewer distinct forms with the same ids.
+
+        The normaliser lower-cases, so an ASCII text may be lowered before (not
+        if it could hold a special token's name, which is case-sensitive).  A
+        single full stop or comma between a letter and white space is a piece of
+        its own to the tokenizer, so it becomes a word of its own.
+        """
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if data.isascii() and b"<|" not in data:
+            data = data.lower()
+        return _TAIL.sub(rb" \1", data).split()
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
@@ -84,6 +99,7 @@ class Encoder:
         return b"".join([known[w] for w in words]) + END_BYTES
 
 
+_TAIL = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 END_BYTES = np.array([END_ID], dtype="<u4").tobytes()
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -119,9 +135,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, mode: str = "by
             return out
 
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass").split() for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 500):
-                part = texts[at : at + 500]
+            for at in range(0, batch.num_rows, 500):
+                part = [known.cut(t.as_py()) for t in batch.column(1).slice(at, 500)]
                 known.learn(set().union(*part))
                 for i, words in enumerate(part):
                     data = known.encode(words)
