@@ -23,6 +23,8 @@ SEPARATOR = "[ \\t\\x0B\\f\\r]+"
 #: It only steers how many candidates are compared, never which lines match.
 RARITY_BITS = 18
 LINE = "\n"
+#: Shared prefix words a candidate needs: each one lengthens the prefixes by a word.
+DEPTH = 3
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,44 +74,48 @@ def _ceil_share(n: Column, top: int, bottom: int) -> Column:
 def candidates(lines: DataFrame, table: bytes) -> DataFrame:
     """``a, b`` (ids, the shorter line first) of pairs that pass the prefix, length and position filters.
 
-    Two lines of n <= m words match only if they share ceil(0.8/1.8 (n+m)) words,
-    so they share one of the first m - ceil(0.8 m) + 1 words of the longer and of
-    the first n - ceil(8/9 n) + 1 words of the shorter line.  The shared word's
-    positions bound what can still be shared after it.
+    Two lines of n <= m words match only if they share at least s = ceil(4/9 (n+m))
+    words; s is at least ceil(8/9 n) and ceil(0.8 m).  Their first ``DEPTH`` shared
+    words therefore lie among the first n - ceil(8/9 n) + DEPTH words of the
+    shorter and m - ceil(0.8 m) + DEPTH words of the longer line, so pairs with
+    fewer shared prefix words (or fewer than s, if s is smaller) cannot match.
+    The positions of a shared word bound what can be shared in all.
     """
     keyed = lines.select("id", rarity_keys(F.col("line"), table).alias("keys")).withColumn("n", F.size("keys"))
-    prefix = keyed.select("id", "n", F.posexplode(F.slice(F.col("keys"), F.lit(1), F.col("n") - _ceil_share(F.col("n"), NUMERATOR, DENOMINATOR) + 1)).alias("i", "k"))
+    length = F.least(F.col("n"), F.col("n") - _ceil_share(F.col("n"), NUMERATOR, DENOMINATOR) + DEPTH)
+    prefix = keyed.select("id", "n", F.posexplode(F.slice(F.col("keys"), F.lit(1), length)).alias("i", "k"))
     # n and i share one number, which keeps the shuffled rows small
     posted = prefix.select("k", "id", (F.col("n").cast("bigint") * 2**31 + F.col("i")).alias("at"))
-
-    def side(name: str) -> DataFrame:
-        return posted.select("k", F.col("id").alias(name), F.shiftright("at", 31).cast("int").alias(f"n_{name}"),
-                             F.col("at").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias(f"i_{name}"))
-
-    na, nb, ia, ib = (F.col(c) for c in ("n_a", "n_b", "i_a", "i_b"))
+    na, nb = (F.shiftright(c, 31).cast("int") for c in ("at_a", "at_b"))
+    ia, ib = (F.col(c).bitwiseAND(F.lit(2**31 - 1)).cast("int") for c in ("at_a", "at_b"))
     share = _ceil_share(na + nb, NUMERATOR, NUMERATOR + DENOMINATOR)
-    return (
-        side("a").join(side("b"), "k")
-        .where((na < nb) | ((na == nb) & (F.col("a") < F.col("b"))))
-        .where(na * DENOMINATOR >= nb * NUMERATOR)
-        .where(ia <= na - _ceil_share(na, 2 * NUMERATOR, NUMERATOR + DENOMINATOR))
-        .where(1 + F.least(na - ia - 1, nb - ib - 1) >= share)
-        .select("a", "b").distinct()
-    )
+    beyond = ia - (na - _ceil_share(na, 2 * NUMERATOR, NUMERATOR + DENOMINATOR) + DEPTH - 1)
+    # every condition names both sides, so both sides stay one and the same shuffle
+    found = posted.toDF("k", "a", "at_a").join(posted.toDF("k", "b", "at_b"), "k").where(
+        ((na < nb) | ((na == nb) & (F.col("a") < F.col("b"))))
+        & (na * DENOMINATOR >= nb * NUMERATOR) & (F.greatest(beyond, na - nb) <= 0)
+        & (F.least(ia, ib) + F.least(na - ia, nb - ib) >= share))
+    pairs = found.groupBy("a", "b").agg(
+        F.count("*").alias("shared"), F.max(share).alias("share"), F.max(F.least(na - ia, nb - ib)).alias("left"))
+    return pairs.where((F.col("shared") >= F.least(F.lit(DEPTH), F.col("share"))) & (F.col("left") >= F.col("share"))).select("a", "b")
 
 
 def matches(lines: DataFrame) -> DataFrame:
     """``a, b``: ids of all pairs of distinct lines with similarity 0.8 or more, checked on the words themselves."""
     found = candidates(lines, rarity(lines))
     text = lines.select("id", "line")
-    both = (
-        found.join(text.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
-        .join(text.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-        .select("a", "b", words(F.col("la")).alias("wa"), words(F.col("lb")).alias("wb"))
-    )
-    common = F.size(F.array_intersect("wa", "wb"))
-    union = F.size("wa") + F.size("wb") - common
-    return both.where(common * DENOMINATOR >= union * NUMERATOR).select("a", "b")
+    both = found.join(text.toDF("a", "la"), "a").join(text.toDF("b", "lb"), "b")
+
+    def similar(s: Column) -> Column:
+        sizes = F.size(s["a"]) + F.size(s["b"])
+        return _let(F.size(F.array_intersect(s["a"], s["b"])), lambda c: c * DENOMINATOR >= (sizes - c) * NUMERATOR)
+
+    return both.where(_let(F.struct(words(F.col("la")).alias("a"), words(F.col("lb")).alias("b")), similar)).select("a", "b")
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
