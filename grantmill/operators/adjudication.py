@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import squeeze, strip
+from ..functions.text import squeeze, strip, strip
 from .matching import quote_found
 from .overlay import pending
 from .ranking import largest
@@ -76,7 +76,7 @@ def verify(answers: DataFrame, sources: DataFrame, labels: Sequence[str] = tuple
     counts = answers.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     j = answers.join(counts, key).join(src, key, "left")
     here = F.col("__src").isNotNull()
-    quote = squeeze(F.coalesce("quote", F.lit("")))
+    quote = strip(squeeze(F.coalesce("quote", F.lit(""))))
     missing = F.coalesce((quote == "") | ~F.contains(squeeze(F.col("__src")), quote), F.lit(True))
     found = F.array_compact(F.array(
         F.when(F.col("__n") > 1, "duplicate"),
@@ -89,11 +89,13 @@ def verify(answers: DataFrame, sources: DataFrame, labels: Sequence[str] = tuple
     ).drop("__n", "__src")
 
 
-def verification_report(verified: DataFrame) -> DataFrame:
+def verification_report(verified: DataFrame, key: str = "record_id") -> DataFrame:
+    """Totals of ``verify``: of the rows of one id all but one are duplicates, and a
+    row without a source is never resolved, whatever its label."""
     has = lambda v: F.count_if(F.array_contains("violations", v))
     return verified.agg(
-        F.count(F.lit(1)).alias("answers"), has("duplicate").alias("duplicates"), has("no source record").alias("missing_source"),
+        F.count(F.lit(1)).alias("answers"), (F.count(F.lit(1)) - F.count_distinct(F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("duplicates"), has("no source record").alias("missing_source"),
         has("unknown label").alias("unknown_label"), has("quote not found").alias("quote_missing"),
-        F.count_if("exact").alias("case_exact"), F.count_if(F.col("label") != "ambiguous").alias("resolved"),
+        F.count_if("exact").alias("case_exact"), F.count_if((F.col("label") != "ambiguous") & ~F.array_contains("violations", "no source record")).alias("resolved"),
     )
 

@@ -22,7 +22,7 @@ from .matching import covered, match_terms
 from .ranking import top_k
 
 
-def grams(df: DataFrame, record_id: str, text: str, stopwords: Iterable[str] = vocab.BASE_STOPWORDS, max_n: int = 3) -> DataFrame:
+def grams(df: DataFrame, record_id: str, text: str, stopwords: Iterable[str] = (), max_n: int = 3) -> DataFrame:
     """One row per document and distinct gram."""
     return df.select(record_id, explode_once(distinct_grams(F.col(text), stopwords, max_n)).alias("gram"))
 
@@ -94,7 +94,7 @@ def scored_grams(
 
 
 def mine_candidates(
-    docs: DataFrame, lexicon: Lexicon, stopwords: Iterable[str] = vocab.BASE_STOPWORDS,
+    docs: DataFrame, lexicon: Lexicon, stopwords: Iterable[str] = (),
     categories: Sequence[str] = vocab.CATEGORIES, min_pos: int = 3, min_lift: float = 3.0, per_category: int = 60,
 ) -> DataFrame:
     """Candidate terms from the blind spot of the rules.

@@ -132,10 +132,10 @@ sources AS (SELECT c_custkey AS record_id, c_name || ' ' || c_mktsegment AS src
 @query(
     "verification_report",
     f"""WITH {ANSWERS}, n AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS n FROM answers), j AS (SELECT n.*, src FROM n LEFT JOIN sources USING (record_id))
-    SELECT count(*) AS answers, count(*) FILTER (n > 1) AS duplicates, count(*) FILTER (src IS NULL) AS missing_source,
+    SELECT count(*) AS answers, count(*) - count(DISTINCT record_id) AS duplicates, count(*) FILTER (src IS NULL) AS missing_source,
       count(*) FILTER (src IS NOT NULL AND label NOT IN ({sql_list(vocab.LABELS)})) AS unknown_label,
-      count(*) FILTER (src IS NOT NULL AND (quote = '' OR NOT contains(lower(src), lower(quote)))) AS quote_missing,
-      count(*) FILTER (contains(src, quote)) AS case_exact, count(*) FILTER (label <> 'ambiguous') AS resolved FROM j""",
+      count(*) FILTER (src IS NOT NULL AND (trim(quote) = '' OR NOT contains(lower(src), lower(trim(quote))))) AS quote_missing,
+      count(*) FILTER (contains(src, quote)) AS case_exact, count(*) FILTER (label <> 'ambiguous' AND src IS NOT NULL) AS resolved FROM j""",
 )
 def verification_report(t):
     return adjudication.verification_report(adjudication.verify(answers(t), sources(t)))

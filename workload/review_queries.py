@@ -138,11 +138,11 @@ records AS (SELECT record_id, label, {half('record_id')} AS split, {fp_sql('reco
 verdicts AS (SELECT j.record_id, 'r' || labeller_id AS reviewer, CASE WHEN geroscience = 'yes' THEN 'agree' WHEN seq % 11 = 0 THEN 'unsure' ELSE 'disagree' END AS verdict,
   CASE WHEN seq % 3 = 0 THEN {sql_case('event_type', MARK_LABEL)} ELSE coalesce(l.label, 'care') END AS label,
   CASE WHEN seq % 13 = 0 THEN 'old' ELSE {fp_sql('l.record_id', 'title', 'l.label')} END AS record_fingerprint, 'note ' || seq AS note
-  FROM judgments j LEFT JOIN labelled l USING (record_id) WHERE labeller_id < 4),
+  FROM judgments j LEFT JOIN labelled l USING (record_id) WHERE labeller_id % 2 = 0),
 marked AS (SELECT v.*, NOT (r.record_id IS NOT NULL AND v.record_fingerprint IS NOT DISTINCT FROM r.fingerprint) AS stale FROM verdicts v LEFT JOIN records r USING (record_id)),
 eff AS (SELECT * FROM marked WHERE NOT stale AND verdict IN ('agree', 'disagree') AND label IN ({sql_list(vocab.LABELS)})),
 folded AS (SELECT record_id, min(label) AS lo, max(label) AS hi, arg_min(note, reviewer) AS note FROM eff GROUP BY 1),
-judges AS (SELECT record_id, count(*) FILTER (geroscience = 'no') > 0 AS failed, count(*) FILTER (geroscience = 'yes') > 0 AS rel, bool_or(seq % 17 = 0) AS old FROM judgments WHERE labeller_id BETWEEN 4 AND 8 GROUP BY 1)"""
+judges AS (SELECT record_id, count(*) FILTER (geroscience = 'no') > 0 AS failed, count(*) FILTER (geroscience = 'yes') > 0 AS rel, bool_or(seq % 17 = 0) AS old FROM judgments WHERE labeller_id % 2 = 1 GROUP BY 1)"""
 
 
 def gate_tables(t: Tables):
@@ -151,7 +151,7 @@ def gate_tables(t: Tables):
     fp = hashing.fingerprint(F.col("record_id"), F.col("title"), F.col("label"))
     records = rec.select("record_id", "label", hashing.split_half(F.col("record_id"), SEED).alias("split"), fp.alias("fingerprint"))
     latest = judgments(t)
-    j = latest.filter("labeller_id < 4").join(records.select("record_id", F.col("label").alias("rl"), "fingerprint"), "record_id", "left")
+    j = latest.filter("labeller_id % 2 = 0").join(records.select("record_id", F.col("label").alias("rl"), "fingerprint"), "record_id", "left")
     verdicts = j.select(
         "record_id", F.concat(F.lit("r"), F.col("labeller_id")).alias("reviewer"),
         F.when(F.col("geroscience") == "yes", "agree").when(F.col("seq") % 11 == 0, "unsure").otherwise("disagree").alias("verdict"),
@@ -159,7 +159,7 @@ def gate_tables(t: Tables):
         F.when(F.col("seq") % 13 == 0, "old").otherwise(F.col("fingerprint")).alias("record_fingerprint"),
         F.concat(F.lit("note "), F.col("seq")).alias("note"),
     )
-    marks = latest.filter("labeller_id BETWEEN 4 AND 8").groupBy("record_id").agg(
+    marks = latest.filter("labeller_id % 2 = 1").groupBy("record_id").agg(
         F.max(F.coalesce(F.col("geroscience") == "no", F.lit(False))).alias("failed"),
         F.max(F.coalesce(F.col("geroscience") == "yes", F.lit(False))).alias("rel"), F.max(F.col("seq") % 17 == 0).alias("old"),
     )
@@ -183,12 +183,12 @@ def judge_flags(t):
     return j.select("record_id", gate.judge_flagged(F.col("judges"), F.col("stale")).alias("flagged"))
 
 
-@query("review_order", f"WITH {VERDICTS} SELECT record_id FROM (SELECT record_id, j.record_id IS NULL OR old OR failed OR NOT rel AS flagged FROM records LEFT JOIN judges j USING (record_id)) ORDER BY NOT flagged, record_id LIMIT 100")
+@query("review_order", f"WITH {VERDICTS} SELECT record_id FROM (SELECT record_id, j.record_id IS NULL OR old OR failed OR NOT rel AS flagged FROM records LEFT JOIN judges j USING (record_id))")
 def review_order(t):
     records, _, marks = gate_tables(t)
     j = records.join(marks, "record_id", "left")
     flagged = j.select("record_id", gate.judge_flagged(F.col("judges"), F.col("stale")).alias("flagged"))
-    return ranking.review_order(flagged, "flagged", "record_id").limit(100).select("record_id")
+    return ranking.review_order(flagged, "flagged", "record_id").select("record_id")
 
 
 def wilson_sql(k: str, n: str):

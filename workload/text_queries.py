@@ -167,10 +167,10 @@ def candidate_gates(t):
     return gated(t)
 
 
-@query("decision_order", f"SELECT category, term, decision FROM ({_gates_sql()}) ORDER BY list_position([{sql_list(mining.DECISION_ORDER)}], decision), category, prec_expert DESC, term LIMIT 5")
+@query("decision_order", f"SELECT category, term, decision FROM ({_gates_sql()})")
 def decision_order(t):
     g = gated(t)
-    return g.orderBy(mining.decision_rank(F.col("decision")), "category", F.desc("prec_expert"), "term").limit(5).select("category", "term", "decision")
+    return g.orderBy(mining.decision_rank(F.col("decision")), "category", F.desc("prec_expert"), "term").select("category", "term", "decision")
 
 
 @query(
