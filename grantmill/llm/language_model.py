@@ -36,7 +36,7 @@ END = b"\n"  # no word can be it
 #: The model's vocabulary: CLASSES classes of CLASS_SIZE tokens, and one class for all others.
 CLASSES, CLASS_SIZE = 48, 64
 VOCABULARY = CLASSES * CLASS_SIZE
-#: Frequent tokens whose counts every task holds; other tokens meet their counts in a shuffle.
+#: At most so many frequent tokens have their counts held by every task; other tokens meet their counts in a shuffle.
 TABLE = 65_536
 HIDDEN = 32
 WINDOW = 24
@@ -297,7 +297,16 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, dict[bytes, int]]:
     """The model's vocabulary and the counts of the ``TABLE`` most frequent tokens; both bounded."""
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, kinds = sums["n"] or 0, sums["v"]
-    top = counts.where(F.col("token") != END).orderBy(F.desc("n"), "token").limit(TABLE).collect()
+    # bins of counts first: then only the rows that are kept come to the driver, however many tasks there are
+    grade = F.floor(8 * F.log2("n"))
+    bins, held, cut = counts.groupBy(grade.alias("g")).agg(F.count("*").alias("k")).collect(), 0, None
+    for b in sorted(bins, key=lambda b: -b["g"]):
+        held += b["k"]
+        if held > TABLE:
+            break
+        cut = b["g"]
+    rows = [] if cut is None else counts.where((F.col("token") != END) & (grade >= cut)).collect()
+    top = sorted(rows, key=lambda r: (-r["n"], bytes(r["token"])))
     ends = [r["n"] for r in counts.where(F.col("token") == END).collect()]
     table = {bytes(r["token"]): r["n"] for r in top}
     ids = {END: 0} | {t: i + 1 for i, t in enumerate(list(table)[: VOCABULARY - 1])}
