@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grantmill.functions.text import explode_once, fence
+
 from .common import fresh, stored
 
 NUMERATOR, DENOMINATOR = 4, 5  # similarity 0.8
@@ -23,8 +25,6 @@ SEPARATOR = "[ \\t\\x0B\\f\\r]+"
 #: It only steers how many candidates are compared, never which lines match.
 RARITY_BITS = 18
 LINE = "\n"
-#: Shared prefix words a candidate needs: each one lengthens the prefixes by a word.
-DEPTH = 3
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,19 +33,24 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return rows.where(F.col("line").rlike("[^ \\t\\x0B\\f\\r]")).withColumn("key", F.unhex(F.md5("line")))
 
 
-def words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, SEPARATOR), ""))
+def word_list(line: Column) -> Column:
+    """The distinct words of a line with one blank between them."""
+    return F.array_join(F.array_distinct(F.array_remove(F.split(line, SEPARATOR), "")), " ")
+
+
+def words(listed: Column) -> Column:
+    return F.split(listed, " ")
 
 
 def rarity(lines: DataFrame) -> bytes:
-    """A byte per bucket: the rounded logarithm of the count of its words over all distinct lines.
+    """A byte per bucket: the rounded logarithm of the number of distinct lines with its words.
 
     Words share buckets by hash, so the table has a fixed size however many words
     the corpus holds.
     """
     size = 1 << RARITY_BITS
     counts = (
-        lines.select(F.explode(F.split("line", SEPARATOR)).alias("w")).where("w <> ''")
+        lines.select(explode_once(words(F.col("words"))).alias("w"))
         .groupBy(F.pmod(F.xxhash64("w"), F.lit(size)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
         .select("bucket", F.least(F.lit(127), F.round(3 * F.log2("n")).cast("int")).alias("grade"))
     )
@@ -55,7 +60,7 @@ def rarity(lines: DataFrame) -> bytes:
     return bytes(table)
 
 
-def rarity_keys(line: Column, table: bytes) -> Column:
+def rarity_keys(listed: Column, table: bytes) -> Column:
     """Hashes of the distinct words, rarest first: the grade in the top bits, hash bits below."""
     size, looked = F.lit(len(table)), F.lit(table)
 
@@ -63,7 +68,14 @@ def rarity_keys(line: Column, table: bytes) -> Column:
         grade = F.ascii(F.substring(looked, F.pmod(h, size).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(grade.cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.transform(F.transform(words(line), lambda w: F.xxhash64(w)), key))
+    return F.sort_array(F.transform(F.transform(words(listed), lambda w: F.xxhash64(w)), key))
+
+
+def parity(keys: Column) -> Column:
+    """64 bits: how often, odd or even, each value of a key's low six bits occurs."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(keys, F.lit(0).cast("bigint"),
+                       lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _ceil_share(n: Column, top: int, bottom: int) -> Column:
@@ -72,45 +84,44 @@ def _ceil_share(n: Column, top: int, bottom: int) -> Column:
 
 
 def candidates(lines: DataFrame, table: bytes) -> DataFrame:
-    """``a, b`` (ids, the shorter line first) of pairs that pass the prefix, length and position filters.
+    """``a, b`` (ids, the shorter line first) of pairs that pass the prefix, length, position and parity filters.
 
     Two lines of n <= m words match only if they share at least s = ceil(4/9 (n+m))
-    words; s is at least ceil(8/9 n) and ceil(0.8 m).  Their first ``DEPTH`` shared
-    words therefore lie among the first n - ceil(8/9 n) + DEPTH words of the
-    shorter and m - ceil(0.8 m) + DEPTH words of the longer line, so pairs with
-    fewer shared prefix words (or fewer than s, if s is smaller) cannot match.
-    The positions of a shared word bound what can be shared in all.
+    words; s is at least ceil(8/9 n) and ceil(0.8 m).  A shared word therefore lies
+    among the first n - ceil(8/9 n) + 1 words of the shorter and m - ceil(0.8 m) + 1
+    words of the longer line, and its positions bound what can be shared in all.
+    Every word that only one line has changes one bit of parity, so lines whose
+    parities differ in more than n + m - 2 s bits cannot match either.
     """
-    keyed = lines.select("id", rarity_keys(F.col("line"), table).alias("keys")).withColumn("n", F.size("keys"))
-    length = F.least(F.col("n"), F.col("n") - _ceil_share(F.col("n"), NUMERATOR, DENOMINATOR) + DEPTH)
-    prefix = keyed.select("id", "n", F.posexplode(F.slice(F.col("keys"), F.lit(1), length)).alias("i", "k"))
+    keyed = lines.select("id", fence(rarity_keys(F.col("words"), table)).alias("keys")).withColumn("n", F.size("keys"))
+    length = F.col("n") - _ceil_share(F.col("n"), NUMERATOR, DENOMINATOR) + 1
+    prefix = keyed.select("id", "n", parity(F.col("keys")).alias("bits"), F.posexplode(fence(F.slice(F.col("keys"), F.lit(1), length))).alias("i", "k"))
     # n and i share one number, which keeps the shuffled rows small
-    posted = prefix.select("k", "id", (F.col("n").cast("bigint") * 2**31 + F.col("i")).alias("at"))
+    posted = prefix.select("k", "id", "bits", (F.col("n").cast("bigint") * 2**31 + F.col("i")).alias("at"))
     na, nb = (F.shiftright(c, 31).cast("int") for c in ("at_a", "at_b"))
     ia, ib = (F.col(c).bitwiseAND(F.lit(2**31 - 1)).cast("int") for c in ("at_a", "at_b"))
     share = _ceil_share(na + nb, NUMERATOR, NUMERATOR + DENOMINATOR)
-    beyond = ia - (na - _ceil_share(na, 2 * NUMERATOR, NUMERATOR + DENOMINATOR) + DEPTH - 1)
+    beyond = ia - (na - _ceil_share(na, 2 * NUMERATOR, NUMERATOR + DENOMINATOR))
     # every condition names both sides, so both sides stay one and the same shuffle
-    found = posted.toDF("k", "a", "at_a").join(posted.toDF("k", "b", "at_b"), "k").where(
+    found = posted.toDF("k", "a", "bits_a", "at_a").join(posted.toDF("k", "b", "bits_b", "at_b"), "k").where(
         ((na < nb) | ((na == nb) & (F.col("a") < F.col("b"))))
         & (na * DENOMINATOR >= nb * NUMERATOR) & (F.greatest(beyond, na - nb) <= 0)
-        & (F.least(ia, ib) + F.least(na - ia, nb - ib) >= share))
-    pairs = found.groupBy("a", "b").agg(
-        F.count("*").alias("shared"), F.max(share).alias("share"), F.max(F.least(na - ia, nb - ib)).alias("left"))
-    return pairs.where((F.col("shared") >= F.least(F.lit(DEPTH), F.col("share"))) & (F.col("left") >= F.col("share"))).select("a", "b")
+        & (F.least(ia, ib) + F.least(na - ia, nb - ib) >= share)
+        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= na + nb - 2 * share))
+    return found.select("a", "b").distinct()
 
 
 def matches(lines: DataFrame) -> DataFrame:
     """``a, b``: ids of all pairs of distinct lines with similarity 0.8 or more, checked on the words themselves."""
     found = candidates(lines, rarity(lines))
-    text = lines.select("id", "line")
-    both = found.join(text.toDF("a", "la"), "a").join(text.toDF("b", "lb"), "b")
+    text = lines.select("id", "words")
+    both = found.join(text.toDF("a", "wa"), "a").join(text.toDF("b", "wb"), "b")
 
     def similar(s: Column) -> Column:
         sizes = F.size(s["a"]) + F.size(s["b"])
         return _let(F.size(F.array_intersect(s["a"], s["b"])), lambda c: c * DENOMINATOR >= (sizes - c) * NUMERATOR)
 
-    return both.where(_let(F.struct(words(F.col("la")).alias("a"), words(F.col("lb")).alias("b")), similar)).select("a", "b")
+    return both.where(_let(F.struct(words(F.col("wa")).alias("a"), words(F.col("wb")).alias("b")), similar)).select("a", "b")
 
 
 def _let(value: Column, body) -> Column:
@@ -126,7 +137,7 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     distinct = lines_of(docs, doc_id, text).groupBy("key").agg(
         F.min(F.struct("doc_id", "line_no", "line")).alias("m")
-    ).select("key", F.struct("m.doc_id", "m.line_no").alias("first"), "m.line", F.monotonically_increasing_id().alias("id"))
+    ).select("key", F.struct("m.doc_id", "m.line_no").alias("first"), word_list(F.col("m.line")).alias("words"), F.monotonically_increasing_id().alias("id"))
     distinct = stored(distinct, "distinct-lines", compression="zstd")
     linked = stored(matches(distinct), "line-links")
     firsts = distinct.select("id", "first")
