@@ -95,7 +95,9 @@ def candidates(lines: DataFrame, table: bytes) -> DataFrame:
     """
     keyed = lines.select("id", fence(rarity_keys(F.col("words"), table)).alias("keys")).withColumn("n", F.size("keys"))
     length = F.col("n") - _ceil_share(F.col("n"), NUMERATOR, DENOMINATOR) + 1
-    prefix = keyed.select("id", "n", parity(F.col("keys")).alias("bits"), F.posexplode(fence(F.slice(F.col("keys"), F.lit(1), length))).alias("i", "k"))
+    # parity is fenced below the explode, or every prefix word would evaluate it again
+    heads = keyed.select("id", "n", fence(parity(F.col("keys"))).alias("bits"), fence(F.slice(F.col("keys"), F.lit(1), length)).alias("head"))
+    prefix = heads.select("id", "n", "bits", F.posexplode("head").alias("i", "k"))
     # n and i share one number, which keeps the shuffled rows small
     posted = prefix.select("k", "id", "bits", (F.col("n").cast("bigint") * 2**31 + F.col("i")).alias("at"))
     na, nb = (F.shiftright(c, 31).cast("int") for c in ("at_a", "at_b"))
