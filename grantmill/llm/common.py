@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SEPARATORS = "[ \\t\\n\\x0B\\f\\r]+"
+#: Setting of Spark 4.1 under which a query's shuffle files are removed when it ends.
+DROP_SHUFFLE_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +35,19 @@ def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """Write once to the shared folder and read back, which ends the lineage.
 
     For results that several later jobs read.  A lost executor costs a re-read.
+    The shuffle files of the write are of no use afterwards and go with it.
     """
-    path = scratch(df.sparkSession, purpose)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, purpose)
+    before = spark.conf.get(DROP_SHUFFLE_FILES, None)
+    spark.conf.set(DROP_SHUFFLE_FILES, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLE_FILES)
+        else:
+            spark.conf.set(DROP_SHUFFLE_FILES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(c: Column) -> Column:

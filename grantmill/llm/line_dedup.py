@@ -115,7 +115,7 @@ def candidates(lines: DataFrame, table: bytes) -> DataFrame:
 
 def matches(lines: DataFrame) -> DataFrame:
     """``a, b``: ids of all pairs of distinct lines with similarity 0.8 or more, checked on the words themselves."""
-    found = candidates(lines, rarity(lines))
+    found = stored(candidates(lines, rarity(lines)), "line-candidates")
     text = lines.select("id", "words")
     both = found.join(text.toDF("a", "wa"), "a").join(text.toDF("b", "wb"), "b")
 
