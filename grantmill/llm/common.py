@@ -31,22 +31,26 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, settings: dict[str, str] | None = None, **options: str) -> DataFrame:
     """Write once to the shared folder and read back, which ends the lineage.
 
     For results that several later jobs read.  A lost executor costs a re-read.
     The shuffle files of the write are of no use afterwards and go with it.
+    ``settings`` of the session hold for the write alone.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, purpose)
-    before = spark.conf.get(DROP_SHUFFLE_FILES, None)
-    spark.conf.set(DROP_SHUFFLE_FILES, "true")
+    own = {DROP_SHUFFLE_FILES: "true", **(settings or {})}
+    before = {name: spark.conf.get(name, None) for name in own}
     try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
         df.write.options(**options).parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(DROP_SHUFFLE_FILES)
-        else:
-            spark.conf.set(DROP_SHUFFLE_FILES, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,6 +24,10 @@ SEPARATOR = "[ \\t\\x0B\\f\\r]+"
 #: Buckets (a power of two) of the word-count table that orders words by rarity.
 #: It only steers how many candidates are compared, never which lines match.
 RARITY_BITS = 18
+#: Pairs of one cell, in which lines are checked together.  It only steers where the work is done.
+CELL_PAIRS = 4096
+#: Lets both joins of a cell use the one shuffle by cell.
+BY_CELL_ALONE = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 LINE = "\n"
 
 
@@ -86,6 +90,8 @@ def _ceil_share(n: Column, top: int, bottom: int) -> Column:
 def candidates(lines: DataFrame, table: bytes) -> DataFrame:
     """``a, b`` (ids, the shorter line first) of pairs that pass the prefix, length, position and parity filters.
 
+    ``k``: the first of the prefix words they share.
+
     Two lines of n <= m words match only if they share at least s = ceil(4/9 (n+m))
     words; s is at least ceil(8/9 n) and ceil(0.8 m).  A shared word therefore lies
     among the first n - ceil(8/9 n) + 1 words of the shorter and m - ceil(0.8 m) + 1
@@ -110,14 +116,56 @@ def candidates(lines: DataFrame, table: bytes) -> DataFrame:
         & (na * DENOMINATOR >= nb * NUMERATOR) & (F.greatest(beyond, na - nb) <= 0)
         & (F.least(ia, ib) + F.least(na - ia, nb - ib) >= share)
         & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= na + nb - 2 * share))
-    return found.select("a", "b").distinct()
+    return found.groupBy("a", "b").agg(F.min("k").alias("k"))
+
+
+def cells(pairs: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """``cell, a, b``: the pairs of one first shared word lie together, so near copies meet in one place.
+
+    A word with more than ``cell_pairs`` pairs is cut into a square of cells by
+    hashes of the two ids, whose side is the root of its excess: a cell keeps
+    about ``cell_pairs`` pairs, and a line is sent to one row or column of cells.
+    """
+    crowded = pairs.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > cell_pairs).select(
+        "k", F.ceil(F.sqrt(F.col("n") / cell_pairs)).alias("side"))
+    side = F.coalesce("side", F.lit(1).cast("bigint"))
+    part = [F.pmod(F.xxhash64(F.col(c)), side) for c in ("a", "b")]
+    return pairs.join(crowded, "k", "left").select(F.xxhash64("k", *part).alias("cell"), "a", "b")
+
+
+def marked(lines: DataFrame) -> DataFrame:
+    """``id, words, n, marks``: the number of words and four parities, each over a quarter of the word hashes."""
+    hashed = lines.select("id", "words", fence(F.transform(words(F.col("words")), lambda w: F.xxhash64(w))).alias("h"))
 
+    def quarter(q: int) -> Column:
+        return parity(F.filter("h", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == q))
 
-def matches(lines: DataFrame) -> DataFrame:
-    """``a, b``: ids of all pairs of distinct lines with similarity 0.8 or more, checked on the words themselves."""
-    found = stored(candidates(lines, rarity(lines)), "line-candidates")
-    text = lines.select("id", "words")
-    both = found.join(text.toDF("a", "wa"), "a").join(text.toDF("b", "wb"), "b")
+    return hashed.select("id", "words", F.size("h").alias("n"), F.struct(*[quarter(q).alias(f"q{q}") for q in range(4)]).alias("marks"))
+
+
+def close(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """The pairs whose four parities differ in no more bits than those of matching lines can."""
+    marks = part.select("id", "n", "marks")
+    both = pairs.join(marks.toDF("a", "na", "ma"), "a").join(marks.toDF("b", "nb", "mb"), "b")
+    differing = sum((F.bit_count(F.col(f"ma.q{i}").bitwiseXOR(F.col(f"mb.q{i}"))) for i in range(1, 4)),
+                    F.bit_count(F.col("ma.q0").bitwiseXOR(F.col("mb.q0"))))
+    size = F.col("na") + F.col("nb")
+    return both.where(differing <= size - 2 * _ceil_share(size, NUMERATOR, NUMERATOR + DENOMINATOR)).select("a", "b", "k")
+
+
+def matches(lines: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """``a, b``: ids of all pairs of distinct lines with similarity 0.8 or more, checked on the words themselves.
+
+    A wider parity drops most pairs that do not match.  For the rest, a line's
+    words are sent once to every cell it has pairs in, not once a pair.
+    """
+    pairs = stored(candidates(lines, rarity(lines)), "line-candidates")
+    taking = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    part = stored(marked(lines.join(taking, "id", "left_semi")), "line-parts", compression="zstd")
+    found = stored(cells(stored(close(pairs, part), "line-close"), cell_pairs), "line-cells")
+    sent = found.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(part.select("id", "words"), "id")
+    by_cell = sent.select("cell", "id", "words").repartition("cell").hint("shuffle_hash")
+    both = found.repartition("cell").join(by_cell.toDF("cell", "a", "wa"), ["cell", "a"]).join(by_cell.toDF("cell", "b", "wb"), ["cell", "b"])
 
     def similar(s: Column) -> Column:
         sizes = F.size(s["a"]) + F.size(s["b"])
@@ -141,7 +189,7 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.min(F.struct("doc_id", "line_no", "line")).alias("m")
     ).select("key", F.struct("m.doc_id", "m.line_no").alias("first"), word_list(F.col("m.line")).alias("words"), F.monotonically_increasing_id().alias("id"))
     distinct = stored(distinct, "distinct-lines", compression="zstd")
-    linked = stored(matches(distinct), "line-links")
+    linked = stored(matches(distinct), "line-links", settings=BY_CELL_ALONE)
     firsts = distinct.select("id", "first")
     near = linked.union(linked.select("b", "a")).toDF("id", "other")
     best = near.join(firsts.toDF("other", "place"), "other").groupBy("id").agg(

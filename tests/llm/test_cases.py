@@ -38,6 +38,16 @@ def test_line_dedup_against_brute_force(spark):
     assert got == line_dedup.brute_force(rows) and any(got.values())
 
 
+def test_line_matches_do_not_depend_on_cells(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(30)]
+    texts = {" ".join(f"x{rng.randrange(9)}" if rng.random() < 0.08 else w for w in base) for _ in range(60)}
+    lines = spark.createDataFrame(list(enumerate(sorted(texts))), "id long, line string").select("id", line_dedup.word_list(F.col("line")).alias("words"))
+    whole, cut = ({tuple(sorted(r)) for r in line_dedup.matches(lines, n).collect()} for n in (line_dedup.CELL_PAIRS, 2))
+    sets = [(i, set(t.split())) for i, t in enumerate(sorted(texts))]
+    assert whole == cut == {(i, j) for i, v in sets for j, w in sets if i < j and len(v & w) * 5 >= len(v | w) * 4} and len(whole) > 50
+
+
 def test_line_dedup_keeps_columns_and_clean_documents(spark):
     d = docs(spark, [(11, "one two three\nfour five six"), (12, "seven\none two three"), (13, "one two three"), *ODD[:2]])
     after = line_dedup.drop_lines(d)
