@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from re import _constants, _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,14 +140,25 @@ def screen(df: DataFrame, text: str, terms: Sequence[str], flag: str = "flagged"
 
 
 def cue_literals(alternatives: Sequence[str]) -> list[str]:
-    """A literal every alternative must contain, for a cheap guard."""
+    """A literal every alternative must contain, for a cheap guard.
+
+    Only letters that stand by themselves in the parsed pattern count: whatever a
+    group, a class, a choice or a quantifier holds may be absent.  Without a
+    literal, or for syntax the parser does not know, there is no guard.
+    """
     out = []
     for alt in alternatives:
-        plain = re.sub(r"\((?:\?:)?[^()]*\)\??|\[[^\]]*\]\??|\\w[*+]?|\\.|\.|.\?", "\0", alt)
-        runs = [r for r in re.split(r"[^\w -]", plain) if r]
-        if not runs:
+        try:
+            parsed = _parser.parse(alt)
+        except re.error:
+            return []
+        if parsed.state.flags & re.IGNORECASE:
+            return []
+        plain = "".join(chr(value) if kind is _constants.LITERAL else "\0" for kind, value in parsed)
+        longest = max(plain.split("\0"), key=len)
+        if not longest:
             return []
-        out.append(max(runs, key=len))
+        out.append(longest)
     return list(dict.fromkeys(out))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.money import MONEY
-from ..functions.text import cased_tokens, distinct_grams, explode_once, keyword_in_context, title_key
+from ..functions.text import cased_tokens, distinct_grams, explode_once, fence, keyword_in_context, title_key
 from ..session import materialise
 from .lexicon import Lexicon, Term
 from .lexicon_stats import proxy_of
@@ -265,20 +265,38 @@ def log_odds(docs: DataFrame, label: str, text: str, stopwords: Iterable[str], c
     )
 
 
+def name_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def token_runs(tokens: Column, lengths: Sequence[int]) -> Column:
+    """Distinct runs of the given numbers of tokens."""
+    def runs(n: int) -> Column:
+        starts = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda _, i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
+
+    levels = [runs(n) for n in lengths]
+    return F.array_distinct(F.concat(*levels)) if levels else F.array().cast("array<string>")
+
+
 def entity_funnel(
     names: DataFrame, name: str, docs: DataFrame, text: str, label: str, category: str,
-    min_hits: int = 3, min_precision: float = 0.6, max_n: int = 3,
+    min_hits: int = 3, min_precision: float = 0.6,
 ) -> DataFrame:
     """Stage counts of enriching the lexicon from an external name list.
 
-    The list may be large: names are word sequences, so they are found by an
-    equi-join with the documents' distinct word grams instead of by regex.
+    The list may be large: names are sequences of words and numbers, so they are
+    found by an equi-join with the documents' distinct sequences instead of by
+    regex.  The lengths to look for are those that occur in the list; signs
+    between words do not tell names apart.
     """
-    words = F.array_join(F.regexp_extract_all(F.lower(name), F.lit(r"(\p{L}+)"), F.lit(1)), " ")
-    listed = names.select(words.alias("gram"))
+    listed = names.select(F.array_join(name_tokens(name), " ").alias("gram"))
     unique = listed.filter("gram <> ''").distinct()
     usable = unique.filter(F.length("gram") >= 3)
-    found = docs.select(F.col(label).alias("label"), explode_once(distinct_grams(F.col(text), [], max_n, 1)).alias("gram"))
+    # one small number per different length
+    lengths = sorted(r[0] for r in usable.select(F.size(F.split("gram", " "))).distinct().collect())
+    found = docs.select(F.col(label).alias("label"), fence(name_tokens(F.col(text))).alias("t")).select(
+        "label", explode_once(token_runs(F.col("t"), lengths)).alias("gram"))
     hits = found.join(usable, "gram", "left_semi").groupBy("gram").agg(
         F.count(F.lit(1)).alias("hits"), F.count_if(F.col("label") == category).alias("ok")
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from grantmill.functions.text import term_pattern
 from grantmill.operators.lexicon import Lexicon, Term, term_problem
 from grantmill.operators.matching import cue_literals, explode_hits, match_terms, net_filter, quote_found, screen
+from grantmill.operators.mining import entity_funnel
 from grantmill.operators.rules import RuleSet, classify
 from grantmill import vocab
 from lexicons import small_lexicon
@@ -123,6 +124,18 @@ def test_cue_literals_are_required():
     assert re.match("batter", cue_literals(vocab.CUES["battery"])[0])
 
 
+def test_cue_guard_ignores_what_may_be_absent():
+    assert cue_literals(["colou*r"]) == ["colo"] and cue_literals(["(?:foo(?:x)?bar|baz)"]) == []
+    assert cue_literals(["old(?:er)?", "[ab]c"]) == ["old", "c"] and cue_literals(["(?i)abc"]) == [] and cue_literals(["a\\p{L}"]) == []
+
+
+def test_entity_funnel_finds_long_names_and_digits(spark):
+    docs = spark.createDataFrame([("x insulin like growth factor, IL-6 and heart failure", "en")] * 5, "text string, label string")
+    names = spark.createDataFrame([("Insulin like growth factor",), ("IL-6",), ("heart failure",), ("no such name",), ("--",)], "name string")
+    got = {r["stage"]: r["n"] for r in entity_funnel(names, F.col("name"), docs, "text", "label", "en").collect()}
+    assert got == {"listed": 5, "unique": 4, "long_enough": 4, "with_hits": 3, "enough_hits": 3, "admitted": 3}
+
+
 def test_net_screen_quote(spark):
     df = spark.createDataFrame([("senescence and longevity",), ("nothing",)], "t string")
     assert [r.matched_phrases for r in net_filter(df, "t", ["senescence", "longevity"]).collect()] == [["longevity", "senescence"]]

@@ -197,18 +197,26 @@ def log_odds(t):
     return mining.log_odds(documents(t), "lang", "text", STOP, LANGS, min_docs=25)
 
 
+NAME_TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+
+
 @query(
     "entity_funnel",
-    f"""WITH {DOCUMENTS}, listed AS (SELECT array_to_string(list_slice(regexp_extract_all(lower(text), '\\p{{L}}+'), 1, 2), ' ') AS gram FROM benchmark
-      UNION ALL SELECT array_to_string(list_slice(regexp_extract_all(lower(text), '\\p{{L}}+'), 3, 3), ' ') FROM docs),
-    u AS (SELECT DISTINCT gram FROM listed WHERE gram <> ''), g AS (SELECT lang, unnest({sql_grams('text', stop=[], least=1)}) AS gram FROM docs),
+    f"""WITH {DOCUMENTS}, named AS (SELECT unnest(regexp_extract_all(text, '[^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+')) AS name FROM benchmark
+      UNION ALL SELECT unnest(regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}\\p{{N}}-]+')) FROM documents),
+    listed AS (SELECT array_to_string({NAME_TOKENS.format('name')}, ' ') AS gram FROM named),
+    u AS (SELECT DISTINCT gram FROM listed WHERE gram <> ''), n AS (SELECT DISTINCT len(string_split(gram, ' ')) AS n FROM u WHERE length(gram) >= 3),
+    t AS (SELECT lang, {NAME_TOKENS.format('text')} AS t FROM docs),
+    g AS (SELECT lang, unnest(list_distinct(flatten(list_transform((SELECT list(n) FROM n), lambda k: list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(list_slice(t, i, i + k - 1), ' ')))))) AS gram FROM t),
     h AS (SELECT gram, count(*) AS hits, count(*) FILTER (lang = 'en') AS ok FROM g WHERE gram IN (SELECT gram FROM u WHERE length(gram) >= 3) GROUP BY 1), j AS (SELECT * FROM u LEFT JOIN h USING (gram))
     SELECT 0 AS step, 'listed' AS stage, count(*) AS n FROM listed UNION ALL SELECT 1, 'unique', count(*) FROM j UNION ALL SELECT 2, 'long_enough', count(*) FILTER (length(gram) >= 3) FROM j
     UNION ALL SELECT 3, 'with_hits', count(*) FILTER (hits >= 1) FROM j UNION ALL SELECT 4, 'enough_hits', count(*) FILTER (hits >= 3) FROM j UNION ALL SELECT 5, 'admitted', count(*) FILTER (hits >= 3 AND ok / hits >= 0.6) FROM j""",
 )
 def entity_funnel(t):
-    toks = lambda a, n: F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)), a, n), " ")
-    names = t.benchmark.select(toks(1, 2).alias("name")).unionByName(t.documents.select(toks(3, 1).alias("name")))
+    def pieces(df, pattern):
+        return df.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("name"))
+
+    names = pieces(t.benchmark, "[^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+").unionByName(pieces(t.documents, r"\p{Lu}[\p{L}\p{N}-]+"))
     return mining.entity_funnel(names, F.col("name"), documents(t), "text", "lang", "en")
 
 
