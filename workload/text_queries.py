@@ -206,8 +206,9 @@ NAME_TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
       UNION ALL SELECT unnest(regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}\\p{{N}}-]+')) FROM documents),
     listed AS (SELECT array_to_string({NAME_TOKENS.format('name')}, ' ') AS gram FROM named),
     u AS (SELECT DISTINCT gram FROM listed WHERE gram <> ''), n AS (SELECT DISTINCT len(string_split(gram, ' ')) AS n FROM u WHERE length(gram) >= 3),
-    t AS (SELECT lang, {NAME_TOKENS.format('text')} AS t FROM docs),
-    g AS (SELECT lang, unnest(list_distinct(flatten(list_transform((SELECT list(n) FROM n), lambda k: list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(list_slice(t, i, i + k - 1), ' ')))))) AS gram FROM t),
+    t AS (SELECT record_id, lang, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT record_id, lang, {NAME_TOKENS.format('text')} AS t FROM docs)),
+    r AS (SELECT record_id, lang, n, string_agg(w, ' ') OVER x AS gram, count(*) OVER x AS c FROM t, n WINDOW x AS (PARTITION BY record_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING)),
+    g AS (SELECT DISTINCT record_id, lang, gram FROM r WHERE c = n),
     h AS (SELECT gram, count(*) AS hits, count(*) FILTER (lang = 'en') AS ok FROM g WHERE gram IN (SELECT gram FROM u WHERE length(gram) >= 3) GROUP BY 1), j AS (SELECT * FROM u LEFT JOIN h USING (gram))
     SELECT 0 AS step, 'listed' AS stage, count(*) AS n FROM listed UNION ALL SELECT 1, 'unique', count(*) FROM j UNION ALL SELECT 2, 'long_enough', count(*) FILTER (length(gram) >= 3) FROM j
     UNION ALL SELECT 3, 'with_hits', count(*) FILTER (hits >= 1) FROM j UNION ALL SELECT 4, 'enough_hits', count(*) FILTER (hits >= 3) FROM j UNION ALL SELECT 5, 'admitted', count(*) FILTER (hits >= 3 AND ok / hits >= 0.6) FROM j""",
