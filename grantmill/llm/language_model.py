@@ -141,7 +141,10 @@ class Trainer:
         self.second = [np.zeros_like(p) for p in model.parts]
 
     def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """One update on inputs and targets of shape (time, lanes); returns the state after it."""
+        """One update on inputs and targets of shape (time, lanes); returns the state after it.
+
+        A target below zero is padding and counts for nothing.
+        """
         m, k = self.model, HIDDEN
         table, u_zr, u_n, _, w_c, b_c, w_w, b_w = m.parts
         steps, lanes = x.shape
@@ -150,7 +153,8 @@ class Trainer:
             h, *rest = m.step(x[t], h)
             kept.append(rest)
             states.append(h)
-        hs, target = np.concatenate(states[1:]), y.ravel()
+        live = np.flatnonzero(y.ravel() >= 0)
+        hs, target = np.concatenate(states[1:])[live], y.ravel()[live]
         grads = [np.zeros_like(p) for p in m.parts]
         scale = 1 / len(target)
         classes = target // CLASS_SIZE
@@ -170,7 +174,9 @@ class Trainer:
             q *= scale
             grads[6][c], grads[7][c] = hs[rows].T @ q, q.sum(axis=0)
             dh_out[rows] += q @ w_w[c].T
-        dh_out = dh_out.reshape(steps, lanes, k)
+        dh_all = np.zeros((steps * lanes, k), np.float32)
+        dh_all[live] = dh_out
+        dh_out = dh_all.reshape(steps, lanes, k)
         dh = np.zeros((lanes, k), np.float32)
         inputs = np.zeros((steps, lanes, 3 * k), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -204,17 +210,24 @@ class Trainer:
             p -= np.float32(rate) * a / (np.sqrt(b) + np.float32(1e-6))
 
     def documents(self, docs: Iterator[np.ndarray]) -> int:
-        """Train on token ids of documents as they come; returns the tokens used."""
-        lanes: list[list[np.ndarray]] = [[] for _ in range(LANES)]
-        size = [0] * LANES
+        """Train on token ids of documents as they come; returns the tokens used, which are all.
+
+        Every lane starts after an end token, so each token is a target once.
+        What the lanes hold when the documents end is dealt out anew in equal
+        stretches, so one long document does not leave the other lanes idle; a
+        stretch begins after the token before it.
+        """
+        first = np.zeros(1, np.int64)  # the end token has id 0
+        lanes: list[list[np.ndarray]] = [[first] for _ in range(LANES)]
+        size = [1] * LANES
         h, used = np.zeros((LANES, HIDDEN), np.float32), 0
 
-        def drain(least: int) -> int:
+        def drain() -> int:
             nonlocal h
             done = 0
-            flat = [np.concatenate(lane) if lane else np.zeros(0, np.int64) for lane in lanes]
+            flat = [np.concatenate(lane) for lane in lanes]
             at = 0
-            while min(map(len, flat)) - at > least:
+            while min(map(len, flat)) - at > WINDOW:
                 block = np.stack([f[at : at + WINDOW + 1] for f in flat], axis=1)
                 h = self.window(block[:-1], block[1:], h)
                 done += block[1:].size
@@ -223,13 +236,30 @@ class Trainer:
                 lanes[i], size[i] = [f[at:]], len(f) - at
             return done
 
+        def finish() -> int:
+            rest = [np.concatenate(lane) for lane in lanes]
+            left = sum(len(f) - 1 for f in rest)
+            length = max(WINDOW, -(-left // LANES))
+            pieces = [(f[at : at + length + 1], h[i] if at == 0 else np.zeros(HIDDEN, np.float32))
+                      for i, f in enumerate(rest) for at in range(0, len(f) - 1, length)]
+            pieces.sort(key=lambda x: -len(x[0]))
+            for start in range(0, len(pieces), LANES):
+                part = pieces[start : start + LANES]
+                state, longest = np.stack([s for _, s in part]), len(part[0][0])
+                x, y = np.zeros((longest - 1, len(part)), np.int64), np.full((longest - 1, len(part)), -1)
+                for i, (f, _) in enumerate(part):
+                    x[: len(f) - 1, i], y[: len(f) - 1, i] = f[:-1], f[1:]
+                for at in range(0, longest - 1, WINDOW):
+                    state = self.window(x[at : at + WINDOW], y[at : at + WINDOW], state)
+            return left
+
         for ids in docs:
             shortest = min(range(LANES), key=size.__getitem__)
             lanes[shortest].append(ids)
             size[shortest] += len(ids)
             if min(size) > 20 * WINDOW:
-                used += drain(WINDOW)
-        return used + drain(WINDOW)
+                used += drain()
+        return used + finish()
 
 
 def score_batch(model: Model, docs: list[np.ndarray]) -> np.ndarray:

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,23 @@ def test_odd_and_empty_tables(spark):
         assert quality.score(t, quality.fit(t, labels)).count() == n
         assert simhash.near_duplicates(t).count() == n
     assert line_dedup.removed_lines(none).count() == 0 and token_store.store_roundtrip(none, f"{TOKENIZERS}/word_bpe_49k.json").count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 200])
+def test_language_model_uses_every_token(parts):
+    rng = random.Random(4)
+    given = [[rng.randrange(1, 50) for _ in range(n)] + [0] for n in [5000, 0, 1] + [rng.randint(1, 90) for _ in range(400)]]
+    used, trained = 0, Counter()
+    for k in range(parts):
+        trainer = language_model.Trainer(language_model.Model.new())
+        update = trainer.window
+
+        def window(x, y, h, update=update):
+            trained.update(y[y >= 0].tolist())
+            return update(x, y, h)
+
+        trainer.window = window
+        before = trainer.model.flat()
+        used += trainer.documents(iter([np.array(d) for d in given[k::parts]]))
+        assert (trainer.model.flat() != before).any()
+    assert used == sum(map(len, given)) and trained == Counter(t for d in given for t in d)
