@@ -6,7 +6,7 @@ frequent tokens form the model's vocabulary, in classes by rank; all others
 share one class, inside which they follow their smoothed counts, so the model is
 a distribution over the same tokens as the unigram base.  It is trained in numpy
 by truncated backpropagation: a first fit on a bounded sample in one task, then
-every partition goes on from there with its own share of documents and the
+every partition goes on from there with all its training documents and the
 results are averaged.  Scoring runs many documents in step and carries their
 state from window to window.
 
@@ -42,8 +42,6 @@ HIDDEN = 32
 WINDOW = 24
 #: The first fit: documents taken by a seeded hash, and passes over them.
 SAMPLE, PASSES = 600, 3
-#: Every SHARE-th training document (by its crc) is trained on where it lies.
-SHARE = 12
 LANES = 64
 RATE = 0.004
 
@@ -153,7 +151,8 @@ class Trainer:
             h, *rest = m.step(x[t], h)
             kept.append(rest)
             states.append(h)
-        live = np.flatnonzero(y.ravel() >= 0)
+        live = np.argsort(y.ravel(), kind="stable")  # by class, so that a class is a slice
+        live = live[np.searchsorted(y.ravel()[live], 0) :]
         hs, target = np.concatenate(states[1:])[live], y.ravel()[live]
         grads = [np.zeros_like(p) for p in m.parts]
         scale = 1 / len(target)
@@ -164,13 +163,14 @@ class Trainer:
         p *= scale
         grads[4], grads[5] = hs.T @ p, p.sum(axis=0)
         dh_out = p @ w_c.T
+        bounds = np.searchsorted(classes, np.arange(CLASSES + 1))
         for c in np.unique(classes):
             if c == CLASSES:
                 continue
-            rows = np.flatnonzero(classes == c)
+            rows = slice(bounds[c], bounds[c + 1])
             inner = hs[rows] @ w_w[c] + b_w[c]
             q = np.exp(inner - _log_sum(inner)[:, None])
-            q[np.arange(len(rows)), target[rows] % CLASS_SIZE] -= 1
+            q[np.arange(len(q)), target[rows] % CLASS_SIZE] -= 1
             q *= scale
             grads[6][c], grads[7][c] = hs[rows].T @ q, q.sum(axis=0)
             dh_out[rows] += q @ w_w[c].T
@@ -194,7 +194,9 @@ class Trainer:
             dh = dh * z + drh * r + dzr @ u_zr.T
         flat = inputs.reshape(-1, 3 * k)
         grads[3] = flat.sum(axis=0)
-        np.add.at(grads[0], x.ravel(), flat)
+        order = np.argsort(x.ravel(), kind="stable")
+        seen, begins = np.unique(x.ravel()[order], return_index=True)
+        grads[0][seen] = np.add.reduceat(flat[order], begins)
         self._apply(grads)
         return states[-1]
 
@@ -356,7 +358,7 @@ def _chunks(flat: np.ndarray, weight: float) -> list[tuple[int, bytes, float]]:
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> Model:
-    """Fit on a bounded sample in one task, then once over every ``SHARE``-th training document.
+    """Fit on a bounded sample in one task, then once over every training document.
 
     The second part runs where the documents lie: each task returns its weights
     times the tokens it used, chunk by chunk; sums are combined in two steps so
@@ -407,8 +409,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
         return pa.table({"chunk": [key[0].as_py()], "w": [total.tobytes()], "weight": [weight]})
 
     form = "chunk bigint, w binary, weight double"
-    mine = learn.where(F.crc32(F.concat(F.lit("share"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) % SHARE == 0)
-    parts = mine.select("text").mapInArrow(share, form).withColumn("part", F.spark_partition_id() % 64)
+    parts = learn.select("text").mapInArrow(share, form).withColumn("part", F.spark_partition_id() % 64)
     once = parts.groupBy("chunk", "part").applyInArrow(add, form)
     rows = once.groupBy("chunk").applyInArrow(add, form).collect()
     if not rows:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -152,3 +153,16 @@ def test_language_model_uses_every_token(parts):
         used += trainer.documents(iter([np.array(d) for d in given[k::parts]]))
         assert (trainer.model.flat() != before).any()
     assert used == sum(map(len, given)) and trained == Counter(t for d in given for t in d)
+
+
+def test_language_model_learns_from_every_training_document(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(12))) for i in range(900)]
+    learn = [i for i, _ in rows if zlib.crc32(b"%d" % i) % 10]
+    fitted = set(sorted(learn, key=lambda i: hashlib.md5(b"lm%d" % i).hexdigest())[:600])
+    other = next(i for i in learn if i not in fitted and zlib.crc32(b"share%d" % i) % 12)
+    ids = {language_model.END: 0} | {b"w%d" % k: k + 1 for k in range(60)}
+    vocab = language_model.Vocabulary(ids, 10_000, 61, 0, 0, (100,) * 61)
+    flat = [language_model.train(docs(spark, [(i, "w1 w2 " * 400 if i == changed else t) for i, t in rows]).coalesce(1), vocab).flat()
+            for changed in (None, other)]
+    assert np.abs(flat[0] - flat[1]).max() > 1e-4
