@@ -166,3 +166,35 @@ def test_language_model_learns_from_every_training_document(spark):
     flat = [language_model.train(docs(spark, [(i, "w1 w2 " * 400 if i == changed else t) for i, t in rows]).coalesce(1), vocab).flat()
             for changed in (None, other)]
     assert np.abs(flat[0] - flat[1]).max() > 1e-4
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 40, 200])))) for i in range(30)]
+    for i in range(30, 90):
+        text = rng.choice(rows)[1].split()
+        for _ in range(rng.randint(0, 6)):
+            text[rng.randrange(len(text))] = "edited"
+        rows.append((i, " ".join(text)))
+    rows += [(100, None), (101, " \n"), (102, "w " * 30_000)]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    d = docs(spark, rows)
+    after = simhash.keep_one(d)
+    assert after.columns == d.columns
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted({find(i) for i in sets}) and len({find(i) for i in sets}) < 80
+    assert simhash.keep_one(docs(spark, [])).count() == 0
