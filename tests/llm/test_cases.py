@@ -198,3 +198,18 @@ def test_near_copies_against_brute_force(spark):
     assert after.columns == d.columns
     assert sorted(r["doc_id"] for r in after.collect()) == sorted({find(i) for i in sets}) and len({find(i) for i in sets}) < 80
     assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
+ITEM = ("tom has 5 apples and gives 3 apples to his friend Anna before he walks with her along the quiet river to the old mill, "
+        "where Anna sells all her pears and asks him how many apples are left over")
+
+
+def leaked(spark, text, item=ITEM):
+    return decontam.leaks(docs(spark, [(1, f"before it {text} and after it")]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+
+
+def test_decontamination_keeps_windows_beside_a_conflict(spark):
+    one_name, equal_numbers = ITEM.replace("Anna", "Berta", 1), ITEM.replace("5", "4").replace("3", "4")
+    for text in (one_name, equal_numbers):
+        found = leaked(spark, text)
+        assert len(found) == 1 and found[0]["n_matched"] >= 20 and found[0]["verbatim"] is False
