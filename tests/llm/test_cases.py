@@ -213,3 +213,9 @@ def test_decontamination_keeps_windows_beside_a_conflict(spark):
     for text in (one_name, equal_numbers):
         found = leaked(spark, text)
         assert len(found) == 1 and found[0]["n_matched"] >= 20 and found[0]["verbatim"] is False
+
+
+def test_decontamination_finds_copies_in_other_case(spark):
+    for text in (ITEM.upper(), ITEM.lower(), ITEM.title(), ITEM.upper().replace("5", "8")):
+        found = leaked(spark, text)
+        assert len(found) == 1 and found[0]["n_matched"] == found[0]["n_windows"], text
