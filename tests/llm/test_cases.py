@@ -219,3 +219,9 @@ def test_decontamination_finds_copies_in_other_case(spark):
     for text in (ITEM.upper(), ITEM.lower(), ITEM.title(), ITEM.upper().replace("5", "8")):
         found = leaked(spark, text)
         assert len(found) == 1 and found[0]["n_matched"] == found[0]["n_windows"], text
+
+
+@pytest.mark.parametrize("item", ["Tom Reed 5 km 12 cm 3 kg 4 7 9 11 Anna Berta 8 weeks", "Who wrote the Odyssey?"])
+def test_decontamination_finds_dense_and_short_items(spark, item):
+    assert [r["verbatim"] for r in leaked(spark, item, item)] == [True]
+    assert not leaked(spark, item.replace("5", "6").replace("Odyssey", "Iliad").replace("8", "9").replace("9", "1").replace("Tom Reed", "x y"), item)
