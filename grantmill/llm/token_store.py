@@ -16,9 +16,11 @@ own place; documents may be longer than a block; an empty table gives no blocks.
 from __future__ import annotations
 
 import os
-import re
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from .common import scratch
 
 END_ID = 2
 BLOCK_IDS = 65_536
-#: Words whose ids a worker remembers; then it starts over.
+#: Words whose ids a worker remembers.
 REMEMBERED = 600_000
 PLANES = {"byte": 4, "bit": 32}
 
@@ -60,47 +62,86 @@ class Encoder:
     Words are cut at ASCII white space only.  The tokenizer drops white space,
     its normaliser works character by character and never joins across white
     space, so a text's ids are those of its words one after the other; each
-    distinct word is encoded by the library once while it is remembered.
+    distinct word is encoded by the library once while it is remembered.  Words
+    of two generations are remembered; a word in use moves to the younger one,
+    so only words that were not seen for a long time are forgotten.
     """
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        #: The same model for lower-case Latin words, which the normaliser leaves as they are and which are one piece each.
+        self.letters = Tokenizer.from_file(tokenizer_path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def cut(text: str | None) -> list[bytes]:
         """The words of a text, in fewer distinct forms with the same ids.
 
-        The normaliser lower-cases, so an ASCII text may be lowered before (not
-        if it could hold a special token's name, which is case-sensitive).  A
-        single full stop or comma between a letter and white space is a piece of
-        its own to the tokenizer, so it becomes a word of its own.
+        The normaliser composes, then lower-cases, so A-Z may be lowered before
+        unless a combining mark follows somewhere or the text could hold a
+        special token's name, which is case-sensitive.
         """
         data = (text or "").encode("utf-8", "surrogatepass")
-        if data.isascii() and b"<|" not in data:
-            data = data.lower()
-        return _TAIL.sub(rb" \1", data).split()
+        if b"<|" in data or b"\xcc" in data or b"\xcd" in data:  # the latter: lead bytes of U+0300 to U+037F
+            return data.split()
+        return data.lower().split()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        """Make ``known`` hold the ids of ``words``.
+
+        ASCII punctuation between an ASCII letter or digit and the end of a word
+        is a piece of its own to the tokenizer, so the two parts are looked up.
+        """
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+            new = set(words)
+        known, older = self.known, self.older
+        known.update([(w, older[w]) for w in new if w in older])
+        new.difference_update(known)
+        stems = [(w, w.rstrip(PUNCTUATION)) for w in new if w[-1] in PUNCTUATION and b"<|" not in w]
+        split = [(w, stem, w[len(stem) :]) for w, stem in stems if stem[-1:].isalnum()]
+        new.difference_update([w for w, _, _ in split])
+        new.update([stem for _, stem, _ in split], [tail for _, _, tail in split])
+        new.difference_update(known)
+        self._encode_words(list(new))
+        known.update([(w, known[stem] + known[tail]) for w, stem, tail in split])
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Ids of new words: Latin words in lower case and composed form many at a time, others one by one."""
+        known, texts = self.known, b"\n".join(words).decode("utf-8").split("\n") if words else []
+        plain = [t.isalpha() and (t.isascii() or (max(t) < _LATIN_END and unicodedata.is_normalized("NFC", t))) and t.islower() for t in texts]
+        letters, others = list(compress(words, plain)), [w for w, is_plain in zip(words, plain) if not is_plain]
+        texts = list(compress(texts, plain))
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(texts[at : at + 2000])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()  # the last id of a word closes it, and no other
+            data = ids.tobytes()
+            known.update(zip(part, [data[i:j] for i, j in zip([0, *ends], ends)], strict=True))
+        for at in range(0, len(others), 20_000):
+            part = others[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def encode(self, words: list[bytes]) -> bytes:
+    def encode(self, words: list[bytes], end_id: int = END_ID) -> bytes:
         """Little-endian 32-bit ids of the words and the end id; every word must have been learnt."""
         known = self.known
-        return b"".join([known[w] for w in words]) + END_BYTES
+        return b"".join([known[w] for w in words]) + end_id.to_bytes(4, "little")
 
 
-_TAIL = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
-END_BYTES = np.array([END_ID], dtype="<u4").tobytes()
+PUNCTUATION = string.punctuation.encode()
+_LATIN_END = "\u0250"
 _ENCODERS: dict[str, Encoder] = {}
 
 
