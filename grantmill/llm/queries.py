@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontam, language_model, line_dedup, quality, secrets, simhash, token_store, topk, warc
+from . import (
+    alignment, byte_bpe, decontam, language_model, lexical, line_dedup, packing, quality, secrets, simhash, token_store, topk, warc,
+)
 from .common import scratch, table
 
 #: Folder of the public vocabulary files.
@@ -69,6 +71,23 @@ def op10_token_store(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS)
     return token_store.store_roundtrip(_documents(spark, sf_dir).select("doc_id", "text"), os.path.join(folder, "word_bpe_49k.json"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 ids."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return packing.digests(packing.pack(docs, os.path.join(folder, "word_bpe_49k.json")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers per document, with corpus-wide counts of linked pairs."""
+    paths = [os.path.join(folder, name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_tokens(_documents(spark, sf_dir).select("doc_id", "text"), *paths, public_tokenizers.PATTERN)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(_documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_line_dedup, op2_decontamination, op3_secret_scan, op4_top_k, op5_language_model, op6_byte_bpe, op7_quality, op8_warc,
-              op9_simhash, op10_token_store, pipeline)
+              op9_simhash, op10_token_store, op11_packing, op12_alignment, op13_lexical_search, pipeline)
 }
 
 LINE_SQL = """
