@@ -244,9 +244,7 @@ def encode(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
-                cut = [known.cut(t.as_py()) for t in rows.column(1)]
-                known.learn(set().union(*cut))
-                ids = [known.encode(words, end_id) for words in cut]
+                ids = known.encode(rows.column(1).to_pylist(), end_id)
                 n = [len(x) // 4 for x in ids]
                 ranks, before, crcs = [], [], []
                 for x, size in zip(ids, n):

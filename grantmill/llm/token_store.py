@@ -134,10 +134,17 @@ class Encoder:
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
                 known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def encode(self, words: list[bytes], end_id: int = END_ID) -> bytes:
-        """Little-endian 32-bit ids of the words and the end id; every word must have been learnt."""
-        known = self.known
-        return b"".join([known[w] for w in words]) + end_id.to_bytes(4, "little")
+    def encode(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
+        """Little-endian 32-bit ids of each text and the end id."""
+        get, cut = self.known.get, [self.cut(t) for t in texts]
+        found = [list(map(get, words)) for words in cut]
+        missing: set[bytes] = set()
+        for words, ids in zip(cut, found):
+            if None in ids:
+                missing.update(compress(words, [i is None for i in ids]))
+        self.learn(missing)
+        known, end = self.known, end_id.to_bytes(4, "little")
+        return [b"".join([*([known[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids), end]) for words, ids in zip(cut, found)]
 
 
 PUNCTUATION = string.punctuation.encode()
@@ -177,10 +184,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, mode: str = "by
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = [known.cut(t.as_py()) for t in batch.column(1).slice(at, 500)]
-                known.learn(set().union(*part))
-                for i, words in enumerate(part):
-                    data = known.encode(words)
+                for i, data in enumerate(known.encode(batch.column(1).slice(at, 500).to_pylist())):
                     begins.append({"ordinal": ordinal, "doc_id": batch.column(0)[at + i].as_py(), "offset": size, "n": len(data) // 4})
                     ordinal += 1
                     held.append(data)
