@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,23 +66,60 @@ def _escape(word: str) -> str:
     return "".join(ch if ch.isalnum() or ch == "_" else "\\" + ch for ch in word)
 
 
+def _is_word(ch: str) -> bool:
+    """What ``(?U)\\w`` matches: letters, marks, digits, connectors and joiners."""
+    return ch.isalpha() or unicodedata.category(ch) in ("Mn", "Mc", "Me", "Nd", "Nl", "Pc") or ch in "\u200c\u200d"
+
+
+@dataclass(frozen=True)
+class ParsedTerm:
+    """Words of a term, each with whether it is open-ended, the signs between them, before the first and after the last."""
+
+    words: tuple[tuple[str, bool], ...]
+    gaps: tuple[str, ...]
+    lead: str
+    trail: str
+
+
+def parse_term(term: str) -> ParsedTerm:
+    """A lexicon term in lower case, whitespace runs as one blank.
+
+    Raises ValueError where it has no word character, begins or ends with
+    whitespace, or has a ``*`` elsewhere than at the end of a word that ends there.
+    """
+    text = re.sub(r"\s+", " ", term.lower())
+    words: list[tuple[str, bool]] = []
+    signs, word = [""], ""
+    for k, ch in enumerate(text + " "):
+        if _is_word(ch):
+            word += ch
+            continue
+        star = ch == "*"
+        if star and (not word or text[k + 1 : k + 2] not in ("", " ")):
+            raise ValueError(f"misplaced wildcard in {term!r}")
+        if word:
+            words.append((word, star))
+            signs.append("")
+            word = ""
+        if not star and k < len(text):
+            signs[-1] += ch
+    if not words or text != text.strip(" "):
+        raise ValueError(f"malformed term {term!r}")
+    return ParsedTerm(tuple(words), tuple(signs[1:-1]), signs[0], signs[-1])
+
+
 def term_pattern(term: str) -> str:
     """Regular expression of a lexicon term.
 
-    ``*`` stands for the rest of a word, a space for any whitespace run, and
+    ``*`` stands for the rest of a word, whitespace for any whitespace run, and
     both ends must fall on word edges (Unicode aware, hence ``(?U)``).
     """
-    words = [r"\w*".join(_escape(p) for p in w.split("*")) for w in term.lower().split(" ")]
+    words = [r"\w*".join(_escape(p) for p in w.split("*")) for w in re.split(r"\s+", term.lower())]
     head = r"\b" if re.match(WORD, term) else r"(?<!\w)"
     tail = r"\b" if re.search(r"[\w*]$", term) else r"(?!\w)"
     return "(?U)" + head + r"\s+".join(words) + tail
 
 
-def term_tokens(term: str) -> list[tuple[str, bool]]:
-    """Word runs of a term, each with whether it is open-ended (``*``)."""
-    return [(m.group(1), bool(m.group(2))) for m in re.finditer(r"(\w+)(\*?)", term.lower())]
-
-
 def cue_pattern(alternatives: Iterable[str]) -> str:
     return r"(?U)\b(?:" + "|".join(alternatives) + r")\b"
 
@@ -90,13 +129,6 @@ def first_match(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 0)
 
 
-def matches_term(text: Column, term: str) -> Column:
-    """Literal-substring guard first, so the regex runs only where it can match."""
-    anchor = max((w for w, _ in term_tokens(term)), key=len, default="")
-    guard = F.contains(text, F.lit(anchor)) if anchor else F.lit(True)
-    return guard & F.rlike(text, F.lit(term_pattern(term)))
-
-
 def letter_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 

@@ -1,42 +1,34 @@
 """Matching documents against a lexicon, shuffle-free.
 
-Two physical forms give the same ``array<int>`` of term positions:
-
-* ``scan``: one guarded literal regex per term; best for a handful of terms.
-* ``tokens``: tokenise once, find the key token or stem of every term by hash
-  intersection, and run the exact regex only where the key alone does not
-  settle it.  One pass over the text however large the lexicon is, and the
-  expression stays small because the terms are one constant array.
-
-Neither joins documents to terms, so there is no skew and no shuffle.
+The lexicon is a constant inverted index.  Every term is filed under one key, the
+longest of its words or, where all are open-ended (``*``), the first letters of
+the longest.  A text is cut once into words and the gaps between them.  Words
+that are keys (hash sets) are looked up in a constant hash table of buckets, and
+the few terms found there are settled on the words and gaps around the place.
+No term is tested by itself and no pattern is compiled for a row, so the time
+hardly depends on the number of terms.
+
+Documents never join terms, so there is no skew and no shuffle.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Sequence
-from re import _constants, _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (
-    cue_pattern,
-    fence,
-    keyword_in_context,
-    matches_term,
-    squeeze,
-    term_pattern,
-    term_tokens,
-)
+from ..functions.text import cue_pattern, fence, keyword_in_context, parse_term, squeeze, term_pattern
 from .. import vocab
 from .lexicon import Lexicon, Term
 
-SCAN_LIMIT = 12
-# Open-ended terms are found by this many leading characters, then verified;
-# one length keeps it to one pass over the tokens.
+#: Open-ended terms are filed under so many letters at most.
 HEAD = 5
+_ENTRY = ("struct<k:string,i:int,o:int,n:int,w:array<struct<p:int,t:string,s:boolean>>,g:array<struct<p:int,t:string>>,"
+          "a:string,z:string>")
 
 
 def literal(values: Sequence, ddl: str) -> Column:
@@ -53,55 +45,77 @@ def string_array(values: Sequence[str]) -> Column:
     return literal(values, "string")
 
 
-def _scan(df: DataFrame, text: str, terms: Sequence[Term], out: str) -> DataFrame:
-    picks = [F.when(matches_term(F.col(text), t.term), F.lit(t.ord)).otherwise(F.lit(-1)) for t in terms]
-    return df.withColumn(out, fence(F.array_remove(F.array(*picks), -1)))
+def _entry(term: Term) -> dict:
+    """A term in the index: its key, and what must stand around the key's place.
 
+    ``p`` counts words from the key; ``w``: words (``s``: only their beginning),
+    ``g``: gaps before words, ``a`` and ``z``: signs before the first and after
+    the last word; ``o`` words lie before the key, the term has ``n``.  A term
+    that is its key has no ``w``.
+    """
+    parsed = parse_term(term.term)
+    closed = [k for k, (_, stem) in enumerate(parsed.words) if not stem]
+    at = max(closed or range(len(parsed.words)), key=lambda k: len(parsed.words[k][0]))
+    word, stem = parsed.words[at]
+    key = word[:HEAD] + "*" if stem else word  # '*' is in no word, so it marks the beginning of one
+    alone = len(parsed.words) == 1 and not parsed.lead and not parsed.trail and key == word + "*" * stem
+    return {
+        "k": key, "i": term.ord, "o": at, "n": len(parsed.words), "a": parsed.lead, "z": parsed.trail,
+        "w": None if alone else [{"p": k - at, "t": w, "s": s} for k, (w, s) in enumerate(parsed.words)],
+        "g": [{"p": k + 1 - at, "t": g} for k, g in enumerate(parsed.gaps)],
+    }
 
-def _tokens(df: DataFrame, text: str, terms: Sequence[Term], out: str) -> DataFrame:
-    exact, stems, plan = set(), {}, []
-    for t in terms:
-        runs = term_tokens(t.term)
-        closed = [w for w, open_ended in runs if not open_ended]
-        if closed:
-            key, is_stem = max(closed, key=len), False
-            exact.add(key)
-        else:
-            key, is_stem = max((w for w, _ in runs), key=len)[:HEAD], True
-            stems.setdefault(len(key), set()).add(key)
-        whole = len(runs) == 1 and t.term.lower() == key + "*" * is_stem
-        # '*' cannot be part of a token, so it marks a stem key
-        plan.append({"i": t.ord, "k": key + "*" * is_stem, "p": None if whole else term_pattern(t.term)})
-
-    words, found = f"{out}__w", f"{out}__k"
-    df = df.withColumn(
-        words, F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)(\w+)"), F.lit(1)))
-    )
 
-    def heads(n):
-        return F.transform(F.col(words), lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*")))
+def _bucket(key: Column, buckets: int) -> Column:
+    return (F.crc32(key.cast("binary")) % buckets).cast("int")
 
-    hits = [F.array_intersect(F.col(words), string_array(sorted(exact)))]
-    hits += [F.array_intersect(heads(n), string_array([k + "*" for k in sorted(keys)])) for n, keys in sorted(stems.items())]
-    df = df.withColumn(found, F.concat(*hits))
-    candidates = F.filter(
-        literal(plan, "struct<i:int,k:string,p:string>"),
-        lambda t: F.array_contains(F.col(found), t["k"]) & (t["p"].isNull() | F.rlike(F.col(text), t["p"])),
-    )
-    hit = F.when(F.size(found) > 0, F.transform(candidates, lambda t: t["i"])).otherwise(int_array([]))
-    return df.withColumn(out, fence(hit)).drop(words, found)
+
+def _words_in(keys: set[str]) -> str:
+    return ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in sorted(keys))
 
 
-def match_terms(
-    df: DataFrame, text: str, lexicon: Lexicon, out: str = "hits", method: str = "auto"
-) -> DataFrame:
-    """Add the positions of all lexicon terms found in lower-cased ``text``."""
-    terms = lexicon.terms
-    if not terms:
+def match_terms(df: DataFrame, text: str, lexicon: Lexicon, out: str = "hits") -> DataFrame:
+    """Add the positions of all lexicon terms found in lower-cased ``text``, in lexicon order.
+
+    Raises ValueError for a malformed term (see ``parse_term``).
+    """
+    entries = [_entry(t) for t in lexicon.terms]
+    if not entries:
         return df.withColumn(out, int_array([]))
-    if method == "auto":
-        method = "scan" if len(terms) <= SCAN_LIMIT else "tokens"
-    return {"scan": _scan, "tokens": _tokens}[method](df, text, terms, out)
+    buckets: list[list[dict]] = [[] for _ in range(1 << (2 * len(entries)).bit_length())]
+    for e in entries:
+        buckets[zlib.crc32(e["k"].encode()) % len(buckets)].append(e)
+    words, gaps, places = f"{out}__w", f"{out}__g", f"{out}__p"
+    whole = {e["k"] for e in entries if not e["k"].endswith("*")}
+    heads: dict[int, set[str]] = {}
+    for e in entries:
+        if e["k"].endswith("*"):
+            heads.setdefault(len(e["k"]) - 1, set()).add(e["k"][:-1])
+    df = df.withColumn(words, fence(F.regexp_extract_all(F.col(text), F.lit(r"(?U)(\w+)"), F.lit(1))))
+    # (key, place) of every word that is a key or begins with one
+    keyed = [f"filter(transform(`{words}`, (w, i) -> struct(w AS k, i)), x -> x.k IN ({_words_in(whole)}))"] if whole else []
+    keyed += [f"filter(transform(`{words}`, (w, i) -> struct(concat(left(w, {n}), '*') AS k, i)), x -> x.k IN ({_words_in({k + '*' for k in keys})}))"
+              for n, keys in sorted(heads.items())]
+    df = df.withColumn(places, fence(F.concat(*[F.expr(k) for k in keyed])))
+    single = all(e["w"] is None for e in entries)
+    cut = F.lit(None).cast("array<string>") if single else F.when(F.size(places) > 0, F.split(F.col(text), r"(?U)\w+", -1))
+    df = df.withColumn(gaps, fence(cut))
+    table = literal(buckets, f"array<{_ENTRY}>")
+
+    def stands(e: Column, at: Column) -> Column:
+        first, last = at - e["o"], at - e["o"] + e["n"] - 1
+        before, after = squeeze(F.get(gaps, first)), squeeze(F.get(gaps, last + 1))
+        return (
+            F.forall(e["w"], lambda w: F.when(w["s"], F.startswith(F.get(words, at + w["p"]), w["t"])).otherwise(F.get(words, at + w["p"]) == w["t"]))
+            & F.forall(e["g"], lambda g: squeeze(F.get(gaps, at + g["p"])) == g["t"])
+            & ((e["a"] == "") | (F.endswith(before, e["a"]) & ((before != e["a"]) | (first == 0))))
+            & ((e["z"] == "") | (F.startswith(after, e["z"]) & ((after != e["z"]) | (last == F.size(words) - 1))))
+        )
+
+    found = F.transform(places, lambda x: F.transform(
+        F.filter(F.get(table, _bucket(x["k"], len(buckets))), lambda e: (e["k"] == x["k"]) & (e["w"].isNull() | stands(e, x["i"]))), lambda e: e["i"]))
+    hits = F.when(F.size(places) > 0, F.array_sort(F.array_distinct(F.flatten(found)))).otherwise(int_array([]))
+    return df.withColumn(out, fence(hits)).drop(words, gaps, places)
 
 
 def term_names(hits: Column, lexicon: Lexicon, ids: Sequence[int] | None = None) -> Column:
@@ -139,27 +153,45 @@ def screen(df: DataFrame, text: str, terms: Sequence[str], flag: str = "flagged"
     return hit.withColumns({flag: F.size("__s") > 0, out: term_names(F.col("__s"), lex)}).drop("__s")
 
 
-def cue_literals(alternatives: Sequence[str]) -> list[str]:
-    """A literal every alternative must contain, for a cheap guard.
+def _plain_run(pattern: str) -> str | None:
+    """The longest run of characters that stand by themselves in a pattern; None where there may be none.
 
-    Only letters that stand by themselves in the parsed pattern count: whatever a
-    group, a class, a choice or a quantifier holds may be absent.  Without a
-    literal, or for syntax the parser does not know, there is no guard.
+    Whatever a group, a class or a quantifier holds may be absent, so it ends a
+    run; so does any escape that is not a sign's own.  A choice has no such run.
     """
-    out = []
-    for alt in alternatives:
-        try:
-            parsed = _parser.parse(alt)
-        except re.error:
-            return []
-        if parsed.state.flags & re.IGNORECASE:
-            return []
-        plain = "".join(chr(value) if kind is _constants.LITERAL else "\0" for kind, value in parsed)
-        longest = max(plain.split("\0"), key=len)
-        if not longest:
-            return []
-        out.append(longest)
-    return list(dict.fromkeys(out))
+    runs, depth, in_class, k = [""], 0, False, 0
+    while k < len(pattern):
+        ch, step = pattern[k], 1
+        plain = None
+        if ch == "\\":
+            step = 2
+            plain = pattern[k + 1 : k + 2] if not pattern[k + 1 : k + 2].isalnum() else None
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        elif ch == "|" and depth == 0:
+            return None
+        elif ch in "*+?{":
+            if depth == 0:
+                runs[-1] = runs[-1][:-1]
+            step = pattern.index("}", k) - k + 1 if ch == "{" else 1
+        elif ch not in ".^$":
+            plain = ch
+        if plain and depth == 0 and not in_class and ch != "]":
+            runs[-1] += plain
+        else:
+            runs.append("")
+        k += step
+    return max(runs, key=len) or None
+
+
+def cue_literals(alternatives: Sequence[str]) -> list[str]:
+    """A literal every alternative must contain, for a cheap guard; none if some alternative has none."""
+    runs = [None if "(?" in alt and not re.fullmatch(r"(?:[^(]|\((?!\?)|\(\?:)*", alt) else _plain_run(alt) for alt in alternatives]
+    return [] if None in runs else list(dict.fromkeys(runs))
 
 
 def cue(text: Column, alternatives: Sequence[str]) -> Column:

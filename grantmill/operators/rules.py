@@ -56,7 +56,6 @@ class RuleSet:
     tie_margin: float = vocab.TIE_MARGIN
     evidence_floor: float = vocab.EVIDENCE_FLOOR
     rel_margin: float = vocab.REL_MARGIN
-    method: str = "auto"
 
 
 def _lookup(key: Column, table: Mapping[str, Column]) -> Column:
@@ -71,7 +70,7 @@ def evidence(df: DataFrame, title: str, body: str, rules: RuleSet) -> DataFrame:
     lex, cues = rules.lexicon, rules.cues
     text = F.col("_text")
     df = df.withColumn("_text", evidence_text(F.col(title), F.col(body)))
-    df = match_terms(df, "_text", lex, "_hits", rules.method)
+    df = match_terms(df, "_text", lex, "_hits")
     df = df.withColumn("_older", cue(text, cues["older_reference"]))
 
     free = lex.ids("keyword", requires=None)

@@ -41,11 +41,10 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("method", ["scan", "tokens"])
-def test_rule_cases(spark, method):
+def test_rule_cases(spark):
     rows = [(i, t, b) for i, (t, b, _, _) in enumerate(CASES)]
     df = spark.createDataFrame(rows, "id int, title string, body string")
-    got = {r.id: r for r in classify(df, "title", "body", RuleSet(small_lexicon(), method=method)).collect()}
+    got = {r.id: r for r in classify(df, "title", "body", RuleSet(small_lexicon())).collect()}
     wrong = [
         (t, label, rule, got[i].label, got[i].rule_path)
         for i, (t, _, label, rule) in enumerate(CASES)
@@ -80,25 +79,51 @@ MATCHER = [
     ("long-term care", "long-term care homes", True), ("long-term care", "long-term\ncare", True),
     ("c. elegans", "in c. elegans worms", True), ("c. elegans", "in cx elegans worms", False),
     ("tion*", "station", False), ("über", "überall", False), ("li-ion", "a li-ion cell", True),
-    ("aging", "åaging", False), ("home care", "care home", False),
+    ("aging", "åaging", False), ("home care", "care home", False), ("(ai)", "some (ai) here", True), ("(ai)", "x(ai)", False),
+    ("nad+", "nad++ x", True), ("nad+", "nad+x", False), ("nad+", "ends in nad+", True), ("of the of", "of the of the", True),
+    ("a - b", "a  -\tb", True), ("a - b", "a-b", False), ("e* of", "ends of", True), ("it's", "it\\'s it's", True), ("b", "a, b", True),
 ]
 
 
 def test_matcher(spark):
-    for method in ("scan", "tokens"):
-        for term, text, want in MATCHER:
-            df = spark.createDataFrame([(text,)], "t string")
-            got = match_terms(df, "t", Lexicon.phrases([term]), method=method).first()["hits"]
-            assert (got == [0]) is want, (method, term, text)
-    df = spark.createDataFrame([(t,) for _, t, _ in MATCHER], "t string")
+    lexicon = Lexicon.phrases(list(dict.fromkeys(t for t, _, _ in MATCHER)))
+    df = spark.createDataFrame([(i, text) for i, (_, text, _) in enumerate(MATCHER)], "id int, t string")
+    together = {r["id"]: r["hits"] for r in match_terms(df, "t", lexicon).collect()}
+    place = {t.term: t.ord for t in lexicon.terms}
+    wrong = [(term, text) for i, (term, text, want) in enumerate(MATCHER) if (place[term] in together[i]) is not want]
+    assert not wrong
+    for term, text, want in MATCHER[:6]:
+        alone = match_terms(df.where(F.col("t") == text), "t", Lexicon.phrases([term])).first()["hits"]
+        assert (alone == [0]) is want, (term, text)
     assert df.filter(F.col("t").rlike(term_pattern("aging"))).count() == 1
 
 
-def test_both_forms_agree_on_documents(spark):
+def test_malformed_terms_are_rejected(spark):
+    df = spark.createDataFrame([("t",)], "t string")
+    for term in ("t*n", "*aging", "", "*", " aging", "aging ", "a**", "aging *", "co*-op"):
+        with pytest.raises(ValueError):
+            match_terms(df, "t", Lexicon.phrases([term]))
+
+
+def test_empty_and_null_texts(spark):
+    df = spark.createDataFrame([(None,), ("",), (" ;",), ("aging",)], "t string")
+    for terms in (["aging"], ["aging", "home care", "a*"]):
+        got = match_terms(df, "t", Lexicon.phrases(terms)).collect()
+        assert [r["hits"] for r in got[:3]] == [[], [], []] and 0 in got[3]["hits"]
+
+
+@pytest.mark.parametrize("size", [12, 13, 400])
+def test_index_agrees_with_patterns_on_documents(spark, size):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("t", F.lower("text"))
-    words = ["the", "tion*", "von der", "with", "no such thing", "e*", "la", "que", "und", "license*", "of the", "en*", "in"]
-    lex = Lexicon.phrases(words)
-    both = match_terms(match_terms(docs, "t", lex, "a", "scan"), "t", lex, "b", "tokens")
+    words = ["the", "tion*", "von der", "with", "no such thing", "e*", "la", "que", "und", "license*", "of the", "en*", "in"][:size]
+    some = docs.selectExpr("explode(regexp_extract_all(t, '(?U)(\\\\w+)', 1)) w").distinct().orderBy("w").limit(8000).collect()
+    words += [r["w"] for r in some[:: max(1, len(some) // max(1, size - 13))]][: max(0, size - 13)]
+    lex = Lexicon.phrases(list(dict.fromkeys(words)))
+    found = match_terms(docs, "t", lex, "a").select("doc_id", "t", "a")
+    checked = [t for t in lex.terms if t.ord < 13 or t.ord % 40 == 0]
+    picks = F.array_remove(F.array(*[F.when(F.col("t").rlike(term_pattern(t.term)), F.lit(t.ord)).otherwise(F.lit(-1)) for t in checked]), -1)
+    ids = F.array(*[F.lit(t.ord) for t in checked])
+    both = found.withColumn("b", F.coalesce(picks, F.array().cast("array<int>"))).withColumn("a", F.array_intersect("a", ids))
     assert both.filter("a != b").count() == 0
     assert both.filter("size(a) > 0").count() > 0
     assert explode_hits(both, lex, "doc_id", hits="a").count() == both.selectExpr("sum(size(a))").first()[0]
@@ -126,7 +151,8 @@ def test_cue_literals_are_required():
 
 def test_cue_guard_ignores_what_may_be_absent():
     assert cue_literals(["colou*r"]) == ["colo"] and cue_literals(["(?:foo(?:x)?bar|baz)"]) == []
-    assert cue_literals(["old(?:er)?", "[ab]c"]) == ["old", "c"] and cue_literals(["(?i)abc"]) == [] and cue_literals(["a\\p{L}"]) == []
+    assert cue_literals(["old(?:er)?", "[ab]c"]) == ["old", "c"] and cue_literals(["(?i)abc"]) == [] and cue_literals(["a\\p{L}"]) == ["a"]
+    assert cue_literals(["ab|cd"]) == [] and cue_literals(["a{2,3}bcd"]) == ["bcd"] and cue_literals(["x\\.yz\\b"]) == ["x.yz"]
 
 
 def test_entity_funnel_finds_long_names_and_digits(spark):
