@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import stats
-from .ranking import keep_one
+from .ranking import global_rank, keep_one
 
 ANSWERS = vocab.ANSWERS
 
@@ -61,6 +61,11 @@ def with_consensus(counts: DataFrame) -> DataFrame:
     )
 
 
+def contested_ranking(rows: DataFrame, out: str = "rank") -> DataFrame:
+    """Records by contention, then money, with their places."""
+    return global_rank(rows, [F.desc("contention"), F.desc("amount_eur"), F.col("record_id")], out)
+
+
 def per_record(batch: DataFrame, judgments: DataFrame, answer: str = "geroscience", label: str = "label") -> DataFrame:
     """One study row per batch record, judged or not."""
     counts = answer_counts(judgments, answer)

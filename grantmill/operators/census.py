@@ -14,7 +14,7 @@ from .matching import int_array, literal, match_terms, term_names
 from .ranking import top_k
 
 
-def label_census(df: DataFrame, title: str, body: str, lexicon: Lexicon, method: str = "auto") -> DataFrame:
+def label_census(df: DataFrame, title: str, body: str, lexicon: Lexicon) -> DataFrame:
     """Highest category score wins, the earlier category on a tie.
 
     Anchors count in English only.  Without any score, exclusion hits make a
@@ -22,7 +22,7 @@ def label_census(df: DataFrame, title: str, body: str, lexicon: Lexicon, method:
     """
     base, cats = df.columns, lexicon.categories()
     df = df.withColumn("_t", evidence_text(F.col(title), F.col(body)))
-    df = match_terms(df, "_t", lexicon, "_h", method)
+    df = match_terms(df, "_t", lexicon, "_h")
     df = df.withColumn(
         "anchor_matched", F.size(F.array_intersect("_h", int_array(lexicon.ids("anchor", lang="en")))) > 0
     )

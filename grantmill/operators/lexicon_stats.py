@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from .lexicon import Lexicon, term_problem
-from .matching import explode_hits, int_array, match_terms
+from .matching import explode_hits, hits_of, int_array
 from .ranking import top_k
 
 
@@ -21,18 +21,21 @@ def proxy_of(category: Column, proxies: Mapping[str, str] = vocab.PROXY_LABEL) -
     return out
 
 
-def hits_by_label(df: DataFrame, text: str, label: str, lexicon: Lexicon, method: str = "auto") -> DataFrame:
-    """Long table ``(term position, label, n)`` of document counts."""
-    matched = match_terms(df.select(text, F.col(label).alias("label")), text, lexicon, "hits", method)
+def hits_by_label(df: DataFrame, text: str, label: str, lexicon: Lexicon, hits: str | None = None) -> DataFrame:
+    """Long table ``(term position, label, n)`` of document counts.
+
+    Where labels come from a join, match first and name the column of ``hits``.
+    """
+    matched = hits_of(df, text, lexicon, hits, F.col(label).alias("label"))
     return matched.select("label", F.explode("hits").alias("ord")).groupBy("ord", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def term_stats(df: DataFrame, text: str, label: str, lexicon: Lexicon, method: str = "auto") -> DataFrame:
+def term_stats(df: DataFrame, text: str, label: str, lexicon: Lexicon, hits: str | None = None) -> DataFrame:
     """Hits and precision against the (proxy) category label, per term.
 
     Terms without a hit stay, with zeros.
     """
-    counts = hits_by_label(df, text, label, lexicon, method)
+    counts = hits_by_label(df, text, label, lexicon, hits)
     table = lexicon.to_table(df.sparkSession).withColumn("target", proxy_of(F.col("category")))
     j = table.join(counts, "ord", "left")
     agg = j.groupBy("ord", "term", "role", "category", "lang").agg(
@@ -43,18 +46,19 @@ def term_stats(df: DataFrame, text: str, label: str, lexicon: Lexicon, method: s
     return agg.withColumn("exact_precision", exact).withColumn("precision", F.round(exact, 3))
 
 
-def false_hits(df: DataFrame, text: str, label: str, lexicon: Lexicon, record_id: str, title: str, k: int = 3) -> DataFrame:
+def false_hits(df: DataFrame, text: str, label: str, lexicon: Lexicon, record_id: str, title: str, k: int = 3,
+               hits: str | None = None) -> DataFrame:
     """First k documents per term whose label is not the target."""
-    matched = match_terms(df, text, lexicon, "hits")
+    matched = hits_of(df, text, lexicon, hits, record_id, label, title)
     rows = explode_hits(matched, lexicon, record_id, F.col(label).alias("label"), F.substring(title, 1, 110).alias("title"))
     wrong = rows.filter(~F.coalesce(F.col("label") == proxy_of(F.col("category")), F.lit(False)))
     slim = wrong.select("ord", "term", "category", record_id, "label", "title")
     return top_k(slim, ["ord"], [F.col(record_id)], k)
 
 
-def coverage(df: DataFrame, text: str, label: str, lexicon: Lexicon, method: str = "auto") -> DataFrame:
+def coverage(df: DataFrame, text: str, label: str, lexicon: Lexicon, hits: str | None = None) -> DataFrame:
     """Share of a category's records that some keyword of it matches."""
-    matched = match_terms(df.select(text, F.col(label).alias("label")), text, lexicon, "hits", method)
+    matched = hits_of(df, text, lexicon, hits, F.col(label).alias("label"))
     cats = lexicon.categories()
     cells = F.array(
         *[
@@ -124,11 +128,11 @@ def stale_stats(stored: DataFrame, fresh: DataFrame, keys: list[str], columns: l
     return j.withColumn("stale", differing).filter(F.size("stale") > 0)
 
 
-def exclusion_stats(df: DataFrame, text: str, label: str, lexicon: Lexicon) -> DataFrame:
-    """Hits and undecided share of the exclusion markers."""
-    only = Lexicon.of(t for t in lexicon.terms if t.role == "exclusion")
-    counts = hits_by_label(df, text, label, only)
-    j = only.to_table(df.sparkSession).select("ord", "term").join(counts, "ord", "left")
+def exclusion_stats(df: DataFrame, text: str, label: str, lexicon: Lexicon, hits: str | None = None) -> DataFrame:
+    """Hits and undecided share of the exclusion markers; ``hits`` are positions in ``lexicon``."""
+    only = lexicon.to_table(df.sparkSession).where("role = 'exclusion'")
+    counts = hits_by_label(df, text, label, lexicon, hits)
+    j = only.select("ord", "term").join(counts, "ord", "left")
     return j.groupBy("ord", "term").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("hits"),
         F.coalesce(F.sum(F.when(F.col("label") == "ambiguous", F.col("n"))), F.lit(0)).alias("amb"),

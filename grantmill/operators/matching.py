@@ -118,6 +118,13 @@ def match_terms(df: DataFrame, text: str, lexicon: Lexicon, out: str = "hits") -
     return df.withColumn(out, fence(hits)).drop(words, gaps, places)
 
 
+def hits_of(df: DataFrame, text: str, lexicon: Lexicon, hits: str | None, *keep: str | Column) -> DataFrame:
+    """``keep`` and ``hits``.  A column of hits that was found before a join is taken as it is, so the join need not carry texts."""
+    if hits:
+        return df.select(*keep, F.col(hits).alias("hits"))
+    return match_terms(df.select(text, *keep), text, lexicon, "hits").drop(text)
+
+
 def term_names(hits: Column, lexicon: Lexicon, ids: Sequence[int] | None = None) -> Column:
     """Term texts of the hits, in lexicon order, optionally of some ids only."""
     chosen = hits if ids is None else F.array_intersect(hits, int_array(ids))

@@ -1,8 +1,8 @@
 """Candidate mining and validation.
 
-Gram counting is one explode and one keyed aggregate that counts every
-category at once, so a hot gram is combined map-side.  Only grams that pass
-the thresholds are joined back to documents.
+Grams of the blind spot are counted first; only those with support are counted
+in all documents, in one keyed aggregate, so a hot gram is combined map-side.
+Only grams that pass the thresholds are joined back to documents.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from ..functions.text import cased_tokens, distinct_grams, explode_once, fence,
 from ..session import materialise
 from .lexicon import Lexicon, Term
 from .lexicon_stats import proxy_of
-from .matching import covered, match_terms
-from .ranking import top_k
+from .matching import covered, hits_of
+from .ranking import global_rank, top_k
 
 
-def grams(df: DataFrame, record_id: str, text: str, stopwords: Iterable[str] = (), max_n: int = 3) -> DataFrame:
+def grams(df: DataFrame, record_id: str, text: str, stopwords: Iterable[str], max_n: int = 3) -> DataFrame:
     """One row per document and distinct gram."""
     return df.select(record_id, explode_once(distinct_grams(F.col(text), stopwords, max_n)).alias("gram"))
 
@@ -44,18 +44,6 @@ def _unpivot(df: DataFrame, keys: Sequence[str], categories: Sequence[str], name
     return df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
 
 
-def gram_counts(rows: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """``(gram, category, a, b)``: documents of the blind spot and background.
-
-    ``rows`` is (gram, expert, blind) with one row per document and gram.
-    """
-    sums = []
-    for i, c in enumerate(categories):
-        sums.append(F.count_if((F.col("expert") == c) & F.col("blind")).alias(f"a_{i}"))
-        sums.append(F.count_if(F.col("expert") != c).alias(f"b_{i}"))
-    return _unpivot(rows.groupBy("gram").agg(*sums), ["gram"], categories, ["a", "b"])
-
-
 def title_totals(docs: DataFrame, categories: Sequence[str]) -> DataFrame:
     """``(category, n_pos, n_bg)``: distinct titles on each side."""
     sides = docs.groupBy("title_key").agg(
@@ -82,19 +70,35 @@ def prepare(docs: DataFrame, categories: Sequence[str] = vocab.CATEGORIES) -> Da
     )
 
 
+def supported_grams(docs: DataFrame, stopwords: Iterable[str], min_pos: int) -> DataFrame:
+    """``(gram, category, a)``: grams of at least ``min_pos`` blind-spot documents of a category."""
+    blind = docs.filter("blind").select(F.col("expert").alias("category"), explode_once(distinct_grams(F.col("text"), stopwords)).alias("gram"))
+    return blind.groupBy("gram", "category").agg(F.count(F.lit(1)).alias("a")).filter(F.col("a") >= min_pos)
+
+
 def scored_grams(
     docs: DataFrame, stopwords: Iterable[str], categories: Sequence[str] = vocab.CATEGORIES, min_pos: int = 3
 ) -> DataFrame:
-    """``(gram, category, a, b, n_pos, n_bg, lift)`` for grams with a >= min_pos."""
-    per_doc = docs.select("expert", "blind", explode_once(distinct_grams(F.col("text"), stopwords)).alias("gram"))
-    counts = gram_counts(per_doc, categories).filter(F.col("a") >= min_pos)
+    """``(gram, category, a, b, n_pos, n_bg, lift)`` for grams with a >= min_pos.
+
+    Two passes: the blind spot is small and says which grams have support; of the
+    other documents only those grams reach the keyed count.  The supported grams
+    are stored, so the semi-join knows their size and broadcasts them only if
+    they are few.
+    """
+    supported = materialise(supported_grams(docs, stopwords, min_pos), "mining-supported")
+    every = docs.select("expert", explode_once(distinct_grams(F.col("text"), stopwords)).alias("gram"))
+    cells = every.join(supported.select("gram"), "gram", "left_semi").groupBy("gram", "expert").agg(F.count(F.lit(1)).alias("n"))
+    held = cells.groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("expert", "n"))).alias("by"))
+    counts = supported.join(held, "gram").select(
+        "gram", "category", "a", (F.col("total") - F.coalesce(F.col("by")[F.col("category")], F.lit(0))).alias("b"))
     # the totals have one row per category of the vocabulary
     j = counts.join(F.broadcast(title_totals(docs, categories)), "category")
     return j.withColumn("lift", lift(F.col("a"), F.col("b"), F.col("n_pos"), F.col("n_bg")))
 
 
 def mine_candidates(
-    docs: DataFrame, lexicon: Lexicon, stopwords: Iterable[str] = (),
+    docs: DataFrame, lexicon: Lexicon, stopwords: Iterable[str],
     categories: Sequence[str] = vocab.CATEGORIES, min_pos: int = 3, min_lift: float = 3.0, per_category: int = 60,
 ) -> DataFrame:
     """Candidate terms from the blind spot of the rules.
@@ -170,21 +174,22 @@ def longest_example(rows: DataFrame, key: str, text: str, order: str) -> DataFra
 
 def validate_candidates(
     candidates: Lexicon, labelled: DataFrame, census: DataFrame, thresholds: Mapping[str, tuple[int, float]],
-    text: str = "text", method: str = "auto",
+    text: str = "text", hits: str | None = None,
 ) -> DataFrame:
     """Two gates and the admission decision per candidate.
 
     ``labelled`` has text, legacy label and expert label (nullable); ``census``
     holds the undecided records with text and amount.  Candidates carry their
-    category and language; a trap has ``requires='trap'``.
+    category and language; a trap has ``requires='trap'``.  ``hits`` names a column
+    of candidates found in ``labelled`` before its labels were joined.
     """
     spark = labelled.sparkSession
     table = candidates.to_table(spark).withColumn("target", proxy_of(F.col("category")))
-    m = match_terms(labelled.select(text, "legacy", "expert"), text, candidates, "hits", method)
+    m = hits_of(labelled, text, candidates, hits, "legacy", "expert")
     counts = m.select("legacy", "expert", F.explode("hits").alias("ord")).groupBy("ord", "legacy", "expert").agg(
         F.count(F.lit(1)).alias("n")
     )
-    c = match_terms(census.select(text, "amount"), text, candidates, "hits", method)
+    c = hits_of(census, text, candidates, None, "amount")
     impact = c.select("amount", F.explode("hits").alias("ord")).groupBy("ord").agg(
         F.count(F.lit(1)).alias("census_ambiguous_hits"), F.sum(F.col("amount").cast(MONEY)).cast("double").alias("eur")
     )
@@ -231,9 +236,14 @@ def decision_rank(c: Column) -> Column:
     return F.array_position(F.array(*[F.lit(d) for d in DECISION_ORDER]), c)
 
 
-def genericity(labelled: DataFrame, text: str, candidates: Lexicon, label: str = "label") -> DataFrame:
+def decision_order(decided: DataFrame, out: str = "position") -> DataFrame:
+    """Candidates by decision, category and falling precision, with their places."""
+    return global_rank(decided, [decision_rank(F.col("decision")), F.col("category"), F.desc("prec_expert"), F.col("term")], out)
+
+
+def genericity(labelled: DataFrame, text: str, candidates: Lexicon, label: str = "label", hits: str | None = None) -> DataFrame:
     """Share of a candidate's already classified hits in its own category."""
-    m = match_terms(labelled.select(text, F.col(label).alias("label")), text, candidates, "hits")
+    m = hits_of(labelled, text, candidates, hits, F.col(label).alias("label"))
     counts = m.filter(F.col("label").isin(vocab.CATEGORIES)).select("label", F.explode("hits").alias("ord")).groupBy("ord", "label").count()
     j = candidates.to_table(labelled.sparkSession).join(counts, "ord", "left")
     return j.groupBy("ord", "term", "category").agg(

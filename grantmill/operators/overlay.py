@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import keep_one
-from .ratio import funding_ratio
+from .ratio import compare_labels
 
 
 def latest_success(log: DataFrame, key: str = "record_id", order: Sequence[str] = ("seq",)) -> DataFrame:
@@ -43,15 +43,13 @@ def overlay(labels: DataFrame, adjudicated: DataFrame, default_by: str = "model"
     )
 
 
-def compare_scenarios(rules: DataFrame, adjudicated: DataFrame, *by: str) -> DataFrame:
-    """Both ratios side by side per group."""
-    a = funding_ratio(rules, *by).select(
-        *by, F.col("ratio").alias("rules_ratio"), F.col("ambiguous_share").alias("rules_ambiguous_share")
-    )
-    b = funding_ratio(adjudicated, *by).select(
-        *by, F.col("ratio").alias("adjudicated_ratio"), F.col("ambiguous_share").alias("adjudicated_ambiguous_share")
-    )
-    return a.join(b, list(by), "full")
+def compare_scenarios(labels: DataFrame, adjudicated: DataFrame, *by: str, key: str = "record_id") -> DataFrame:
+    """Ratios before and after adjudication side by side per group: one scan of the labels, one aggregate."""
+    both = overlay(labels.withColumn("rules_label", F.col("label")), adjudicated, key=key)
+    out = compare_labels(both, *by, before="rules_label", after="label")
+    names = {"before_ratio": "rules_ratio", "before_ambiguous_share": "rules_ambiguous_share",
+             "after_ratio": "adjudicated_ratio", "after_ambiguous_share": "adjudicated_ambiguous_share"}
+    return out.withColumnsRenamed(names)
 
 
 def attach(labels: DataFrame, other: DataFrame, key: str = "record_id", how: str = "inner") -> DataFrame:

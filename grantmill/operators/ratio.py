@@ -55,6 +55,22 @@ def finish(df: DataFrame, *keys: str | Column) -> DataFrame:
     )
 
 
+def compare_labels(df: DataFrame, *by: str, before: str, after: str, amount: str = "amount_eur") -> DataFrame:
+    """Ratio and undecided share by either of two label columns of the same rows, from one aggregate."""
+    money = F.col(amount).cast(MONEY)
+    out = df.groupBy(*by).agg(*[_sum(F.when(F.col(column) == v, money)).alias(f"{side}_d_{v}")
+                                for side, column in (("before", before), ("after", after)) for v in vocab.LABELS])
+
+    def shares(side: str) -> list[Column]:
+        def total(names: Sequence[str]) -> Column:
+            return sum((F.col(f"{side}_d_{n}") for n in names[1:]), F.col(f"{side}_d_{names[0]}"))
+
+        den, amb = total(vocab.CATEGORIES), F.col(f"{side}_d_ambiguous")
+        return [share(total(vocab.NUMERATOR), den, 4).alias(f"{side}_ratio"), share(amb, den + amb, 4).alias(f"{side}_ambiguous_share")]
+
+    return out.select(*by, *shares("before"), *shares("after"))
+
+
 def funding_ratio(df: DataFrame, *by: str, label: str = "label", amount: str = "amount_eur") -> DataFrame:
     return finish(df.groupBy(*by).agg(*measures(F.col(label), F.col(amount))), *by)
 
@@ -141,34 +157,36 @@ def label_transitions(df: DataFrame, before: str, after: str, amount: str = "amo
 def leave_one_out(
     df: DataFrame, region: str = "region", record_id: str = "record_id", label: str = "label", amount: str = "amount_eur"
 ) -> DataFrame:
-    """The grant whose removal moves a region's ratio most.
+    """The grant whose removal moves a region's ratio most; the smallest id of equals.
 
-    Totals are one row per region; each grant subtracts its own terms from
-    them, so no group is ever gathered in one place.
+    On either side of the ratio the move grows with the amount taken out, so only
+    the largest and the smallest amount of each side can win: one aggregate with
+    map-side combine, whatever the number of grants.  Where one grant holds all
+    money it has no ratio without it, and a grant without money wins with no move.
     """
     money = F.coalesce(F.col(amount).cast(MONEY), F.lit(0).cast(MONEY))
-    rows = df.filter(F.col(label).isin(vocab.CATEGORIES)).select(
-        F.col(region).alias("region"),
-        F.col(record_id).alias("record_id"),
-        money.alias("den"),
-        F.when(F.col(label).isin(vocab.NUMERATOR), money).otherwise(F.lit(0).cast(MONEY)).alias("num"),
-    )
-    totals = rows.groupBy("region").agg(F.sum("num").alias("all_num"), F.sum("den").alias("all_den"))
-    swing = rows.join(totals, "region").select(
-        "region",
-        "record_id",
-        share(F.col("all_num"), F.col("all_den")).alias("base"),
-        share(F.col("all_num") - F.col("num"), F.col("all_den") - F.col("den")).alias("without"),
-    ).withColumn("swing", F.abs(F.col("without") - F.col("base")))
-    best = F.min_by(
-        F.struct("record_id", "base", "without", "swing"), F.struct((-F.col("swing")).alias("s"), F.col("record_id"))
-    )
-    return swing.filter("swing IS NOT NULL").groupBy("region").agg(best.alias("b")).select(
+    counted, upper = F.col(label).isin(vocab.CATEGORIES), F.col(label).isin(vocab.NUMERATOR)
+    rows = df.filter(counted).select(F.col(region).alias("region"), F.col(record_id).alias("record_id"), money.alias("m"), upper.alias("upper"))
+    sides = {"upper_most": (F.col("upper"), -1), "upper_least": (F.col("upper"), 1), "lower_most": (~F.col("upper"), -1),
+             "lower_least": (~F.col("upper"), 1), "none": (F.col("m") == 0, 1)}
+    best = rows.groupBy("region").agg(
+        F.sum(F.when(F.col("upper"), F.col("m")).otherwise(F.lit(0).cast(MONEY))).alias("num"), F.sum("m").alias("den"),
+        *[F.min(F.when(side, F.struct((sign * F.col("m")).alias("k"), "record_id", F.col("m").alias("m"), "upper"))).alias(name)
+          for name, (side, sign) in sides.items()])
+
+    def without(grant: Column) -> Column:
+        num = F.when(grant["upper"], F.col("num") - grant["m"]).otherwise(F.col("num"))
+        return F.when(grant.isNotNull(), share(num, F.col("den") - grant["m"]))
+
+    base = share(F.col("num"), F.col("den"))
+    moves = F.array(*[F.struct((-F.abs(without(F.col(n)) - base)).alias("s"), F.col(n)["record_id"].alias("record_id"), without(F.col(n)).alias("without"))
+                      for n in sides])
+    return best.select("region", base.alias("base"), F.array_min(F.filter(moves, lambda v: v["s"].isNotNull())).alias("b")).filter("b IS NOT NULL").select(
         "region",
         F.col("b.record_id").alias("record_id"),
-        F.round("b.base", 6).alias("ratio"),
+        F.round("base", 6).alias("ratio"),
         F.round("b.without", 6).alias("ratio_without"),
-        F.round("b.swing", 6).alias("swing"),
+        F.round(-F.col("b.s"), 6).alias("swing"),
     )
 
 

@@ -51,5 +51,5 @@ def build_adjudicated(labels: DataFrame, log: DataFrame) -> Scenario:
     return Scenario(merged, ratio_rollup(merged))
 
 
-def scenario_table(rules: DataFrame, adjudicated: DataFrame) -> DataFrame:
-    return compare_scenarios(rules, adjudicated, "region")
+def scenario_table(labels: DataFrame, log: DataFrame) -> DataFrame:
+    return compare_scenarios(labels, latest_success(log), "region")

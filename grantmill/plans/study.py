@@ -32,7 +32,7 @@ def results(batch: DataFrame, judgments: DataFrame) -> dict[str, DataFrame]:
     flat = batch.withColumn("label", F.col("_hidden.classifier_label"))
     rows = agreement.per_record(flat, judgments)
     return {
-        "contested": rows.orderBy(F.desc("contention"), F.desc(F.coalesce(F.col("amount_eur"), F.lit(0)))),
+        "contested": agreement.contested_ranking(rows.withColumn("amount_eur", F.coalesce("amount_eur", F.lit(0)))).orderBy("rank"),
         "coverage": agreement.study_coverage(batch, judgments),
         "observed_agreement": agreement.observed_agreement(judgments),
         "fleiss_kappa": agreement.fleiss_kappa(judgments),

@@ -80,10 +80,10 @@ def contention_consensus(t):
     return study_rows(t).select(*STUDY_COLS.split(", "))
 
 
-@query("contested_ranking", f"WITH {STUDY} SELECT record_id, contention, CAST(coalesce(amount_eur, 0) AS DOUBLE) AS amount_eur FROM per_record")
+@query("contested_ranking", f"WITH {STUDY} SELECT record_id, contention, CAST(coalesce(amount_eur, 0) AS DOUBLE) AS amount_eur, row_number() OVER (ORDER BY contention DESC, coalesce(amount_eur, 0) DESC, record_id) AS rank FROM per_record")
 def contested_ranking(t):
     rows = study_rows(t).select("record_id", "contention", F.coalesce(F.col("amount_eur"), F.lit(0)).cast("double").alias("amount_eur"))
-    return rows.orderBy(F.desc("contention"), F.desc("amount_eur"), "record_id")
+    return agreement.contested_ranking(rows)
 
 
 @query(

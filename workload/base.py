@@ -371,8 +371,9 @@ def ruled_documents(t: Tables, experts: bool = False) -> DataFrame:
     """Documents labelled by the fixture rules (whole texts)."""
     from grantmill.operators.rules import classify
 
-    docs = documents(t)
-    return classify(with_experts(t, docs) if experts else docs, "title", "abstract", RULES)
+    # rules run on the scan: a join below them would carry the texts
+    ruled = classify(documents(t), "title", "abstract", RULES)
+    return with_experts(t, ruled) if experts else ruled
 
 
 RULED = DOCUMENTS + "," + rules_sql(RULES, "docs", "ev")

@@ -41,7 +41,7 @@ MANY = [
 )
 def match_pairs(t):
     lex = Lexicon.phrases(MANY)
-    hit = matching.match_terms(documents(t).select("record_id", "t"), "t", lex, "hits", "tokens")
+    hit = matching.match_terms(documents(t).select("record_id", "t"), "t", lex, "hits")
     rows = matching.explode_hits(hit, lex, "record_id")
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("record_id").alias("ids"))
 
@@ -88,19 +88,21 @@ stats AS (SELECT t.ord, term, role, category, lang, coalesce(sum(n), 0)::BIGINT
   FROM terms t LEFT JOIN c ON t.ord = c.ord GROUP BY ALL)"""
 
 
-def _labelled(t):
-    return with_experts(t, documents(t)).select("record_id", "title", "t", "llm_category", "expert_label", "lang")
+def _labelled(t, lexicon=LEXICON):
+    """Documents with their hits, found before the labels are joined; the join carries no texts."""
+    found = matching.match_terms(documents(t), "t", lexicon, "hits").select("record_id", F.substring("title", 1, 110).alias("title"), "hits", "lang")
+    return with_experts(t, found).select("record_id", "title", "hits", "llm_category", "expert_label", "lang")
 
 
 @query("term_stats", f"WITH {STATS} SELECT ord::BIGINT AS ord, term, role, hits, target_hits, CASE WHEN hits > 0 THEN round(target_hits / hits, 3) ELSE 0 END AS precision FROM stats")
 def term_stats(t):
-    s = lexicon_stats.term_stats(_labelled(t), "t", "llm_category", LEXICON)
+    s = lexicon_stats.term_stats(_labelled(t), "t", "llm_category", LEXICON, "hits")
     return s.select(F.col("ord").cast("bigint").alias("ord"), "term", "role", "hits", "target_hits", "precision")
 
 
 @query("term_hits_by_label", f"WITH {STATS} SELECT ord::BIGINT AS ord, label, n FROM c")
 def term_hits_by_label(t):
-    return lexicon_stats.hits_by_label(_labelled(t), "t", "llm_category", LEXICON).select(F.col("ord").cast("bigint").alias("ord"), "label", "n")
+    return lexicon_stats.hits_by_label(_labelled(t), "t", "llm_category", LEXICON, "hits").select(F.col("ord").cast("bigint").alias("ord"), "label", "n")
 
 
 @query(
@@ -112,7 +114,7 @@ def term_hits_by_label(t):
     QUALIFY row_number() OVER (PARTITION BY h.ord ORDER BY record_id) <= 3""",
 )
 def false_hits(t):
-    f = lexicon_stats.false_hits(_labelled(t), "t", "llm_category", LEXICON, "record_id", "title")
+    f = lexicon_stats.false_hits(_labelled(t), "t", "llm_category", LEXICON, "record_id", "title", hits="hits")
     return f.select(F.col("ord").cast("bigint").alias("ord"), "term", "record_id", "label", "title")
 
 
@@ -124,7 +126,7 @@ def false_hits(t):
     ),
 )
 def category_coverage(t):
-    return lexicon_stats.coverage(_labelled(t), "t", "llm_category", LEXICON)
+    return lexicon_stats.coverage(_labelled(t), "t", "llm_category", LEXICON, "hits")
 
 
 THRESHOLDS = {"en": (30, 0.5), "sv": (5, 0.4)}
@@ -174,7 +176,7 @@ def _audit_sql() -> str:
 def term_audit(t):
     table = AUDITED.to_table(t.spark)
     fine = Lexicon(tuple(x for x in AUDITED.terms if x.term != "bad*term"))
-    stats = lexicon_stats.term_stats(_labelled(t), "t", "llm_category", fine)
+    stats = lexicon_stats.term_stats(_labelled(t, fine), "t", "llm_category", fine, "hits")
     return lexicon_stats.audit_terms(stats, table, THRESHOLDS)
 
 
@@ -208,7 +210,7 @@ STORED = [("from", 364, 0.5), ("dans", 92, 0.4), ("nicht", 1, 0.3), ("absent", 0
 )
 def stale_stats(t):
     stored = t.spark.createDataFrame(STORED, "term string, hits bigint, precision double")
-    fresh = lexicon_stats.term_stats(_labelled(t), "t", "llm_category", LEXICON).filter("role = 'keyword'")
+    fresh = lexicon_stats.term_stats(_labelled(t), "t", "llm_category", LEXICON, "hits").filter("role = 'keyword'")
     return lexicon_stats.stale_stats(stored, fresh, ["term"], ["hits", "precision"]).select("term", "stale")
 
 
@@ -222,7 +224,7 @@ EXCLUDED = [x.term for x in LEXICON.terms if x.role == "exclusion"]
     FROM x LEFT JOIN h ON x.term = h.term GROUP BY 1""",
 )
 def exclusion_stats(t):
-    return lexicon_stats.exclusion_stats(_labelled(t), "t", "llm_category", LEXICON)
+    return lexicon_stats.exclusion_stats(_labelled(t), "t", "llm_category", LEXICON, "hits")
 
 
 # ---- rule labels --------------------------------------------------------------

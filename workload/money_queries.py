@@ -53,9 +53,7 @@ def funder_ranking(t):
     FROM fx JOIN fy USING (region)""",
 )
 def ratio_scenario_compare(t):
-    labels = labelled_customers(t)
-    merged = overlay.overlay(labels, overlay.latest_success(adjudication_log(t), order=["answered", "seq"]))
-    return overlay.compare_scenarios(labels, merged, "region")
+    return overlay.compare_scenarios(labelled_customers(t), overlay.latest_success(adjudication_log(t), order=["answered", "seq"]), "region")
 
 
 @query(
@@ -462,17 +460,18 @@ SCORE = """count(*) FILTER (predicted AND a) AS tp, count(*) FILTER (predicted A
 def human_awards(t):
     """Documents as awards: quality 0 is the first slot, toxic the second."""
     from grantmill.operators.lexicon import Lexicon
+    from grantmill.functions.text import fence
     from grantmill.operators.matching import match_terms
 
-    d = with_experts(t, documents(t))
+    hit = match_terms(documents(t), "t", Lexicon.phrases(["worthless", "stupid", "idiot"]), "_p")
+    found = hit.withColumns({"predicted": F.size("_p") > 0, "redacted": fence(F.col("t").rlike("license|apache"))})
+    d = with_experts(t, found)
     coding = F.when(F.col("quality").isNull(), "Automated").when((F.col("toxic") == 1) & (F.col("quality") == 0), "Mixed").otherwise("Manual")
     slots = F.array_compact(F.array(F.when(F.col("quality") == 0, "low quality"), F.when(F.col("toxic") == 1, "toxic")))
-    d = d.select(
+    return d.select(
         "record_id", "title", "abstract", "t", "source", coding.alias("coding_type"), slots.alias("health_categories"),
-        F.col("amount_eur").alias("value_gbp"), F.col("t").rlike("license|apache").alias("redacted"), "quality", "toxic",
+        F.col("amount_eur").alias("value_gbp"), "redacted", "quality", "toxic", "predicted",
     )
-    hit = match_terms(d, "t", Lexicon.phrases(["worthless", "stupid", "idiot"]), "_p")
-    return hit.withColumn("predicted", F.size("_p") > 0).drop("_p")
 
 
 @query(

@@ -183,12 +183,16 @@ def judge_flags(t):
     return j.select("record_id", gate.judge_flagged(F.col("judges"), F.col("stale")).alias("flagged"))
 
 
-@query("review_order", f"WITH {VERDICTS} SELECT record_id FROM (SELECT record_id, j.record_id IS NULL OR old OR failed OR NOT rel AS flagged FROM records LEFT JOIN judges j USING (record_id))")
+@query(
+    "review_order",
+    f"""WITH {VERDICTS}, f AS (SELECT record_id, j.record_id IS NULL OR old OR failed OR NOT rel AS flagged FROM records LEFT JOIN judges j USING (record_id))
+    SELECT record_id, flagged, row_number() OVER (ORDER BY NOT flagged, record_id) AS position FROM f""",
+)
 def review_order(t):
     records, _, marks = gate_tables(t)
     j = records.join(marks, "record_id", "left")
     flagged = j.select("record_id", gate.judge_flagged(F.col("judges"), F.col("stale")).alias("flagged"))
-    return ranking.review_order(flagged, "flagged", "record_id").select("record_id")
+    return ranking.review_order(flagged, "flagged", "record_id")
 
 
 def wilson_sql(k: str, n: str):

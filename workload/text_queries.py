@@ -8,9 +8,10 @@ from grantmill import vocab
 from grantmill.functions.text import evidence_text, strip, url_quote
 from grantmill.operators import awards, mining
 from grantmill.operators.lexicon import Lexicon, Term
+from grantmill.operators.matching import match_terms
 from grantmill.operators.ranking import top_k
 
-from .base import ARD, CARE, DOCUMENTS, FA, INT, LEXICON, RULED_EXPERTS, SOC, documents, query, ruled_documents, sql_has, sql_hits, sql_list
+from .base import ARD, CARE, DOCUMENTS, FA, INT, LEXICON, RULED_EXPERTS, SOC, documents, query, ruled_documents, sql_has, sql_hits, sql_list, with_experts
 
 STOP = ["the", "and", "for", "with", "les", "und", "los"]
 
@@ -156,10 +157,12 @@ def _gates_sql() -> str:
 
 
 def gated(t):
-    r = ruled_documents(t, experts=True).withColumn("low", evidence_text(F.col("title"), F.col("abstract")))
-    labelled = r.select(F.col("low").alias("text"), F.col("llm_category").alias("legacy"), F.col("expert_label").alias("expert"))
-    undecided = r.filter("label = 'ambiguous'").select(F.col("low").alias("text"), F.col("amount_eur").alias("amount"))
-    return mining.validate_candidates(PROPOSED, labelled, undecided, GATES)
+    docs = documents(t).withColumn("text", evidence_text(F.col("title"), F.col("abstract")))
+    found = match_terms(docs, "text", PROPOSED, "found").select("record_id", "lang", "found")
+    labelled = with_experts(t, found).select("found", F.col("llm_category").alias("legacy"), F.col("expert_label").alias("expert"))
+    low = evidence_text(F.col("title"), F.col("abstract"))
+    undecided = ruled_documents(t).filter("label = 'ambiguous'").select(low.alias("text"), F.col("amount_eur").alias("amount"))
+    return mining.validate_candidates(PROPOSED, labelled, undecided, GATES, hits="found")
 
 
 @query("candidate_gates", _gates_sql())
@@ -167,10 +170,13 @@ def candidate_gates(t):
     return gated(t)
 
 
-@query("decision_order", f"SELECT category, term, decision FROM ({_gates_sql()})")
+@query(
+    "decision_order",
+    f"""SELECT category, term, decision, row_number() OVER (ORDER BY list_position([{sql_list(mining.DECISION_ORDER)}], decision), category, prec_expert DESC, term) AS position
+    FROM ({_gates_sql()})""",
+)
 def decision_order(t):
-    g = gated(t)
-    return g.orderBy(mining.decision_rank(F.col("decision")), "category", F.desc("prec_expert"), "term").select("category", "term", "decision")
+    return mining.decision_order(gated(t)).select("category", "term", "decision", "position")
 
 
 @query(
@@ -180,7 +186,7 @@ def decision_order(t):
     SELECT term, category, count(h.ord) AS classified_hits, CASE WHEN count(h.ord) > 0 THEN round(count(*) FILTER (label = category) / count(h.ord), 3) END AS own_share FROM c LEFT JOIN h ON c.ord = h.ord GROUP BY c.ord, term, category""",
 )
 def genericity_guard(t):
-    return mining.genericity(ruled_documents(t, experts=True).select("t", "label"), "t", PROPOSED)
+    return mining.genericity(ruled_documents(t).select("t", "label"), "t", PROPOSED)
 
 
 LANGS = ["en", "fr", "de", "es"]
