@@ -89,10 +89,16 @@ def observed_agreement(judgments: DataFrame, answer: str = "geroscience") -> Dat
 
 def fleiss_kappa(judgments: DataFrame, answer: str = "geroscience", min_records: int = vocab.MIN_RECORDS_FOR_KAPPA) -> DataFrame:
     """Chance-corrected agreement with a variable number of raters."""
-    c = answer_counts(judgments, answer).withColumn("n", _n()).filter(F.col("n") >= vocab.MIN_JUDGMENTS)
-    item = sum(F.col(f"n_{a}") * (F.col(f"n_{a}") - 1) for a in ANSWERS) / (F.col("n") * (F.col("n") - 1))
-    agg = c.agg(F.count(F.lit(1)).alias("records"), F.avg(item).alias("p_bar"), F.sum("n").alias("ratings"),
-                *[F.sum(f"n_{a}").alias(f"t_{a}") for a in ANSWERS])
+    return fleiss_of_counts(answer_counts(judgments, answer), min_records=min_records)
+
+
+def fleiss_of_counts(counts: DataFrame, weight: str | None = None, min_records: int = vocab.MIN_RECORDS_FOR_KAPPA) -> DataFrame:
+    """The same from answer counts; ``weight``: how many records a row stands for."""
+    w = F.col(weight) if weight else F.lit(1)
+    c = counts.withColumns({"__n": _n(), "__w": w}).filter(F.col("__n") >= vocab.MIN_JUDGMENTS)
+    item = sum(F.col(f"n_{a}") * (F.col(f"n_{a}") - 1) for a in ANSWERS) / (F.col("__n") * (F.col("__n") - 1))
+    agg = c.agg(F.coalesce(F.sum("__w"), F.lit(0)).alias("records"), (F.sum(item * F.col("__w")) / F.sum("__w")).alias("p_bar"),
+                F.sum(F.col("__n") * F.col("__w")).alias("ratings"), *[F.sum(F.col(f"n_{a}") * F.col("__w")).alias(f"t_{a}") for a in ANSWERS])
     p_e = sum(F.pow(F.col(f"t_{a}") / F.col("ratings"), F.lit(2.0)) for a in ANSWERS)
     return agg.withColumn("p_e", p_e).select(
         "records", F.round("p_bar", 6).alias("p_bar"), F.round("p_e", 6).alias("p_e"),

@@ -30,12 +30,10 @@ def effective_verdicts(verdicts: DataFrame) -> DataFrame:
 
 
 def review_state(records: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Records with their verdict labels folded: reviewers, conflict, consensus."""
-    v = effective_verdicts(verdicts).groupBy("record_id").agg(
-        F.count_distinct("reviewer").alias("reviewers"), F.min("label").alias("lo"), F.max("label").alias("hi")
-    )
+    """Records with their verdict labels folded: reviewed, conflict, consensus."""
+    v = effective_verdicts(verdicts).groupBy("record_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     j = records.join(v, "record_id", "left")
-    reviewed = F.col("reviewers").isNotNull()
+    reviewed = F.col("lo").isNotNull()
     conflict = reviewed & (F.col("lo") != F.col("hi"))
     settled = reviewed & ~conflict
     return j.withColumns(
@@ -45,7 +43,15 @@ def review_state(records: DataFrame, verdicts: DataFrame) -> DataFrame:
             "consensus_label": F.when(settled, F.col("lo")),
             "agreed": F.coalesce(settled & (F.col("lo") == F.col("label")), F.lit(False)),
         }
-    ).drop("lo", "hi", "reviewers")
+    ).drop("lo", "hi")
+
+
+def conflict_list(records: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``record_id, split, label, verdicts``: records whose reviewers differ, with each reviewer's label in order of the reviewers."""
+    told = effective_verdicts(verdicts).groupBy("record_id").agg(
+        F.array_sort(F.collect_set(F.struct("reviewer", F.col("label").alias("verdict_label")))).alias("verdicts"),
+        F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    return records.select("record_id", "split", "label").join(told.select("record_id", "verdicts"), "record_id")
 
 
 def judge_flagged(judges: Column, stale: Column, dimensions: Sequence[str] = tuple(vocab.GATE_JUDGE_DIMENSIONS)) -> Column:
@@ -56,25 +62,36 @@ def judge_flagged(judges: Column, stale: Column, dimensions: Sequence[str] = tup
     return judges.isNull() | F.coalesce(stale, F.lit(False)) | ~passes
 
 
-def summarise(records: DataFrame, verdicts: DataFrame, judge_marks: DataFrame | None = None) -> DataFrame:
-    """Gate metrics combined and per split, in one aggregate.
+GATE_CELLS = "split string, reviewed boolean, conflict boolean, settled boolean, agreed boolean, ambiguous boolean, judge_flag boolean"
 
-    A record counts once however many reviewers it has; conflicting reviewers
-    leave the agreement figures.  ``judge_marks`` has record_id, judges, stale.
-    """
+
+def gate_cells(records: DataFrame, verdicts: DataFrame, judge_marks: DataFrame | None = None) -> DataFrame:
+    """Records counted by all that the gate's metrics ask of them; ``judge_marks`` has record_id, judges, stale."""
     s = review_state(records, verdicts)
     if judge_marks is not None:
         s = s.join(judge_marks.select("record_id", "judges", F.col("stale").alias("judge_stale")), "record_id", "left")
         s = s.withColumn("judge_flag", judge_flagged(F.col("judges"), F.col("judge_stale")))
     else:
         s = s.withColumn("judge_flag", F.lit(True))
-    settled, amb = F.col("consensus_label").isNotNull(), F.col("label") == "ambiguous"
-    agg = s.groupingSets([[F.col("split")], []], F.col("split")).agg(
+    settled, ambiguous = F.col("consensus_label").isNotNull(), F.coalesce(F.col("label") == "ambiguous", F.lit(False))
+    cells = s.groupBy("split", "reviewed", "conflict", settled.alias("settled"), "agreed", ambiguous.alias("ambiguous"), "judge_flag")
+    return cells.agg(F.count(F.lit(1)).alias("n"))
+
+
+def gate_summary(cells: DataFrame) -> DataFrame:
+    """Gate metrics combined and per split, from the cells.
+
+    A record counts once however many reviewers it has; conflicting reviewers
+    leave the agreement figures.
+    """
+    zero = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    agreed, settled, amb = F.col("agreed"), F.col("settled"), F.col("ambiguous")
+    agg = cells.groupingSets([[F.col("split")], []], F.col("split")).agg(
         F.grouping_id().alias("gid"),
-        F.count(F.lit(1)).alias("total"), F.count_if("reviewed").alias("reviewed"), F.count_if("conflict").alias("conflicts"),
-        F.count_if(settled).alias("consensus_reviewed"), F.count_if("agreed").alias("agreed"),
-        F.count_if(settled & amb).alias("ambiguous_reviewed"), F.count_if(F.col("agreed") & amb).alias("ambiguous_confirmed"),
-        F.count_if("judge_flag").alias("judge_flagged"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), zero(F.col("reviewed")).alias("reviewed"), zero(F.col("conflict")).alias("conflicts"),
+        zero(settled).alias("consensus_reviewed"), zero(agreed).alias("agreed"),
+        zero(settled & amb).alias("ambiguous_reviewed"), zero(agreed & amb).alias("ambiguous_confirmed"),
+        zero(F.col("judge_flag")).alias("judge_flagged"),
     )
     low, high = wilson(F.col("agreed"), F.col("consensus_reviewed"))
     n = F.col("consensus_reviewed")
@@ -86,6 +103,11 @@ def summarise(records: DataFrame, verdicts: DataFrame, judge_marks: DataFrame |
     )
 
 
+def summarise(records: DataFrame, verdicts: DataFrame, judge_marks: DataFrame | None = None) -> DataFrame:
+    """Gate metrics of all records and verdicts, combined and per split."""
+    return gate_summary(gate_cells(records, verdicts, judge_marks))
+
+
 def consensus(verdicts: DataFrame) -> DataFrame:
     """Agreed label per record, with the first reviewer's note."""
     return (

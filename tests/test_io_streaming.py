@@ -11,7 +11,8 @@ from grantmill.operators.ratio import ratio_rollup
 from grantmill.plans import lexicon_loop
 from grantmill.operators.rules import RuleSet
 from grantmill.sources import readers, writers
-from grantmill.streaming.judgments import batch_state, compact, current_state, run_rejected, run_state, without_undone
+from grantmill.operators.agreement import fleiss_kappa
+from grantmill.streaming.judgments import batch_state, gate_state, run_rejected, run_state, study_state, study_summary, without_undone
 from lexicons import small_lexicon
 
 
@@ -98,31 +99,80 @@ def test_writers(spark, folder):
 EVENT = "record_id string, labeller_id string, geroscience string, labelled_at timestamp, seq bigint"
 
 
+def state_rows(state, spark, before=2**31 - 1):
+    return {tuple(r) for r in state.current(spark, before).select("record_id", "labeller_id", "geroscience", "seq").collect()}
+
+
 def test_stream_equals_batch(spark, folder):
     files = [
         [("r1", "ann", "yes", "2024-01-01 10:00:00", 1), ("r1", "bob", "no", "2024-01-01 10:00:00", 2), ("r2", "Ann!", "no", "2024-01-01 10:00:00", 3)],
         [("r1", "ann", "no", "2024-01-02 10:00:00", 4), ("r3", "ann", "maybe", "2024-01-02 10:00:00", 5), ("r1", "bob", None, "2024-01-02 11:00:00", 6)],
         [("r1", "ann", "yes", "2023-12-31 10:00:00", 7), ("r9", "ann", "yes", "2024-01-03 10:00:00", 8), ("r2", "ann", "yes", "2024-01-03 10:00:00", 9)],
+        [("r2", "bob", "no", "2024-01-04 10:00:00", 10), ("r2", "ann", "yes", "2024-01-03 10:00:00", 9)],
     ]
     schema = "record_id string, labeller_id string, geroscience string, labelled_at string, seq bigint"
     known = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "record_id string")
-    seen = []
+    seen, state = [], study_state(f"{folder}/state", EVENT, buckets=4)
+
+    def note(s, batch):
+        seen.append((batch, {(r["kind"], r["who"], r["n_yes"], r["n_no"], r["n"]) for r in s.summary(spark).collect()}))
+
     for i, rows in enumerate(files):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{folder}/in")
-        stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
-        q = run_state(stream, f"{folder}/state", f"{folder}/cp", known=known, on_batch=lambda s, b: seen.append(b))
-        q.awaitTermination()
+        stream = spark.readStream.schema(EVENT).json(f"{folder}/in")
+        run_state(stream, state, f"{folder}/cp", known=known, on_batch=note).awaitTermination()
+        log = spark.read.schema(EVENT).json(f"{folder}/in").join(known, "record_id", "left_semi")
+        want = batch_state(log)
+        assert state_rows(state, spark) == {tuple(r) for r in want.select("record_id", "labeller_id", "geroscience", "seq").collect()}
+        live = study_summary(state.summary(spark)).first()
+        assert (live.total_judgments, live.n_labellers) == want.where("geroscience IS NOT NULL").selectExpr("count(*)", "count(DISTINCT labeller_id)").first()
+        assert live.kappa == fleiss_kappa(want).first().kappa
+        if i == 2:
+            assert state.compact(spark) == 1
     run_rejected(spark.readStream.schema(EVENT).json(f"{folder}/in"), f"{folder}/bad", f"{folder}/cp-bad", known).awaitTermination()
     bad = {(r.seq, r.rejected) for r in spark.read.parquet(f"{folder}/bad").collect()}
     assert bad == {(3, "labeller_id must be a slug"), (5, "unknown answer"), (8, "unknown record")}
-    state = current_state(spark, f"{folder}/state")
-    log = spark.read.schema(EVENT).json(f"{folder}/in").join(known, "record_id", "left_semi")
-    want = {tuple(r) for r in batch_state(log).select("record_id", "labeller_id", "geroscience", "seq").collect()}
-    got = {tuple(r) for r in state.select("record_id", "labeller_id", "geroscience", "seq").collect()}
-    assert got == want == {("r1", "ann", "no", 4), ("r1", "bob", None, 6), ("r2", "ann", "yes", 9)}
-    assert without_undone(state).count() == 2 and len(seen) >= 3
-    compact(spark, f"{folder}/state", f"{folder}/state2")
-    assert {tuple(r) for r in current_state(spark, f"{folder}/state2").select("record_id", "labeller_id", "geroscience", "seq").collect()} == got
+    assert state_rows(state, spark) == {("r1", "ann", "no", 4), ("r1", "bob", None, 6), ("r2", "ann", "yes", 9), ("r2", "bob", "no", 10)}
+    assert without_undone(state.current(spark)).count() == 3 and [b for b, _ in seen] == [0, 1, 2, 3]
+    # an undo takes its contribution away, a late older event changes nothing
+    assert seen[0][1] == {("record", None, 1, 1, 1), ("labeller", "ann", None, None, 1), ("labeller", "bob", None, None, 1)}
+    assert seen[1][1] == {("record", None, 0, 1, 1), ("labeller", "ann", None, None, 1)}
+    assert seen[2][1] == {("record", None, 0, 1, 1), ("record", None, 1, 0, 1), ("labeller", "ann", None, None, 2)}
+    # a replay of the newest batch, after folding, gives the same version
+    before = state_rows(state, spark)
+    events = spark.read.schema(EVENT).json(f"{folder}/in").where("seq >= 9 AND record_id = 'r2'")
+    state.apply(events, 3)
+    assert state_rows(state, spark) == before and seen[3][1] == {(r["kind"], r["who"], r["n_yes"], r["n_no"], r["n"]) for r in state.summary(spark).collect()}
+    assert state_rows(state, spark, 3) == {("r1", "ann", "no", 4), ("r1", "bob", None, 6), ("r2", "ann", "yes", 9)}
+
+
+def test_batch_reads_only_its_buckets(spark, folder):
+    state = study_state(f"{folder}/state-b", EVENT, buckets=8).open(spark)
+    rows = [(f"r{i}", "ann", "yes", None, i) for i in range(40)]
+    frame = lambda part: spark.createDataFrame(part, EVENT)
+    state.apply(frame(rows), 0)
+    state.apply(frame([("r3", "bob", "no", None, 50)]), 1)
+    written = spark.read.parquet(f"{folder}/state-b/rows/version=1")
+    assert written.select("bucket").distinct().count() == 1 and written.count() == 1
+    state.apply(frame(rows[:0]), 2)
+    assert state.current(spark).count() == 41 and state.compact(spark) == 0 and state.current(spark).count() == 41
+
+
+def test_gate_state_starts_with_all_records(spark, folder):
+    from grantmill.operators import gate
+
+    records = spark.createDataFrame([("a", "care", "holdout", "f"), ("b", "ambiguous", "tuning", "g")], "record_id string, label string, split string, fingerprint string")
+    ddl = "record_id string, reviewer string, verdict string, label string, record_fingerprint string, labelled_at timestamp, seq bigint"
+    state = gate_state(f"{folder}/gate", ddl, records, buckets=2)
+    state.apply(spark.createDataFrame([("a", "x", "agree", "care", "f", None, 1), ("a", "y", "disagree", "intervention", "f", None, 2), ("b", "x", "agree", "ambiguous", "old", None, 3)], ddl), 0)
+    s = {r["split"]: r for r in gate.gate_summary(state.summary(spark)).collect()}
+    assert (s["all"].total, s["all"].reviewed, s["all"].conflicts, s["holdout"].conflicts) == (2, 1, 1, 1)
+    verdicts = gate.mark_stale(state.current(spark), records)
+    assert [(r["record_id"], [tuple(v) for v in r["verdicts"]]) for r in gate.conflict_list(records, verdicts).collect()] == [("a", [("x", "care"), ("y", "intervention")])]
+    state.apply(spark.createDataFrame([("a", "y", "agree", "care", "f", None, 4)], ddl), 1)
+    s = {r["split"]: r for r in gate.gate_summary(state.summary(spark)).collect()}
+    assert (s["all"].conflicts, s["all"].agreed) == (0, 1)
+    assert {r["split"]: r for r in gate.summarise(records, gate.mark_stale(state.current(spark), records)).collect()} == s
 
 
 def test_mining_small_case(spark):

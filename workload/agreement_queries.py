@@ -182,34 +182,69 @@ def slug_guard(t):
     return validation.split_judgments(incoming, known).select("record_id", "rejected")
 
 
-def stream_sql(extra=""):
-    return f"WITH {JUDGMENTS} SELECT record_id, labeller_id, geroscience, seq FROM judgments {extra}"
+SLICES = 3
 
 
-def _stream(t, on_batch=None):
-    """Drive the events table through the streaming state job."""
+def sliced(t, name):
+    """``(folder, add)``: ``add(k)`` writes the k-th third of the events there; thirds overlap in time, so late events occur."""
     from grantmill.session import scratch_dir
-    from grantmill.streaming.judgments import current_state, run_state
 
-    base = scratch_dir(t.spark, "judgment-state")
-    source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
+    base = scratch_dir(t.spark, name)
+    return base, lambda k: t.events.where(F.pmod("event_id", F.lit(SLICES)) == k).write.mode("append").parquet(f"{base}/in")
+
+
+def until(k: int, sql: str) -> str:
+    """``sql`` over the events of the first k + 1 thirds."""
+    return sql.replace("FROM events)", f"FROM events WHERE event_id % {SLICES} <= {k})")
+
+
+def streamed_log(t, base):
     shown = Tables(t.spark, t.sf_dir)
-    shown.__dict__["events"] = source
+    shown.__dict__["events"] = t.spark.readStream.schema(t.events.schema).parquet(f"{base}/in")
     log = judgment_log(shown).withColumn("labeller_id", F.concat(F.lit("u"), F.col("labeller_id").cast("string")))
-    q = run_state(log, f"{base}/state", f"{base}/checkpoint", on_batch=on_batch)
-    q.awaitTermination()
-    return current_state(t.spark, f"{base}/state")
+    return log.select("record_id", "labeller_id", "geroscience", "labelled_at", "seq")
+
+
+def _stream(t, on_batch=None, compact_after=0):
+    """Drive the events, a third a micro-batch, through the state job; fold its versions in between."""
+    from grantmill.streaming.judgments import run_state, study_state
+
+    base, add = sliced(t, "judgment-state")
+    state = None
+    for k in range(SLICES):
+        add(k)
+        log = streamed_log(t, base)
+        state = state or study_state(f"{base}/state", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields), buckets=16)
+        run_state(log, state, f"{base}/checkpoint", on_batch=on_batch).awaitTermination()
+        if k == compact_after:
+            state.compact(t.spark)
+    return base, state
 
 
 @query("judgment_stream", f"WITH {JUDGMENTS} SELECT record_id, 'u' || labeller_id AS labeller_id, geroscience, seq FROM judgments")
 def judgment_stream(t):
-    return _stream(t).select("record_id", "labeller_id", "geroscience", "seq")
+    _, state = _stream(t, compact_after=1)
+    return state.current(t.spark).select("record_id", "labeller_id", "geroscience", "seq")
 
 
-@query("live_summary", f"WITH {JUDGMENTS}, {FLEISS} SELECT records, round(p, 6) AS p_bar, round(e, 6) AS p_e, CASE WHEN records >= 10 AND e < 1 THEN round((p - e) / (1 - e), 6) END AS kappa FROM k")
+LIVE = """SELECT {k}::BIGINT AS batch, records, round(p, 6) AS p_bar, round(e, 6) AS p_e, CASE WHEN records >= 10 AND e < 1 THEN round((p - e) / (1 - e), 6) END AS kappa,
+    (SELECT count(*) FILTER (n_yes + n_no + n_borderline > 0) FROM counts) AS records_with_any, (SELECT count(*) FILTER (n_yes + n_no + n_borderline >= 2) FROM counts) AS records_with_two_or_more,
+    (SELECT CAST(sum(n_yes + n_no + n_borderline) AS BIGINT) FROM counts) AS total_judgments, (SELECT count(DISTINCT labeller_id) FROM judgments WHERE geroscience IS NOT NULL) AS n_labellers FROM k"""
+
+
+@query("live_summary", " UNION ALL ".join(f"SELECT * FROM (WITH {until(k, JUDGMENTS)}, {FLEISS} {LIVE.format(k=k)})" for k in range(SLICES)))
 def live_summary(t):
-    """The summary over the streamed state equals the batch one."""
-    return agreement.fleiss_kappa(_stream(t))
+    """After each micro-batch the summary kept by deltas equals that of the whole log so far."""
+    from grantmill.session import scratch_dir
+    from grantmill.streaming.judgments import study_summary
+
+    out = scratch_dir(t.spark, "live-summary")
+
+    def note(state, k):
+        study_summary(state.summary(t.spark)).withColumn("batch", F.lit(k).cast("bigint")).write.mode("overwrite").parquet(f"{out}/version={k}")
+
+    _stream(t, note, compact_after=1)
+    return t.spark.read.parquet(*[f"{out}/version={k}" for k in range(SLICES)])
 
 
-__all__ = ["ANSWER", "fingerprint", "STUDY"]
+__all__ = ["ANSWER", "fingerprint", "STUDY", "sliced", "streamed_log", "until", "SLICES"]

@@ -10,8 +10,9 @@ from grantmill.functions.text import csv_cell_guard
 from grantmill.operators import adjudication, gate, index, ranking, sampling, validation
 from grantmill.sources.readers import spread
 
+from .agreement_queries import SLICES, sliced, until
 from .base import (
-    ARD, CARE, CUSTOMERS, FA, INT, JUDGMENTS, MARK_LABEL, RULED, RULED_EXPERTS, Tables, case, judgments, labelled_customers,
+    ARD, CARE, CUSTOMERS, FA, INT, JUDGMENTS, MARK_LABEL, RULED, RULED_EXPERTS, Tables, case, judgment_log, judgments, labelled_customers,
     query, ruled_documents, sql_case, sql_list,
 )
 
@@ -145,20 +146,25 @@ folded AS (SELECT record_id, min(label) AS lo, max(label) AS hi, arg_min(note, r
 judges AS (SELECT record_id, count(*) FILTER (geroscience = 'no') > 0 AS failed, count(*) FILTER (geroscience = 'yes') > 0 AS rel, bool_or(seq % 17 = 0) AS old FROM judgments WHERE labeller_id % 2 = 1 GROUP BY 1)"""
 
 
+def verdict_rows(log, records):
+    """Review verdicts from the judgments of labellers with an even number."""
+    j = log.filter("labeller_id % 2 = 0").join(records.select("record_id", F.col("label").alias("rl"), "fingerprint"), "record_id", "left")
+    return j.select(
+        "record_id", F.concat(F.lit("r"), F.col("labeller_id")).alias("reviewer"),
+        F.when(F.col("geroscience") == "yes", "agree").when(F.col("seq") % 11 == 0, "unsure").otherwise("disagree").alias("verdict"),
+        F.when(F.col("seq") % 3 == 0, case(F.col("event_type"), MARK_LABEL)).otherwise(F.coalesce("rl", F.lit("care"))).alias("label"),
+        F.when(F.col("seq") % 13 == 0, "old").otherwise(F.col("fingerprint")).alias("record_fingerprint"),
+        F.concat(F.lit("note "), F.col("seq")).alias("note"), "labelled_at", "seq",
+    )
+
+
 def gate_tables(t: Tables):
     """Records, marked verdicts and judge marks built from customers and events."""
     rec = labelled_customers(t)
     fp = hashing.fingerprint(F.col("record_id"), F.col("title"), F.col("label"))
     records = rec.select("record_id", "label", hashing.split_half(F.col("record_id"), SEED).alias("split"), fp.alias("fingerprint"))
     latest = judgments(t)
-    j = latest.filter("labeller_id % 2 = 0").join(records.select("record_id", F.col("label").alias("rl"), "fingerprint"), "record_id", "left")
-    verdicts = j.select(
-        "record_id", F.concat(F.lit("r"), F.col("labeller_id")).alias("reviewer"),
-        F.when(F.col("geroscience") == "yes", "agree").when(F.col("seq") % 11 == 0, "unsure").otherwise("disagree").alias("verdict"),
-        F.when(F.col("seq") % 3 == 0, case(F.col("event_type"), MARK_LABEL)).otherwise(F.coalesce("rl", F.lit("care"))).alias("label"),
-        F.when(F.col("seq") % 13 == 0, "old").otherwise(F.col("fingerprint")).alias("record_fingerprint"),
-        F.concat(F.lit("note "), F.col("seq")).alias("note"),
-    )
+    verdicts = verdict_rows(latest, records)
     marks = latest.filter("labeller_id % 2 = 1").groupBy("record_id").agg(
         F.max(F.coalesce(F.col("geroscience") == "no", F.lit(False))).alias("failed"),
         F.max(F.coalesce(F.col("geroscience") == "yes", F.lit(False))).alias("rel"), F.max(F.col("seq") % 17 == 0).alias("old"),
@@ -205,20 +211,59 @@ def wilson_sql(k: str, n: str):
 LOW_CI, HIGH_CI = wilson_sql("CAST(agreed AS DOUBLE)", "CAST(consensus_reviewed AS DOUBLE)")
 
 
-@query(
-    "gate_summary_wilson",
-    f"""WITH {VERDICTS}, s AS (SELECT r.*, f.record_id IS NOT NULL AS reviewed, coalesce(lo <> hi, false) AS conflict, CASE WHEN lo = hi THEN lo END AS cons,
+GATE_SUMMARY = f"""s AS (SELECT r.*, f.record_id IS NOT NULL AS reviewed, coalesce(lo <> hi, false) AS conflict, CASE WHEN lo = hi THEN lo END AS cons,
       (j.record_id IS NULL OR old OR failed OR NOT rel) AS jf FROM records r LEFT JOIN folded f USING (record_id) LEFT JOIN judges j USING (record_id)),
     g AS (SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, count(*) AS total, count(*) FILTER (reviewed) AS reviewed, count(*) FILTER (conflict) AS conflicts,
       count(cons) AS consensus_reviewed, count(*) FILTER (cons = label) AS agreed, count(*) FILTER (cons IS NOT NULL AND label = 'ambiguous') AS ambiguous_reviewed,
       count(*) FILTER (cons = label AND label = 'ambiguous') AS ambiguous_confirmed, count(*) FILTER (jf) AS judge_flagged FROM s GROUP BY GROUPING SETS ((split), ()))
-    SELECT *, round(agreed / nullif(consensus_reviewed, 0), 4) AS agreement, {LOW_CI} AS ci_low, {HIGH_CI} AS ci_high, 0.85::DOUBLE AS target FROM g""",
-)
+    SELECT *, round(agreed / nullif(consensus_reviewed, 0), 4) AS agreement, {LOW_CI} AS ci_low, {HIGH_CI} AS ci_high, 0.85::DOUBLE AS target FROM g"""
+
+
+@query("gate_summary_wilson", f"WITH {VERDICTS}, {GATE_SUMMARY}")
 def gate_summary_wilson(t):
     records, verdicts, marks = gate_tables(t)
     return gate.summarise(records, verdicts, marks)
 
 
+@query(
+    "gate_conflicts",
+    f"""WITH {VERDICTS} SELECT r.record_id, split, r.label, string_agg(reviewer || '=' || e.label, ',' ORDER BY reviewer) AS verdicts
+    FROM records r JOIN eff e ON e.record_id = r.record_id GROUP BY ALL HAVING min(e.label) <> max(e.label)""",
+)
+def gate_conflicts(t):
+    records, verdicts, _ = gate_tables(t)
+    told = F.transform("verdicts", lambda v: F.concat(v["reviewer"], F.lit("="), v["verdict_label"]))
+    return gate.conflict_list(records, verdicts).withColumn("verdicts", F.array_join(told, ","))
+
+
+@query("live_gate", " UNION ALL ".join(
+    f"SELECT {k}::BIGINT AS batch, x.* FROM (WITH {until(k, VERDICTS)}, {GATE_SUMMARY.replace('LEFT JOIN judges j USING (record_id)', 'LEFT JOIN (SELECT * FROM judges WHERE false) j USING (record_id)')}) x"
+    for k in range(SLICES)))
+def live_gate(t):
+    """After each micro-batch of verdicts the gate summary kept by deltas equals that of the whole log so far."""
+    from grantmill.session import scratch_dir
+    from grantmill.streaming.judgments import gate_state, run_events
+
+    records, _, _ = gate_tables(t)
+    base, add = sliced(t, "gate-state")
+    out, state = scratch_dir(t.spark, "live-gate"), None
+
+    def note(held, k):
+        gate.gate_summary(held.summary(t.spark)).withColumn("batch", F.lit(k).cast("bigint")).write.mode("overwrite").parquet(f"{out}/version={k}")
+
+    for k in range(SLICES):
+        add(k)
+        shown = Tables(t.spark, t.sf_dir)
+        shown.__dict__["events"] = t.spark.readStream.schema(t.events.schema).parquet(f"{base}/in")
+        verdicts = verdict_rows(judgment_log(shown), records)
+        if state is None:
+            state = gate_state(f"{base}/state", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in verdicts.schema.fields), records, buckets=16)
+        run_events(verdicts, state, f"{base}/checkpoint", note).awaitTermination()
+        if k == 1:
+            state.compact(t.spark)
+    return t.spark.read.parquet(*[f"{out}/version={k}" for k in range(SLICES)])
+
+
 @query(
     "consensus_export",
     f"""WITH {VERDICTS} SELECT item_id AS input_id, coalesce(lo, '') AS human_category, CASE WHEN lo IS NOT NULL THEN '1.0' ELSE '' END AS human_confidence,
