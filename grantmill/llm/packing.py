@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .token_store import encoder
+from .token_store import ENCODED_ROWS, encoder
 
 CAPACITY = 2048
 END_ID = 1
@@ -43,6 +43,8 @@ GAP = 0.001
 PIVOTS = 20_000
 #: Patterns taken from one knapsack table, and tables after which less gain than a tenth of ``GAP`` ends the program.
 COLUMNS, TABLES = 64, 20
+#: Largest share of a sequence that a pattern may leave empty; the pieces of emptier patterns are laid end to end instead.
+SPARE = 0.005
 _EPS = 1e-9
 
 
@@ -160,7 +162,11 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
 
 
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) -> Plan:
-    """Patterns with whole numbers of sequences that ask for no more pieces of a length than there are."""
+    """Patterns with whole numbers of sequences that ask for no more pieces of a length than there are.
+
+    Where lengths are few and long, even the best patterns may leave much room;
+    those are left out, since cutting pieces costs no padding.
+    """
     lengths = np.array(sorted(n for n, count in histogram.items() if count > 0), dtype=np.int64)
     if not len(lengths):
         return Plan([], [])
@@ -171,7 +177,7 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, gap: float =
         taken = np.flatnonzero(basis[:, p])
         n = basis[taken, p].astype(np.int64)
         count = min(int(x[p] + 1e-6), int((left[taken] // n).min()))
-        if count > 0:
+        if count > 0 and lengths[taken] @ n >= capacity * (1 - SPARE):
             left[taken] -= count * n
             plan.patterns.append([int(v) for v in np.repeat(lengths[taken], n)[::-1]])
             plan.counts.append(count)
@@ -242,9 +248,10 @@ def encode(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         known, part, ordinal = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         seen, full = np.zeros(capacity, dtype=np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                ids = known.encode(rows.column(1).to_pylist(), end_id)
+            for at in range(0, batch.num_rows, ENCODED_ROWS):
+                rows = batch.slice(at, ENCODED_ROWS)
+                flat, place = known.encode(rows.column(1), end_id)
+                ids = [flat[i:j].tobytes() for i, j in zip(place, place[1:])]
                 n = [len(x) // 4 for x in ids]
                 ranks, before, crcs = [], [], []
                 for x, size in zip(ids, n):

@@ -24,6 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -35,6 +36,8 @@ END_ID = 2
 BLOCK_IDS = 65_536
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
+#: Texts that are encoded at once.
+ENCODED_ROWS = 1000
 PLANES = {"byte": 4, "bit": 32}
 
 
@@ -61,10 +64,11 @@ class Encoder:
 
     Words are cut at ASCII white space only.  The tokenizer drops white space,
     its normaliser works character by character and never joins across white
-    space, so a text's ids are those of its words one after the other; each
-    distinct word is encoded by the library once while it is remembered.  Words
-    of two generations are remembered; a word in use moves to the younger one,
-    so only words that were not seen for a long time are forgotten.
+    space, so a text's ids are those of its words one after the other.  Arrow
+    cuts the texts of a batch and numbers their distinct words; each of those is
+    encoded by the library once while it is remembered, and ids are gathered by
+    the numbers.  Words of two generations are remembered; a word in use moves to
+    the younger one, so only words not seen for a long time are forgotten.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -80,74 +84,75 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    @staticmethod
-    def cut(text: str | None) -> list[bytes]:
-        """The words of a text, in fewer distinct forms with the same ids.
-
-        The normaliser composes, then lower-cases, so A-Z may be lowered before
-        unless a combining mark follows somewhere or the text could hold a
-        special token's name, which is case-sensitive.
-        """
-        data = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" in data or b"\xcc" in data or b"\xcd" in data:  # the latter: lead bytes of U+0300 to U+037F
-            return data.split()
-        return data.lower().split()
-
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Make ``known`` hold the ids of ``words``.
 
         ASCII punctuation between an ASCII letter or digit and the end of a word
         is a piece of its own to the tokenizer, so the two parts are looked up.
         """
-        new = words.difference(self.known)
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED // 2:
-            self.known, self.older = {}, self.known
-            new = set(words)
+            self.known, self.older = {"": b""}, self.known
+            new = words
         known, older = self.known, self.older
-        known.update([(w, older[w]) for w in new if w in older])
-        new.difference_update(known)
-        stems = [(w, w.rstrip(PUNCTUATION)) for w in new if w[-1] in PUNCTUATION and b"<|" not in w]
-        split = [(w, stem, w[len(stem) :]) for w, stem in stems if stem[-1:].isalnum()]
-        new.difference_update([w for w, _, _ in split])
-        new.update([stem for _, stem, _ in split], [tail for _, _, tail in split])
-        new.difference_update(known)
-        self._encode_words(list(new))
-        known.update([(w, known[stem] + known[tail]) for w, stem, tail in split])
-
-    def _encode_words(self, words: list[bytes]) -> None:
+        if older:
+            known.update([(w, older[w]) for w in new if w in older])
+            new = [w for w in new if w not in known]
+        stems = [(w, w.rstrip(PUNCTUATION)) for w in new if w[-1:] in PUNCTUATION and "<|" not in w]
+        split = {w: stem for w, stem in stems if stem[-1:].isascii() and stem[-1:].isalnum()}
+        asked = {w for w in new if w not in split}
+        asked.update(split.values(), [w[len(stem) :] for w, stem in split.items()])
+        self._encode_words([w for w in asked if w not in known])
+        known.update([(w, known[stem] + known[w[len(stem) :]]) for w, stem in split.items()])
+
+    def _encode_words(self, words: list[str]) -> None:
         """Ids of new words: Latin words in lower case and composed form many at a time, others one by one."""
-        known, texts = self.known, b"\n".join(words).decode("utf-8").split("\n") if words else []
-        plain = [t.isalpha() and (t.isascii() or (max(t) < _LATIN_END and unicodedata.is_normalized("NFC", t))) and t.islower() for t in texts]
+        known = self.known
+        plain = [w.isalpha() and (w.isascii() or (max(w) < _LATIN_END and unicodedata.is_normalized("NFC", w))) and w.islower() for w in words]
         letters, others = list(compress(words, plain)), [w for w, is_plain in zip(words, plain) if not is_plain]
-        texts = list(compress(texts, plain))
         for at in range(0, len(letters), 2000):
             part = letters[at : at + 2000]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(texts[at : at + 2000])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()  # the last id of a word closes it, and no other
             data = ids.tobytes()
             known.update(zip(part, [data[i:j] for i, j in zip([0, *ends], ends)], strict=True))
         for at in range(0, len(others), 20_000):
             part = others[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
-        """Little-endian 32-bit ids of each text and the end id."""
-        get, cut = self.known.get, [self.cut(t) for t in texts]
-        found = [list(map(get, words)) for words in cut]
-        missing: set[bytes] = set()
-        for words, ids in zip(cut, found):
-            if None in ids:
-                missing.update(compress(words, [i is None for i in ids]))
-        self.learn(missing)
-        known, end = self.known, end_id.to_bytes(4, "little")
-        return [b"".join([*([known[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids), end]) for words, ids in zip(cut, found)]
+    def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id, and the places where they begin and end.
 
-
-PUNCTUATION = string.punctuation.encode()
+        The normaliser composes, then lower-cases, so A-Z may be lowered before
+        unless a combining mark stands somewhere in the text or it could hold a
+        special token's name, which is case-sensitive.
+        """
+        texts = pc.fill_null(texts, "")
+        as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u037f]"))
+        words = pc.ascii_split_whitespace(pc.if_else(as_is, texts, pc.ascii_lower(texts)))
+        numbered = words.flatten().dictionary_encode()
+        which, distinct = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(distinct)
+        parts = list(map(self.known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        data, begins = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = data[np.repeat(begins[which] - (ends - n), n) + np.arange(n.sum())]
+        until = np.concatenate([[0], ends])[words.offsets.to_numpy()[1:]]
+        number = np.arange(len(until))
+        out = np.empty(len(ids) + len(until), dtype="<u4")
+        out[np.arange(len(ids)) + np.repeat(number, np.diff(until, prepend=0))] = ids
+        out[until + number] = end_id
+        return out, np.concatenate([[0], until + number + 1])
+
+
+#: All ASCII punctuation.
+PUNCTUATION = string.punctuation
 _LATIN_END = "\u0250"
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -183,8 +188,11 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, mode: str = "by
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for i, data in enumerate(known.encode(batch.column(1).slice(at, 500).to_pylist())):
+            for at in range(0, batch.num_rows, ENCODED_ROWS):
+                part = batch.column(1).slice(at, ENCODED_ROWS)
+                ids, place = known.encode(part)
+                for i in range(len(part)):
+                    data = ids[place[i] : place[i + 1]].tobytes()
                     begins.append({"ordinal": ordinal, "doc_id": batch.column(0)[at + i].as_py(), "offset": size, "n": len(data) // 4})
                     ordinal += 1
                     held.append(data)
