@@ -23,11 +23,11 @@ def plain_decimal(c: Column) -> Column:
 
 
 def checked_amount(amount: Column, record_id: Column) -> Column:
-    """Blank -> null; malformed or negative values fail the job by record."""
+    """Blank or a number 0 -> null (text '0' is an amount); malformed or negative values fail the job by record."""
     raw = F.when(strip(amount.cast("string")) != "", strip(amount.cast("string")))
     value = raw.try_cast("double")
     return (
-        F.when(raw.isNull(), F.lit(None).cast(MONEY))
+        F.when(raw.isNull() | ((F.typeof(amount) != "string") & (value == 0)), F.lit(None).cast(MONEY))
         .when(
             value.isNull() | F.isnan(value),
             F.raise_error(F.concat(record_id.cast("string"), F.lit(": unparsable amount "), raw)),

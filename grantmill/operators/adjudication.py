@@ -89,6 +89,12 @@ def verify(answers: DataFrame, sources: DataFrame, labels: Sequence[str] = tuple
     ).drop("__n", "__src")
 
 
+def label_counts(verified: DataFrame) -> DataFrame:
+    """Answers with a source record by label, the most frequent first."""
+    known = verified.filter(~F.array_contains("violations", "no source record"))
+    return known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
+
+
 def verification_report(verified: DataFrame, key: str = "record_id") -> DataFrame:
     """Totals of ``verify``: of the rows of one id all but one are duplicates, and a
     row without a source is never resolved, whatever its label."""

@@ -160,69 +160,43 @@ def study_coverage(batch: DataFrame, judgments: DataFrame) -> DataFrame:
     ).withColumn("n_labellers", labellers)
 
 
-def shared_label_counts(
-    judgments: DataFrame, answer: str, labels: Sequence[str], block: int = 256, item_block: int = 2048
-) -> DataFrame:
-    """``(a, b, c_0 .. c_kk)``: co-label counts of annotators a < b.
+def shared_label_counts(judgments: DataFrame, pairs: DataFrame, answer: str, labels: Sequence[str]) -> DataFrame:
+    """``(a, b, c_0 .. c_kk)``: co-label counts of the annotator pairs (a, b) of ``pairs``.
 
     Cell ``x * k + y`` counts the shared items that a gave label x and b gave
-    label y.  Annotators are hashed to blocks and items to groups; one task
-    sees two annotator blocks on one item group and counts by a matrix
-    product.  No pair is formed per item, and one hot item spreads over all
-    block pairs.  Both block counts follow from the data, which bounds the
-    matrices of a task.
+    label y.  Judgments meet only the pairs their annotator is in, and one
+    aggregate by pair and item brings both sides together, so work and output
+    are bounded by the table of pairs, and a hot item or annotator is only many
+    groups.  A pair of one annotator with itself, or without shared items, has no row.
     """
-    import numpy as np
-    import pandas as pd
-
-    def blocks_of(column, size):
-        return judgments.select(F.greatest(F.lit(1), F.ceil(F.count_distinct(column) / F.lit(size))).cast("bigint")).scalar()
-
-    blocks, item_groups = blocks_of("labeller_id", block), blocks_of("record_id", item_block)
-    known = judgments.filter(F.col(answer).isin(list(labels)))
     code = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(answer)).cast("int") - 1
-    rows = known.select(
-        F.col("labeller_id").alias("who"), F.xxhash64("record_id").alias("item"), code.alias("code"),
-        F.pmod(F.xxhash64("labeller_id"), blocks).alias("mine"), F.pmod(F.xxhash64("record_id"), item_groups).alias("part"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"),
-    )
-    rows = rows.select("who", "item", "code", "mine", "part", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    known = judgments.filter(F.col(answer).isin(list(labels))).select(F.col("labeller_id").alias("who"), F.col("record_id").alias("item"), code.alias("code"))
+    wanted = pairs.select("a", "b").where("a <> b").distinct()
+    side = F.explode(F.array(F.struct(F.col("a").alias("who"), F.lit(0).alias("side")), F.struct(F.col("b").alias("who"), F.lit(1).alias("side"))))
+    sides = wanted.select("a", "b", side.alias("s")).select("a", "b", "s.who", "s.side")
+    met = known.join(sides, "who").groupBy("a", "b", "item").agg(
+        F.max(F.when(F.col("side") == 0, F.col("code"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("code"))).alias("y"))
     k = len(labels)
-    cells = [f"c_{i}" for i in range(k * k)]
-    who_type = judgments.schema["labeller_id"].dataType.simpleString()
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
-        items = pd.factorize(pdf["item"])[0]
-        sides = []
-        for b in (lo, hi):
-            keep = (pdf["mine"] == b).to_numpy()
-            who, names = pd.factorize(pdf["who"][keep])
-            m = np.zeros((len(names) * k, items.max() + 1), dtype=np.float32)
-            m[who * k + pdf["code"].to_numpy()[keep], items[keep]] = 1
-            sides.append((m, np.asarray(names)))
-        (m1, n1), (m2, n2) = sides
-        if not len(n1) or not len(n2):
-            return pd.DataFrame(columns=["a", "b", *cells])
-        table = (m1 @ m2.T).astype("int64").reshape(len(n1), k, len(n2), k).transpose(0, 2, 1, 3).reshape(-1, k, k)
-        a, b = np.repeat(n1, len(n2)), np.tile(n2, len(n1))
-        swap = a > b
-        # within one block every pair comes in both orders; one is enough
-        keep = (a != b) & (table.sum(axis=(1, 2)) > 0) & (~swap if lo == hi else True)
-        table[swap] = table[swap].transpose(0, 2, 1)
-        out = pd.DataFrame(table[keep].reshape(-1, k * k), columns=cells)
-        out.insert(0, "a", np.where(swap, b, a)[keep])
-        out.insert(1, "b", np.where(swap, a, b)[keep])
-        return out
-
-    schema = f"a {who_type}, b {who_type}, " + ", ".join(f"{c} bigint" for c in cells)
-    partial = rows.groupBy("part", "lo", "hi").applyInPandas(count, schema)
-    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in cells])
-
-
-def cohen_kappa(judgments: DataFrame, answer: str = "geroscience", labels: Sequence[str] = tuple(ANSWERS)) -> DataFrame:
-    """Kappa of every annotator pair over its shared items; null if undefined."""
-    t = shared_label_counts(judgments, answer, labels)
+    both = met.where("x IS NOT NULL AND y IS NOT NULL")
+    return both.groupBy("a", "b").agg(*[F.count_if((F.col("x") == i // k) & (F.col("y") == i % k)).alias(f"c_{i}") for i in range(k * k)])
+
+
+def all_pairs(judgments: DataFrame) -> DataFrame:
+    """Every pair of annotators that share an item, for a study with few annotators.
+
+    The table grows with the square of the annotators of an item; name the pairs
+    that are asked for where annotators are many.
+    """
+    rows = judgments.select("record_id", "labeller_id").distinct()
+    other = rows.withColumnRenamed("labeller_id", "b")
+    return rows.withColumnRenamed("labeller_id", "a").join(other, "record_id").where("a < b").select("a", "b").distinct()
+
+
+def cohen_kappa(
+    judgments: DataFrame, pairs: DataFrame | None = None, answer: str = "geroscience", labels: Sequence[str] = tuple(ANSWERS)
+) -> DataFrame:
+    """Kappa of each annotator pair of ``pairs`` (a, b) over its shared items; null if undefined."""
+    t = shared_label_counts(judgments, all_pairs(judgments) if pairs is None else pairs, answer, labels)
     k = len(labels)
     cell = lambda x, y: F.col(f"c_{x * k + y}")
     n = sum(cell(x, y) for x in range(k) for y in range(k))

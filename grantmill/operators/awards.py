@@ -125,25 +125,26 @@ def score_awards(awards: DataFrame, predict=None, category: str = vocab.CANCER_C
 
 
 def apportioned_profile(df: DataFrame, groups: str, value: str) -> DataFrame:
-    """Each award's value split equally over its groups."""
+    """Each award's value split equally over its groups; ``exact`` is not rounded."""
     part = F.col(value).cast("double") / F.size(groups)
     rows = df.filter(F.size(groups) > 0).select(F.explode(groups).alias("activity_group"), part.alias("v"))
-    agg = rows.groupBy("activity_group").agg(F.count(F.lit(1)).alias("awards"), F.round(F.sum("v"), 2).alias("apportioned"))
+    agg = rows.groupBy("activity_group").agg(F.count(F.lit(1)).alias("awards"), F.sum("v").alias("exact"))
     name = F.col("activity_group")
     for k, v in vocab.ACTIVITY_GROUPS.items():
         name = F.when(F.col("activity_group") == k, v).otherwise(name)
     side = F.when(F.col("activity_group").isin(vocab.PREVENTION_GROUPS), "prevention").when(
         F.col("activity_group").isin(vocab.CONSEQUENCE_GROUPS), "consequences"
     ).otherwise("unmapped")
-    return agg.select("activity_group", name.alias("group_name"), side.alias("side"), "awards", "apportioned")
+    return agg.select("activity_group", name.alias("group_name"), side.alias("side"), "awards", F.round("exact", 2).alias("apportioned"), "exact")
 
 
 def profile_sides(profile: DataFrame) -> DataFrame:
     """Prevention, consequences, unmapped money and the prevention share."""
-    s = lambda n: F.coalesce(F.sum(F.when(F.col("side") == n, F.col("apportioned"))), F.lit(0.0))
+    s = lambda n: F.coalesce(F.sum(F.when(F.col("side") == n, F.col("exact"))), F.lit(0.0))
     agg = profile.agg(s("prevention").alias("prevention"), s("consequences").alias("consequences"), s("unmapped").alias("unmapped"))
-    return agg.withColumn(
-        "prevention_share", F.round(stats.share(F.col("prevention"), F.col("prevention") + F.col("consequences")), 6)
+    return agg.select(
+        *[F.round(c, 2).alias(c) for c in ("prevention", "consequences", "unmapped")],
+        F.round(stats.share(F.col("prevention"), F.col("prevention") + F.col("consequences")), 6).alias("prevention_share"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.hashing import seeded, split_half
+from ..functions.hashing import seeded, split_half, table_digest
 from ..session import materialise
 from .ranking import keep_one, top_k
 
@@ -162,6 +162,13 @@ def manifest(sample: DataFrame, columns: Sequence[str]) -> DataFrame:
     return sample.select(F.explode(cells).alias("c")).groupBy("c.field", "c.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sample_meta(sample: DataFrame, labels: DataFrame, seed: int, target: int) -> DataFrame:
+    """One row: seed, target, rows drawn, benchmark rows, and the digest and size of the labels the sample was drawn from."""
+    drawn = sample.agg(F.count(F.lit(1)).alias("sampled"), F.count_if(F.col("why") == "benchmark").alias("benchmark_records"))
+    source = table_digest(labels, "record_id", "label").select(F.col("n_rows").alias("labels_records"), F.col("digest").alias("labels_digest"))
+    return drawn.join(source).select(F.lit(seed).alias("seed"), F.lit(target).alias("target"), "*")  # one row each
+
+
 def blind(df: DataFrame, hidden: Sequence[str] = ("_hidden",)) -> DataFrame:
     return df.drop(*hidden)
 

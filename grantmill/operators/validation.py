@@ -221,3 +221,19 @@ def population_digest(df: DataFrame, first: str, second: str) -> DataFrame:
 def drifted(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """True when a stored digest no longer matches its inputs."""
     return fresh.select((~F.col("digest").eqNullSafe(stored.select("digest").scalar())).alias("drifted"))
+
+
+def changed_parts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``(part, stored_rows, fresh_rows)`` of the parts whose digests differ; a part that one side lacks has 0 rows there."""
+    rows = lambda df, name: df.select("part", F.col("n_rows").alias(f"{name}_rows"), F.col("digest").alias(name))
+    both = rows(stored, "stored").join(rows(fresh, "fresh"), "part", "full")
+    return both.filter(~F.col("stored").eqNullSafe(F.col("fresh"))).select(
+        "part", F.coalesce("stored_rows", F.lit(0)).alias("stored_rows"), F.coalesce("fresh_rows", F.lit(0)).alias("fresh_rows"))
+
+
+def require_unchanged(df: DataFrame, stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``df``, which fails to be read where the digests of its inputs changed; the error names the parts."""
+    names = changed_parts(stored, fresh).agg(F.array_sort(F.collect_list("part")).alias("parts"))  # at most one entry a part
+    failed = F.raise_error(F.concat(F.lit("inputs changed in parts "), F.array_join(F.col("__parts").cast("array<string>"), ",")))
+    checked = df.crossJoin(F.broadcast(names.withColumnRenamed("parts", "__parts")))  # one row
+    return checked.filter(F.when(F.size("__parts") > 0, failed.cast("boolean")).otherwise(F.lit(True))).drop("__parts")

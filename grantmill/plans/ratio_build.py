@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.hashing import part_digests
 from ..functions.money import checked_amount
 from ..functions.text import strip
 from ..operators.overlay import compare_scenarios, latest_success, overlay
 from ..operators.ratio import ratio_rollup
+from ..operators.validation import require_unchanged
 from ..operators.rules import RuleSet, classify
 
 
@@ -53,3 +55,19 @@ def build_adjudicated(labels: DataFrame, log: DataFrame) -> Scenario:
 
 def scenario_table(labels: DataFrame, log: DataFrame) -> DataFrame:
     return compare_scenarios(labels, latest_success(log), "region")
+
+
+DIGESTED = ("record_id", "region", "funder", "label", "amount_eur")
+
+
+def store_rollup(labels: DataFrame, path: str) -> None:
+    """Write the rollup, and beside it the digests of the labels it was made from."""
+    ratio_rollup(labels).write.mode("overwrite").parquet(f"{path}/rollup")
+    part_digests(labels, "record_id", *DIGESTED).write.mode("overwrite").parquet(f"{path}/digests")
+
+
+def load_rollup(labels: DataFrame, path: str) -> DataFrame:
+    """The stored rollup; reading it fails where ``labels`` are not those it was made from, and names the parts that differ."""
+    spark = labels.sparkSession
+    stored = spark.read.parquet(f"{path}/digests")
+    return require_unchanged(spark.read.parquet(f"{path}/rollup"), stored, part_digests(labels, "record_id", *DIGESTED))

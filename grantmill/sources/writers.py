@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,24 @@ def write_census(df: DataFrame, path: str) -> None:
     df.sort("record_id").write.mode("overwrite").option("compression", "gzip").json(path)
 
 
+def write_counted(raw: DataFrame, path: str, source: str, sources: Sequence[str], stages: dict[str, Column]) -> DataFrame:
+    """Write the rows that pass the last stage, partitioned by source; returns ``(source, stage, n)``.
+
+    The funnel is counted while the rows are written, not in a pass of its own.
+    ``sources`` is the fixed vocabulary of sources; stages are counted by
+    themselves, as in ``normalize.funnel``.
+    """
+    watch = Observation()
+    counted = {f"c{i}_{k}": (s, stage, F.count_if((F.col(source) == s) & F.coalesce(c, F.lit(False))))
+               for i, s in enumerate(sources) for k, (stage, c) in enumerate(stages.items())}
+    last = list(stages.values())[-1]
+    seen = raw.observe(watch, *[c.alias(name) for name, (_, _, c) in counted.items()])
+    seen.filter(F.coalesce(last, F.lit(False))).write.mode("overwrite").partitionBy(source).parquet(path)
+    found = watch.get
+    rows = [(s, stage, found[name]) for name, (s, stage, _) in counted.items()]
+    return raw.sparkSession.createDataFrame(rows, "source string, stage string, n bigint")
+
+
 def write_labels(df: DataFrame, path: str, fmt: str = "json", by: str | None = None) -> None:
     """Label rows as JSON lines or Parquet, optionally partitioned."""
     writer = df.write.mode("overwrite")

@@ -39,14 +39,18 @@ def test_agreement_statistics(spark):
     assert agreement.fleiss_kappa(constant).first().kappa is None
 
 
-def test_cohen_kappa_blocks_agree_with_brute_force(spark):
+def test_cohen_kappa_agrees_with_brute_force(spark):
     import itertools
     import random
 
     rnd = random.Random(3)
     answers = {(f"u{u}", f"i{i}"): rnd.choice(vocab.ANSWERS) for u in range(9) for i in range(40) if rnd.random() < 0.6}
     df = spark.createDataFrame([(i, u, a) for (u, i), a in answers.items()], JUDG)
-    t = agreement.shared_label_counts(df, "geroscience", vocab.ANSWERS, block=2, item_block=7)
+    every = agreement.shared_label_counts(df, agreement.all_pairs(df), "geroscience", vocab.ANSWERS)
+    t = every
+    some = spark.createDataFrame([("u1", "u0"), ("u1", "u0"), ("u2", "u2"), ("u3", "nobody")], "a string, b string")
+    turned = {(r.a, r.b): list(r)[2:] for r in agreement.shared_label_counts(df, some, "geroscience", vocab.ANSWERS).collect()}
+    assert list(turned) == [("u1", "u0")] and agreement.cohen_kappa(df, some).count() == 1
     got = {(r.a, r.b): list(r)[2:] for r in t.collect()}
     want = {}
     for a, b in itertools.combinations(sorted({u for u, _ in answers}), 2):
@@ -58,6 +62,7 @@ def test_cohen_kappa_blocks_agree_with_brute_force(spark):
         if sum(cells):
             want[(a, b)] = cells
     assert got == want
+    assert turned[("u1", "u0")] == [want[("u0", "u1")][y * 3 + x] for x in range(3) for y in range(3)]
 
 
 def test_multiclass(spark):

@@ -6,6 +6,7 @@ from . import (  # noqa: F401  (registration by import)
     lexicon_queries,
     money_queries,
     review_queries,
+    source_queries,
     text_queries,
 )
 from .base import ORACLE, QUERIES  # noqa: F401

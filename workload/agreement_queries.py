@@ -116,16 +116,24 @@ def batch_left_join(t):
     return batch(t).select("record_id", "title").join(judgments(t), "record_id", "left").select("record_id", "title", "labeller_id", "geroscience")
 
 
+#: Each annotator is compared with those so many numbers further on.
+PARTNERS = (1, 2, 3, 7, 31)
+
+
 @query(
     "cohen_kappa_pairs",
-    f"""WITH {JUDGMENTS}, p AS (SELECT x.labeller_id AS a, y.labeller_id AS b, x.geroscience AS la, y.geroscience AS lb FROM judgments x JOIN judgments y
-      ON x.record_id = y.record_id AND x.labeller_id < y.labeller_id WHERE x.geroscience IS NOT NULL AND y.geroscience IS NOT NULL),
+    f"""WITH {JUDGMENTS}, w AS (SELECT DISTINCT labeller_id FROM judgments), pairs AS (SELECT labeller_id AS a, labeller_id + s AS b FROM w, (VALUES {', '.join(f'({s})' for s in PARTNERS)}) v(s)),
+    p AS (SELECT a, b, x.geroscience AS la, y.geroscience AS lb FROM pairs JOIN judgments x ON x.labeller_id = a JOIN judgments y ON y.labeller_id = b AND x.record_id = y.record_id
+      WHERE x.geroscience IS NOT NULL AND y.geroscience IS NOT NULL),
     m AS (SELECT a, b, count(*) AS shared, count(*) FILTER (la = lb) / count(*) AS o,
       {' + '.join(f"(count(*) FILTER (la = '{v}') / count(*)) * (count(*) FILTER (lb = '{v}') / count(*))" for v in vocab.ANSWERS)} AS e FROM p GROUP BY 1, 2)
     SELECT a, b, shared, CASE WHEN e < 1 THEN round((o - e) / (1 - e), 6) END AS kappa FROM m""",
 )
 def cohen_kappa_pairs(t):
-    return agreement.cohen_kappa(judgments(t))
+    log = judgments(t)
+    who = log.select(F.col("labeller_id").alias("a")).distinct()
+    pairs = who.select("a", F.explode(F.array(*[F.col("a") + s for s in PARTNERS])).alias("b"))
+    return agreement.cohen_kappa(log, pairs)
 
 
 ITEM_PAIRS = "expert_label IS NOT NULL"

@@ -141,6 +141,11 @@ def verification_report(t):
     return adjudication.verification_report(adjudication.verify(answers(t), sources(t)))
 
 
+@query("verification_labels", f"WITH {ANSWERS} SELECT label, count(*) AS n FROM answers JOIN sources USING (record_id) WHERE src IS NOT NULL GROUP BY 1")
+def verification_labels(t):
+    return adjudication.label_counts(adjudication.verify(answers(t), sources(t)))
+
+
 @query(
     "run_tally",
     f"""WITH {ANSWERS} SELECT label, count(*) AS n, count(*) FILTER (quote <> '' AND contains(lower(src), lower(quote))) AS valid_quotes, count(error) AS errors

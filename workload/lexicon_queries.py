@@ -12,7 +12,7 @@ from grantmill.operators.rules import classify
 
 from .base import (
     CUES, DOCUMENTS, EXPERTS, LEXICON, RULED, RULED_EXPERTS, RULES, documents, query, ruled_documents, sql_case, sql_cue,
-    sql_has, sql_hits, sql_ids, sql_list, sql_pattern, with_experts,
+    INT, sql_has, sql_hits, sql_ids, sql_list, sql_pattern, with_experts,
 )
 
 NET = ["from", "dans", "nicht", "para", "license", "worthless", "tion*"]
@@ -182,19 +182,19 @@ def term_audit(t):
 
 @query(
     "term_wellformed",
-    r"""WITH w AS (SELECT DISTINCT CASE doc_id % 5 WHEN 0 THEN split_part(text, ' ', 1) || '*' WHEN 1 THEN '*' || split_part(text, ' ', 2)
-      WHEN 2 THEN split_part(text, ' ', 1) || ' *' WHEN 3 THEN '  ' ELSE split_part(text, ' ', 3) END AS term FROM documents)
+    r"""WITH p AS (SELECT unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM documents),
+    w AS (SELECT DISTINCT CASE i % 6 WHEN 0 THEN word || '*' WHEN 1 THEN '*' || word WHEN 2 THEN word || ' *' WHEN 3 THEN word || '  ' WHEN 4 THEN word || '*' || word ELSE word END AS term FROM p)
     SELECT term, CASE WHEN NOT regexp_matches(term, '[\p{L}\p{N}\p{M}_]') THEN 'no word character' WHEN length(term) > 60 THEN 'too long'
       WHEN length(term) - length(replace(term, '*', '')) > 3 THEN 'too many wildcards'
       WHEN len(list_filter(string_split_regex(term, '\s+'), lambda w: contains(w, '*') AND (length(w) - length(replace(w, '*', '')) > 1 OR NOT ends_with(w, '*')
         OR NOT regexp_matches(w, '[\p{L}\p{N}\p{M}_].*\*$')))) > 0 THEN 'misplaced wildcard' END AS problem FROM w""",
 )
 def term_wellformed(t):
-    part = lambda n: F.get(F.split("text", " "), F.lit(n - 1))
-    p1, p2, p3 = (F.coalesce(part(i), F.lit("")) for i in (1, 2, 3))
-    m = F.col("doc_id") % 5
-    term = F.when(m == 0, F.concat(p1, F.lit("*"))).when(m == 1, F.concat(F.lit("*"), p2)).when(m == 2, F.concat(p1, F.lit(" *"))).when(m == 3, "  ").otherwise(p3)
-    w = t.documents.select(term.alias("term")).distinct()
+    # every word of every text, as a term of one of six forms
+    word, m, star = F.col("word"), F.col("i") % 6, F.lit("*")
+    term = (F.when(m == 0, F.concat(word, star)).when(m == 1, F.concat(star, word)).when(m == 2, F.concat(word, F.lit(" *")))
+            .when(m == 3, F.concat(word, F.lit("  "))).when(m == 4, F.concat(word, star, word)).otherwise(word))
+    w = t.documents.select(F.posexplode(F.split("text", " ")).alias("i", "word")).select(term.alias("term")).distinct()
     return w.select("term", term_problem(F.col("term")).alias("problem"))
 
 
@@ -250,7 +250,33 @@ def matched_evidence(t):
     return ruled_documents(t).select("record_id", F.explode("matched_keywords").alias("category", "terms"))
 
 
-@query("rule_reasons")
+PLAIN_NAMES = "[" + ", ".join(f"'{x.term}'" for x in LEXICON.terms) + "]"
+_NAMES = lambda c: f"array_to_string(list_transform({c}, lambda i: {PLAIN_NAMES}[i + 1]), ', ')"
+_ROLE = lambda role: f"list_filter(hits, lambda x: list_contains({sql_ids(LEXICON.ids(role))}, x))"
+_NUMBERS = "printf('%s (%.3f) against %s (%.3f), margin %.3f', top, top_score, second, second_score, margin)"
+_WINNERS = "CASE top " + " ".join(f"WHEN '{c}' THEN {_NAMES(f'v_{c}')}" for c in vocab.CATEGORIES) + " END"
+REASONS = {
+    "off_domain_ecology": f"'Plant or ecology vocabulary without a human or biomedical marker: ' || {_NAMES(_ROLE('ecology'))} || '.'",
+    "off_domain_engineering": f"'Engineering or materials vocabulary without biomedical context: ' || {_NAMES(_ROLE('engineering'))} || '.'",
+    "no_evidence": "'Neither an anchor nor a lexicon keyword occurs.'", "anchor_only": "'An anchor occurs, but no category keyword does.'",
+    "boundary_mechanism": "'Mechanism wording assigns the intervention boundary to ageing biology: ' || c_mechanism || '.'",
+    "boundary_developing": f"'Developing or testing wording supports an intervention: ' || {_NAMES('v_' + INT)} || '.'",
+    "boundary_contested": "'Intervention vocabulary without developing or testing wording goes to ageing biology.'",
+    "boundary_undecided": "'Intervention vocabulary alone, with neither testing nor mechanism wording.'",
+    "single_category": f"'Only ' || top || ' has keywords: ' || {_WINNERS} || '.'", "single_weak": f"'Only ' || top || ' has keywords, below the evidence floor: ' || {_WINNERS} || '.'",
+    "tie_mechanism": "'Mechanism wording decides a close call for ageing biology: ' || c_mechanism || '.'", "tie_service": "'Service wording decides a close call for care.'",
+    "tie_society": "'Society wording decides a close call for population ageing.'", "tie_treatment": "'Treatment wording in an older population decides a close call for disease.'",
+    "tie_relative": f"'A clear relative lead decides: ' || {_NUMBERS} || '.'", "tie_undecided": f"'Too close to call: ' || {_NUMBERS} || '.'",
+    "decisive": f"'Keywords decide for ' || top || ': ' || {_WINNERS} || '.'",
+}
+
+
+@query(
+    "rule_reasons",
+    f"""WITH {RULED} SELECT record_id, CASE rule_path {' '.join(f"WHEN '{k}' THEN {v}" for k, v in REASONS.items())} END AS reason,
+      list_concat(list_transform({_ROLE('anchor')}, lambda i: {PLAIN_NAMES}[i + 1]), CASE WHEN c_older_reference <> '' AND NOT list_contains(list_transform({_ROLE('anchor')}, lambda i: {PLAIN_NAMES}[i + 1]), c_older_reference)
+        THEN [c_older_reference] ELSE []::VARCHAR[] END) AS anchor_terms FROM ruled""",
+)
 def rule_reasons(t):
     return ruled_documents(t).select("record_id", "reason", "anchor_terms")
 
@@ -353,14 +379,18 @@ def census_top_terms(t):
 @query(
     "quote_verification",
     r"""WITH q AS (SELECT item_id, text AS quote, (item_id * 7) % (SELECT count(*) FROM documents) AS doc_id FROM benchmark
-      UNION ALL SELECT 1000000 + d.doc_id, replace(substring(d.text, 1, 60), ' ', '  '), d.doc_id FROM documents d)
+      UNION ALL SELECT 1000000 + doc_id * 100000 + i, replace(line, ' ', '  ') || CASE WHEN i % 7 = 3 THEN 'x' ELSE '' END, doc_id
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))
     SELECT item_id, CASE WHEN quote <> '' AND length(quote) <= 400 THEN contains(regexp_replace(lower(d.text), '\s+', ' ', 'g'), regexp_replace(lower(quote), '\s+', ' ', 'g')) ELSE false END AS quote_valid
     FROM q JOIN documents d USING (doc_id)""",
 )
 def quote_verification(t):
     n = t.documents.select(F.count(F.lit(1))).scalar()
     b = t.benchmark.select("item_id", F.col("text").alias("quote"), ((F.col("item_id") * 7) % n).alias("doc_id"))
-    d = t.documents.select((F.col("doc_id") + 1000000).alias("item_id"), F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit("  ")).alias("quote"), "doc_id")
+    # every line of every text, some with a letter too many
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    changed = F.concat(F.replace("line", F.lit(" "), F.lit("  ")), F.when(F.col("i") % 7 == 3, "x").otherwise(""))
+    d = lines.select((F.col("doc_id") * 100000 + F.col("i") + 1000000).alias("item_id"), changed.alias("quote"), "doc_id")
     j = b.unionByName(d).join(t.documents.select("doc_id", "text"), "doc_id")
     return j.select("item_id", matching.quote_found(F.col("quote"), F.col("text")).alias("quote_valid"))
 

@@ -428,7 +428,7 @@ def apportioned_profile(t):
     groups = F.array_compact(F.array((F.col("p_size") % 9).cast("string"), F.when(F.col("l_linenumber") > 3, F.col("l_linenumber").cast("string"))))
     out = awards.apportioned_profile(j.select(groups.alias("g"), "l_extendedprice"), "g", "l_extendedprice")
     # float sums differ in the last cent with the order of addition
-    return out.withColumn("apportioned", F.round("apportioned", 1))
+    return out.withColumn("apportioned", F.round("exact", 1)).drop("exact")
 
 
 @query(

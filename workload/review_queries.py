@@ -12,7 +12,7 @@ from grantmill.sources.readers import spread
 
 from .agreement_queries import SLICES, sliced, until
 from .base import (
-    ARD, CARE, CUSTOMERS, FA, INT, JUDGMENTS, MARK_LABEL, RULED, RULED_EXPERTS, Tables, case, judgment_log, judgments, labelled_customers,
+    ARD, CARE, CUSTOMERS, FA, INT, JUDGMENTS, MARK_LABEL, RULED, RULED_EXPERTS, Tables, case, documents, judgment_log, judgments, labelled_customers,
     query, ruled_documents, sql_case, sql_list,
 )
 
@@ -81,18 +81,31 @@ def sample_manifest(t):
     return sampling.manifest(gate_sample_of(t), ["label", "why", "split"])
 
 
+@query(
+    "sample_meta",
+    f"""WITH {GATE_SAMPLE} SELECT {SEED} AS seed, 250 AS target, (SELECT count(*) FROM sample) AS sampled, (SELECT count(*) FROM sample WHERE why = 'benchmark') AS benchmark_records,
+      (SELECT count(*) FROM ruled) AS labels_records, (SELECT sum(('0x' || {{fp}})::BIGINT)::VARCHAR FROM ruled) AS labels_digest""".replace(
+        "{fp}", "left(sha256(concat_ws(',', coalesce(length(record_id::VARCHAR)::VARCHAR || ':' || record_id::VARCHAR, '-'), coalesce(length(label)::VARCHAR || ':' || label, '-'))), 12)"),
+)
+def sample_meta(t):
+    r = ruled_documents(t).select("record_id", "label")
+    return sampling.sample_meta(gate_sample_of(t), r, SEED, 250)
+
+
 STRATUM = f"CASE WHEN expert_label <> label THEN 'disagreement' WHEN label IN ({sql_list([n for n, _ in vocab.STUDY_STRATA])}) THEN label END"
-QUOTA = "CASE stratum " + " ".join(f"WHEN '{n}' THEN {round(120 * s)}" for n, s in vocab.STUDY_STRATA) + " END"
 
 
-@query(
-    "quota_sample",
-    f"""WITH {RULED_EXPERTS}, p AS (SELECT record_id, {STRATUM} AS stratum, {h('record_id', 7)} AS h FROM ruled WHERE length(regexp_replace(abstract, '^\\s+|\\s+$', '', 'g')) >= 180),
+def quota_ctes(size: int, seed: int) -> str:
+    """CTE ``drawn``: a study batch of the rows of ``ruled``."""
+    quota = "CASE stratum " + " ".join(f"WHEN '{n}' THEN {round(size * s)}" for n, s in vocab.STUDY_STRATA) + " END"
+    return f"""p AS (SELECT record_id, {STRATUM} AS stratum, {h('record_id', seed)} AS h FROM ruled WHERE length(regexp_replace(abstract, '^\\s+|\\s+$', '', 'g')) >= 180),
     r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h) AS r FROM p WHERE stratum IS NOT NULL),
-    c AS (SELECT record_id, stratum FROM r WHERE r <= {QUOTA}),
-    l AS (SELECT record_id, row_number() OVER (ORDER BY h) AS n FROM r WHERE r > {QUOTA})
-    SELECT * FROM c UNION ALL SELECT record_id, 'topup' FROM l WHERE n <= 120 - (SELECT count(*) FROM c)""",
-)
+    c AS (SELECT record_id, stratum FROM r WHERE r <= {quota}),
+    l AS (SELECT record_id, row_number() OVER (ORDER BY h) AS n FROM r WHERE r > {quota}),
+    drawn AS (SELECT * FROM c UNION ALL SELECT record_id, 'topup' FROM l WHERE n <= {size} - (SELECT count(*) FROM c))"""
+
+
+@query("quota_sample", f"WITH {RULED_EXPERTS}, {quota_ctes(120, 7)} SELECT * FROM drawn")
 def quota_sample(t):
     r = ruled_documents(t, experts=True).select("record_id", "abstract", "label", "expert_label")
     return sampling.quota_sample(r, 120, 7)
@@ -122,18 +135,27 @@ def audit_sample(t):
     return sampling.audit_sample(labelled_customers(t), 11)
 
 
-@query("blind_projection", "SELECT doc_id, text FROM documents")
-def blind_projection(t):
-    hidden = t.documents.select("doc_id", "text", F.struct("lang", "source").alias("_hidden"))
-    return sampling.blind(hidden)
-
-
 # ---- gate --------------------------------------------------------------------
 def fp_sql(*cols: str, n: int = 16) -> str:
     net = ", ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in cols)
     return f"left(sha256(concat_ws(',', {net})), {n})"
 
 
+@query(
+    "blind_projection",
+    f"""WITH {RULED_EXPERTS}, {quota_ctes(40, 5)} SELECT record_id, title, abstract, {fp_sql('record_id', 'title', 'abstract')} AS fingerprint FROM ruled JOIN drawn USING (record_id)""",
+)
+def blind_projection(t):
+    """What labellers see of a drawn study batch: nothing of strata, labels or reasons."""
+    from grantmill.plans.study import draw_batch
+
+    ruled = ruled_documents(t, experts=True)
+    labels = ruled.select("record_id", "label", "reason")
+    census = documents(t).select("record_id", "title", "abstract", F.lit("f").alias("funder"), F.lit(2020).alias("year"), "amount_eur", F.lit("u").alias("url"), "source")
+    experts = ruled.select("record_id", "expert_label", F.lit("r").alias("reason")).where("expert_label IS NOT NULL")
+    return sampling.blind(draw_batch(labels, census, experts, 40, 5)).select("record_id", "title", "abstract", "fingerprint")
+
+
 VERDICTS = f"""{JUDGMENTS}, {CUSTOMERS},
 records AS (SELECT record_id, label, {half('record_id')} AS split, {fp_sql('record_id', 'title', 'label')} AS fingerprint FROM labelled),
 verdicts AS (SELECT j.record_id, 'r' || labeller_id AS reviewer, CASE WHEN geroscience = 'yes' THEN 'agree' WHEN seq % 11 = 0 THEN 'unsure' ELSE 'disagree' END AS verdict,
@@ -277,11 +299,18 @@ def consensus_export(t):
     return gate.consensus_export(items, keys, verdicts)
 
 
-@query("cell_guard", r"SELECT doc_id, CASE WHEN regexp_matches(c, '^[=+\-@]') THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' WHEN 3 THEN '+' ELSE '' END || split_part(text, ' ', 1) AS c FROM documents)")
+@query(
+    "cell_guard",
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+    SELECT doc_id, i, CASE WHEN regexp_matches(c, '^[=+\-@]') THEN '''' || c ELSE c END AS cell
+    FROM (SELECT doc_id, i::INTEGER AS i, CASE i % 5 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' WHEN 3 THEN '+' ELSE '' END || line AS c FROM l)""",
+)
 def cell_guard(t):
-    m = F.col("doc_id") % 5
+    # every line of every text
+    m = F.col("i") % 5
     lead = F.when(m == 0, "=").when(m == 1, "-").when(m == 2, "@").when(m == 3, "+").otherwise("")
-    return t.documents.select("doc_id", csv_cell_guard(F.concat(lead, F.substring_index("text", " ", 1))).alias("cell"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.select("doc_id", "i", csv_cell_guard(F.concat(lead, F.col("line"))).alias("cell"))
 
 
 # ---- fingerprints and validation ------------------------------------------------

@@ -95,7 +95,15 @@ def mined_candidates(t):
     return m.drop("context").withColumn("words", F.col("words").cast("bigint"))
 
 
-@query("candidate_context")
+_EDGE = r"[^\p{L}\p{N}\p{M}_]"
+_AROUND = rf"'(?s)^(.*?(?:^|{_EDGE}))(' || replace(gram, ' ', '\s+') || ')(?:$|{_EDGE})'"
+
+
+@query(
+    "candidate_context",
+    f"""WITH {MINED}, m AS (SELECT category, gram, d.text, regexp_extract(d.text, {_AROUND}, 2) AS hit, length(regexp_extract(d.text, {_AROUND}, 1)) + 1 AS p FROM best JOIN d USING (record_id))
+    SELECT category, gram AS term, CASE WHEN hit = '' THEN '' ELSE replace(substring(text, greatest(p - 70, 1)::BIGINT, (p + length(hit) + 70 - greatest(p - 70, 1))::BIGINT), chr(10), ' ') END AS context FROM m""",
+)
 def candidate_context(t):
     return mining.mine_candidates(mining_docs(t), LEXICON, STOP).select("category", "term", "context")
 
