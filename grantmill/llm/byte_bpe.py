@@ -201,7 +201,8 @@ _KNOWN: dict[str, bytes] = {}
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with an ``ids`` column: the ids of the whole text.  No shuffle."""
+    """``docs`` with an ``ids`` column: the ids of the whole text.  No shuffle.  A column of that name is replaced."""
+    docs = docs.drop(ids)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary.ranks)
     schema = docs.withColumn(ids, F.array().cast("array<int>")).schema
     at = docs.columns.index(text)

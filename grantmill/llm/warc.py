@@ -24,9 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grantmill.functions.text import fence
+
+from .common import stored
+
 END = "\r\n\r\n"
 #: Records per archive: bounds what one reader task holds.
 RECORDS_PER_FILE = 3000
+#: Ways in which the revisits of one response are spread.
+SALTS = 16
 DATE = "2020-01-01T00:00:00Z"
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -61,8 +67,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Write the captures of ``pages`` (page_id, url, html) as gzip archives under ``path``.
 
     Which capture is the response of its payload is settled on narrow rows
-    (digest, page id); payloads are joined to the outcome by digest, and a
-    digest that fills many rows is split by the skew join.
+    (digest, page id), for payloads that occur more than once; pages are joined
+    to the outcome by digest, and a digest that fills many rows is split by the
+    skew join.
     """
     plain = pages.select(
         F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), F.col("page_id").cast("long").alias("id"),
@@ -70,10 +77,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\\r\\n]+", " ").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("digest", base32_sha1(F.col("html")))
-    first = plain.groupBy("digest").agg(F.max("id").alias("top"))
-    joined = plain.join(first, "digest")
-    fresh = F.col("id").eqNullSafe(F.col("top"))
-    capture = _uuid(F.lit("capture"), "page", "digest")
+    first = plain.groupBy("digest").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    joined = plain.join(first, "digest", "left").withColumn("fresh", F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("top")))
+    # digests that several records name are worked out once
+    capture_id = _uuid(F.lit("capture"), "page", "digest")
+    joined = joined.select("*", fence(capture_id).alias("capture"))
+    fresh = F.col("fresh")
+    capture = F.col("capture")
     origin = F.when(~fresh, _uuid(F.lit("capture"), F.coalesce(F.col("top").cast("string"), F.lit("")), "digest"))
     host = F.coalesce(F.nullif(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1), F.lit("")), F.lit("-"))
     target = ("WARC-Target-URI", F.col("url"))
@@ -169,7 +179,9 @@ def read_records(spark: SparkSession, path: str, keep_block: bool = False) -> Da
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return found.mapInArrow(run, RECORD).dropDuplicates(["record_id"])
+    read = found.mapInArrow(run, RECORD).dropDuplicates(["record_id"])
+    # several joins read the records: archives are unpacked once
+    return read if keep_block else stored(read, "warc-records")
 
 
 def transactions(read: DataFrame) -> DataFrame:
@@ -190,12 +202,21 @@ def transactions(read: DataFrame) -> DataFrame:
 
 
 def resolve(captures: DataFrame) -> DataFrame:
-    """Per capture the full payload's size and digest; revisits take them from the response they refer to."""
-    origin = captures.where("response.record_type = 'response'").select(
+    """Per capture the full payload's size and digest; revisits take them from the response they refer to.
+
+    A response that a third of all captures refer to is looked up under several
+    salts, so its revisits are spread.
+    """
+    salt = F.pmod(F.xxhash64("capture_id"), F.lit(SALTS))
+    asked = captures.where("response.refers_to IS NOT NULL").select(F.col("response.refers_to").alias("capture_id")).distinct()
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    origin = captures.where("response.record_type = 'response'").join(asked, "capture_id", "left_semi").select(
+        salts.alias("salt"),
         F.col("capture_id").alias("origin_id"), F.col("page_id").alias("origin_page"),
         F.col("response.payload_bytes").alias("origin_bytes"), F.col("response.payload_digest").alias("origin_digest"))
     own = F.col("response.record_type") == "response"
-    return captures.join(origin, F.col("response.refers_to") == F.col("origin_id"), "left").select(
+    met = (F.col("c.response.refers_to") == F.col("o.origin_id")) & (F.col("c.salt") == F.col("o.salt"))
+    return captures.withColumn("salt", salt).alias("c").join(origin.alias("o"), met, "left").select(
         "page_id", F.coalesce("response.payload_bytes", "origin_bytes").alias("payload_bytes"),
         F.coalesce("response.payload_digest", "origin_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
