@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +20,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Folders that owners have made and not yet emptied.
+_MADE: dict[str, list[str]] = {}
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Scratch folders made inside belong to ``owner``; those it made before are emptied first.
+
+    For steps that each write their result before the next begins: what an
+    earlier step kept is of no use any more.
+    """
+    release(spark, owner)
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Empty the folders of ``owner``: a table without rows takes the place of what they hold."""
+    for path in _MADE.pop(owner, []):
+        empty(spark, path)
+
+
+def empty(spark: SparkSession, path: str) -> None:
+    spark.range(0).write.mode("overwrite").parquet(path)
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which every executor sees.
 
     Only a local session may leave the setting out; it gets a folder in /tmp.
     """
+    path = _fresh_folder(spark, purpose)
+    if _OWNER.get():
+        _MADE.setdefault(_OWNER.get(), []).append(path)
+    return path
+
+
+def _fresh_folder(spark: SparkSession, purpose: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):

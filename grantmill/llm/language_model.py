@@ -383,7 +383,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
             trainer.documents(iter(docs_ids))
         yield pa.RecordBatch.from_arrays([pa.array([model.flat().tobytes()])], ["w"])
 
-    start = sample.coalesce(1).mapInArrow(first, "w binary").first()
+    start = sample.repartition(1).mapInArrow(first, "w binary").first()
     warm = np.frombuffer(start["w"], np.float32) if start else unfitted.value
     begin = spark.sparkContext.broadcast(warm)
 

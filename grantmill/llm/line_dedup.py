@@ -223,12 +223,16 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     own = F.xxhash64("doc_id", "text")
     gone = (
         removed_lines(docs.select(F.struct("doc_id", own.alias("mark")).alias("doc_id"), "text"))
-        .where("removed").groupBy(F.col("doc_id.mark").alias(mark)).agg(F.collect_set("line_no").alias(cut))
+        .where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias(cut))
+        .select(F.col("doc_id.doc_id").alias("of"), F.col("doc_id.mark").alias("of_mark"), cut)
     )
     kept = F.array_join(
         F.transform(F.filter(F.transform(F.split("text", LINE), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
                              lambda s: ~F.array_contains(F.col(cut), s["i"])), lambda s: s["x"]), LINE)
-    after = docs.withColumn(mark, own).join(gone, mark, "left").withColumn(
+    # the id beside the hash: texts of different ids never share a decision by chance
+    same = (F.col(f"d.{mark}") == F.col("g.of_mark")) & F.col("d.doc_id").eqNullSafe(F.col("g.of"))
+    marked_docs = docs.withColumn(mark, own).alias("d").join(gone.alias("g"), same, "left").select("d.*", f"g.{cut}")
+    after = marked_docs.withColumn(
         "text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept))
     return after.where(F.col(cut).isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")).select(*docs.columns)
 
