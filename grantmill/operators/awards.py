@@ -148,9 +148,10 @@ def profile_sides(profile: DataFrame) -> DataFrame:
     )
 
 
-def coverage_counts(awards: DataFrame) -> DataFrame:
+def coverage_counts(awards: DataFrame, hidden: str | None = None) -> DataFrame:
+    """Awards and money by coding type; ``hidden`` names a column that says which texts are redacted, found before a join."""
     manual = F.col("coding_type") == "Manual"
-    redacted = is_redacted(award_text())
+    redacted = F.col(hidden) if hidden else is_redacted(award_text())
     money = lambda c: F.coalesce(F.sum(c.cast(MONEY)), F.lit(0)).cast("double")
     return awards.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(manual).alias("manual"),

@@ -14,6 +14,8 @@ from ..session import materialise
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 PRUNED_K = 1000
 SALTS = 64
+# Hex digits of the digest histogram: 4,096 bins a group.
+PREFIX = 3
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:
@@ -27,18 +29,37 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last:
     return df.groupBy(*keys).agg(pick.alias("__r")).select(*keys, "__r.*").select(*df.columns)
 
 
-def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", salt: str | None = None) -> DataFrame:
+def below_cut(df: DataFrame, groups: Sequence[str], digest: str, k: int) -> DataFrame:
+    """A superset of the k rows of each group with the smallest hex ``digest``: about k of them, however large the group.
+
+    A histogram of digest prefixes says from which prefix on no row is needed;
+    rows above it are dropped before anything is sorted.
+    """
+    prefix = F.conv(F.left(F.col(digest), F.lit(PREFIX)), 16, 10).cast("int")
+    bins = df.groupBy(*groups, prefix.alias("__bin")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*groups).orderBy("__bin")) - F.col("__n")
+    cuts = bins.withColumn("__before", before).filter(F.col("__before") < k).groupBy(*groups).agg(F.max("__bin").alias("__cut"))
+    cuts = cuts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], "__cut")
+    same = prefix <= F.col("__cut")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return df.join(cuts, same, "left_semi")
+
+
+def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", digest: str | None = None) -> DataFrame:
     """First k rows per group by ``order`` with their rank, exactly.
 
-    Up to ``PRUNED_K`` the optimizer prunes before the shuffle.  Beyond that a
-    salted first pass does, so no task sorts a whole hot group.
+    Up to ``PRUNED_K`` the optimizer prunes before the shuffle.  Beyond that, an
+    order by a ``digest`` column is cut by its histogram, and any other by a
+    salted first pass, so no task sorts a whole hot group.
     """
     parts = [F.col(g) for g in groups]
-    if k > PRUNED_K:
-        by = F.col(salt) if salt else F.struct(*df.columns)
+    if k > PRUNED_K and digest:
+        df = below_cut(df, groups, digest, k)
+    elif k > PRUNED_K:
         cut = F.row_number().over(Window.partitionBy(*parts, "__salt").orderBy(*order))
         df = (
-            df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+            df.withColumn("__salt", F.pmod(F.xxhash64(F.struct(*df.columns)), F.lit(SALTS)))
             .withColumn("__cut", cut).filter(F.col("__cut") <= k).drop("__salt", "__cut")
         )
     number = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))

@@ -116,7 +116,7 @@ def quota_sample(
         n = F.lit(half_even(size * part))
         quota = F.when(c, n) if quota is None else quota.when(c, n)
     # at most ``size`` per stratum can be needed, for quota and top-up together
-    ranked = materialise(top_k(pool, ["stratum"], [F.col("h")], size, "r", salt="h"), "study-pool")
+    ranked = materialise(top_k(pool, ["stratum"], [F.col("h")], size, "r", digest="h"), "study-pool")
     chosen = ranked.filter(F.col("r") <= quota)
     leftover = ranked.filter(F.col("r") > quota).orderBy("h").limit(size)
     room = chosen.select(F.lit(size) - F.count(F.lit(1))).scalar()
@@ -132,7 +132,7 @@ def stratified_cap(df: DataFrame, by: str, record_id: str, cap: int, seed: int =
     share = F.bround(F.col("__n") * F.lit(float(cap)) / F.greatest(whole, F.lit(cap)), 0)
     quotas = counts.select(by, F.least(F.col("__n"), share.cast("bigint")).alias("__q"))
     hashed = df.withColumn("__h", seeded(F.col(record_id), seed))
-    ranked = top_k(hashed, [by], [F.col("__h")], cap, "__r", salt="__h")
+    ranked = top_k(hashed, [by], [F.col("__h")], cap, "__r", digest="__h")
     return ranked.join(quotas, by).filter(F.col("__r") <= F.col("__q")).drop("__h", "__r", "__q")
 
 

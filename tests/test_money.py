@@ -153,3 +153,51 @@ def test_main_jobs_avoid_nested_loops_and_python(spark):
     for name in ("ratio_rollup", "rule_labels", "leave_one_out", "candidate_lift", "fleiss_kappa", "gate_summary_wilson", "term_stats"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan, name
+
+
+def shuffled_columns(plan: str) -> list[str]:
+    """The column lists of the rows that each exchange by key of a formatted plan sends (spreading one file over the cores is none)."""
+    import re
+
+    found = re.finditer(r"^\(\d+\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]\nArguments: (\w+)", plan, re.M)
+    return [m.group(1) for m in found if m.group(2) != "RoundRobinPartitioning"]
+
+
+def test_texts_are_labelled_before_they_are_joined(spark):
+    """With broadcasts off no exchange carries a text, though labels are joined by id."""
+    from workload import QUERIES
+
+    names = ("multiclass_prf", "confusion_matrix", "legacy_agreement", "agreement_by_label", "boundary_flags", "term_stats", "term_hits_by_label", "category_coverage",
+             "term_audit", "stale_stats", "exclusion_stats", "binary_money_score", "award_coverage", "error_breakdown", "candidate_gates", "genericity_guard")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in names:
+            plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            sent = shuffled_columns(plan)
+            texts = [c for columns in sent for c in columns.split(", ") if c.split("#")[0] in ("text", "abstract", "t", "_text", "low")]
+            assert sent and not texts, (name, texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_scenarios_and_leave_one_out_need_one_pass(spark):
+    from grantmill.operators import overlay
+    from grantmill.operators.ratio import leave_one_out
+
+    labels = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").selectExpr(
+        "c_custkey record_id", "c_mktsegment region", "'care' label", "c_acctbal amount_eur")
+    plan = leave_one_out(labels)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
+    answers = spark.range(5).selectExpr("id record_id", "'intervention' label")
+    plan = overlay.compare_scenarios(labels, answers, "region")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and plan.count("Join") == 1 and plan.count("Aggregate") == 1
+
+
+def test_leave_one_out_edges(spark):
+    from grantmill.operators.ratio import leave_one_out
+
+    rows = [("a", "r1", "care", 5.0), ("a", "r2", "intervention", None), ("b", "r1", "care", 0.0), ("c", "r2", "care", 3.0), ("c", "r1", "care", 3.0), ("c", "r3", "intervention", 3.0)]
+    got = {r.region: (r.record_id, r.swing) for r in leave_one_out(spark.createDataFrame(rows, "region string, record_id string, label string, amount_eur double")).collect()}
+    # all money in one grant: without it there is no ratio, and the grant without money moves nothing; no money at all: no row
+    assert got == {"a": ("r2", 0.0), "c": ("r3", 0.333333)}

@@ -287,3 +287,61 @@ def test_study_plan(spark):
     r = study.results(batch, j)
     assert r["coverage"].first().records_with_two_or_more == 12 and r["contested"].first().contention == 2.0
     assert study.export(batch, j).count() == 52
+
+
+def test_global_rank_is_exact_over_ranges(spark):
+    from grantmill.operators.ranking import global_rank
+
+    df = spark.createDataFrame([(i, i % 7 if i % 3 else 0) for i in range(500)], "id int, v int").repartition(5)
+    got = [(r["rank"], r["id"]) for r in global_rank(df, [F.desc("v"), F.col("id")]).orderBy("rank").collect()]
+    want = sorted(((i, i % 7 if i % 3 else 0) for i in range(500)), key=lambda x: (-x[1], x[0]))
+    assert got == [(k + 1, i) for k, (i, _) in enumerate(want)]
+    assert global_rank(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_drift_names_the_changed_parts(spark, tmp_path):
+    from grantmill.plans import ratio_build
+
+    rows = [(f"r{i}", "SE", "VR", "care", float(i)) for i in range(200)]
+    schema = "record_id string, region string, funder string, label string, amount_eur double"
+    labels = spark.createDataFrame(rows, schema)
+    ratio_build.store_rollup(labels, str(tmp_path / "x"))
+    assert ratio_build.load_rollup(labels.repartition(3), str(tmp_path / "x")).count() == 3
+    changed = labels.withColumn("label", F.when(F.col("record_id") == "r7", "intervention").otherwise(F.col("label")))
+    with pytest.raises(Exception, match="inputs changed in parts [0-9]+"):
+        ratio_build.load_rollup(changed, str(tmp_path / "x")).collect()
+
+
+def test_counted_write(spark, tmp_path):
+    from grantmill.sources.writers import write_counted
+
+    raw = spark.createDataFrame([("se", 2016), ("se", 2010), ("eu", 2017), ("eu", None)], "source string, year int")
+    funnel = write_counted(raw, str(tmp_path / "c"), "source", ["se", "eu", "us"], {"fetched": F.lit(True), "kept": F.col("year") >= 2015})
+    assert {(r.source, r.stage): r.n for r in funnel.collect()} == {("se", "fetched"): 2, ("se", "kept"): 1, ("eu", "fetched"): 2, ("eu", "kept"): 1, ("us", "fetched"): 0, ("us", "kept"): 0}
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+
+
+def test_zero_amounts_and_exact_sides(spark):
+    from grantmill.functions.money import checked_amount
+    from grantmill.operators import awards
+
+    number = spark.createDataFrame([(0.0,), (2.5,), (None,)], "a double").select(checked_amount(F.col("a"), F.lit("r")).alias("v"))
+    assert [r.v is None for r in number.collect()] == [True, False, True]
+    words = spark.createDataFrame([("0",), ("",)], "a string").select(checked_amount(F.col("a"), F.lit("r")).alias("v"))
+    assert [r.v for r in words.collect()] == [0, None]
+    df = spark.createDataFrame([(["4"], 0.004)] * 3 + [(["3"], 0.004)], "g array<string>, v double")
+    sides = awards.profile_sides(awards.apportioned_profile(df, "g", "v")).first()
+    assert sides.consequences == 0.01 and sides.prevention_share == 0.25
+
+
+def test_digest_cut_keeps_what_top_k_needs(spark, monkeypatch):
+    from grantmill.functions.hashing import seeded
+    from grantmill.operators import ranking
+
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 100 = 1 THEN 'few' ELSE 'hot' END AS g").withColumn("h", seeded(F.col("id"), 1))
+    plain = {(r.g, r.id, r["rank"]) for r in ranking.top_k(df, ["g"], [F.col("h")], 50, digest="h").collect()}
+    monkeypatch.setattr(ranking, "PRUNED_K", 10)
+    assert {(r.g, r.id, r["rank"]) for r in ranking.top_k(df, ["g"], [F.col("h")], 50, digest="h").collect()} == plain
+    assert {(r.g, r.id, r["rank"]) for r in ranking.top_k(df, ["g"], [F.col("h")], 50).collect()} == plain
+    kept = ranking.below_cut(df, ["g"], "h", 50).groupBy("g").count().collect()
+    assert all(r["count"] < 80 for r in kept) and {r.g for r in kept} == {None, "few", "hot"}

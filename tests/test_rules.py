@@ -173,3 +173,11 @@ def test_net_screen_quote(spark):
     )
     assert q.filter(quote_found(F.col("q"), F.col("s")) != F.col("want")).count() == 0
     assert Term("x").role == "keyword"
+
+
+def test_fixture_lexicon_reaches_every_rule(spark):
+    from grantmill.operators.rules import RULE_LABEL
+    from workload.base import Tables, ruled_documents
+
+    paths = {r["rule_path"] for r in ruled_documents(Tables(spark, "/root/testdata/sf0.01")).select("rule_path").distinct().collect()}
+    assert paths == set(RULE_LABEL)

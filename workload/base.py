@@ -268,8 +268,8 @@ CUES = {
     "biomedical": ["was", "las", "es"],
     "battery": ["por", "del"],
     "developing": ["than", "sur", r"ciónas\w*"],
-    "mechanism": ["erly", "des"],
-    "service": ["thin", "erat"],
+    "mechanism": ["erly", "des", "tied"],
+    "service": ["thin", "erat", "atnd", "threly"],
     "society": ["then", "ersh"],
     "treatment": ["thor", "ver"],
 }

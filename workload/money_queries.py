@@ -464,13 +464,14 @@ def human_awards(t):
     from grantmill.operators.matching import match_terms
 
     hit = match_terms(documents(t), "t", Lexicon.phrases(["worthless", "stupid", "idiot"]), "_p")
-    found = hit.withColumns({"predicted": F.size("_p") > 0, "redacted": fence(F.col("t").rlike("license|apache"))})
+    found = hit.withColumns({"predicted": F.size("_p") > 0, "redacted": fence(F.col("t").rlike("license|apache")),
+                              "hidden": fence(awards.is_redacted(awards.award_text()))})
     d = with_experts(t, found)
     coding = F.when(F.col("quality").isNull(), "Automated").when((F.col("toxic") == 1) & (F.col("quality") == 0), "Mixed").otherwise("Manual")
     slots = F.array_compact(F.array(F.when(F.col("quality") == 0, "low quality"), F.when(F.col("toxic") == 1, "toxic")))
     return d.select(
         "record_id", "title", "abstract", "t", "source", coding.alias("coding_type"), slots.alias("health_categories"),
-        F.col("amount_eur").alias("value_gbp"), "redacted", "quality", "toxic", "predicted",
+        F.col("amount_eur").alias("value_gbp"), "redacted", "hidden", "quality", "toxic", "predicted",
     )
 
 
@@ -501,7 +502,7 @@ def binary_money_score(t):
       CAST(sum(value_gbp) FILTER (coding_type = 'Manual') AS DOUBLE) AS manual_value FROM awards""",
 )
 def award_coverage(t):
-    return awards.coverage_counts(human_awards(t))
+    return awards.coverage_counts(human_awards(t), "hidden")
 
 
 @query(
