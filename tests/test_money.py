@@ -129,7 +129,7 @@ def test_ratio_build_and_overlay(spark):
 
 def test_top_k_beyond_the_pruned_limit(spark):
     df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("g"))
-    got = ranking.top_k(df, ["g"], [F.col("id")], 1200, salt="id").filter("g = 'hot'")
+    got = ranking.top_k(df, ["g"], [F.col("id")], 1200).filter("g = 'hot'")
     assert sorted(r.id for r in got.collect()) == [3 * i for i in range(1200)]
 
 
