@@ -106,6 +106,18 @@ def _start(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.n
     return basis, x
 
 
+def _inverse(upper: np.ndarray) -> np.ndarray:
+    """The inverse of an upper triangular matrix with few entries, from the last row up."""
+    out = np.zeros_like(upper)
+    for i in range(len(upper) - 1, -1, -1):
+        later = np.flatnonzero(upper[i, i + 1 :]) + i + 1
+        for k in later:
+            out[i] -= upper[i, k] * out[k]
+        out[i, i] += 1.0
+        out[i] /= upper[i, i]
+    return out
+
+
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, pivots: int = PIVOTS) -> tuple[np.ndarray, np.ndarray, float]:
     """``basis, x, bound`` of the linear program: cover ``demand[i]`` pieces of ``lengths[i]`` (rising) by fewest patterns.
 
@@ -116,7 +128,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
     demand = demand * (1 + 1e-7 * np.random.default_rng(0).random(len(demand)))
     basis, x = _start(lengths, demand, capacity)
     reached: list[float] = []
-    inverse = np.linalg.inv(basis)
+    inverse = _inverse(basis)
     dual, bound, place = inverse.sum(axis=0), float(lengths @ demand) / capacity, np.zeros(capacity + 1, dtype=np.int64)
     place[lengths] = np.arange(len(lengths))
     while pivots > 0:
