@@ -56,14 +56,26 @@ def to_eur(amount: Column, currency: Column, rates: Mapping[str, float] = vocab.
     return F.when(amount.isNotNull(), F.round(amount / rate.otherwise(missing.cast("double")), 2))
 
 
-def display_eur(c: Column) -> Column:
-    """Short display form in billions, millions or thousands."""
+def _digits(v: Column, places: int, ties: str) -> Column:
+    """``v`` with 0 or 1 decimal places, rounded by its exact binary value.
+
+    ``format_string`` would round the shortest decimal form.  A tie is an odd
+    number of halves (of quarters, for one place); ``up``: away from zero.
+    """
+    if ties == "up":
+        tie = F.abs(v * (4 if places else 2) % 2) == 1
+        v = F.when(tie, v + F.signum(v) * (0.05 if places else 0.25)).otherwise(v)
+    return F.replace(F.format_number(v, places), F.lit(","), F.lit(""))
+
+
+def display_eur(c: Column, ties: str = "up") -> Column:
+    """Short display form in billions, millions or thousands; ``ties``: ``up`` or ``even``."""
     size = F.abs(c)
-    fmt = lambda pattern, v: F.format_string("€" + pattern, v)
+    fmt = lambda v, places, unit: F.concat(F.lit("€"), _digits(v, places, ties), F.lit(unit))
     return (
         F.when(c.isNull() | F.isnan(c) | (size == float("inf")), "—")
-        .when(size >= 1e9, fmt("%.1fB", c / 1e9))
-        .when(size >= 1e6, fmt("%.1fM", c / 1e6))
-        .when(size >= 1e3, fmt("%.0fk", c / 1e3))
-        .otherwise(fmt("%.0f", F.floor(c + 0.5).cast("double")))
+        .when(size >= 1e9, fmt(c / 1e9, 1, "B"))
+        .when(size >= 1e6, fmt(c / 1e6, 1, "M"))
+        .when(size >= 1e3, fmt(c / 1e3, 0, "k"))
+        .otherwise(fmt(F.floor(c + 0.5).cast("double"), 0, ""))
     )

@@ -45,6 +45,14 @@ def test_conversion_and_display(spark):
     assert [r[0] for r in shown.collect()] == ["€2.5B", "€1.3M", "€5k", "€12", "—"]
 
 
+def test_display_rounds_the_exact_value(spark):
+    values = [336_500.0, 2_500.0, 1_500.0, 1.25e6, 1.15e6, 2.75e9, 1234.56e9, 999.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    even, up = ([r[0] for r in df.select(money.display_eur(F.col("v"), ties)).collect()] for ties in ("even", "up"))
+    assert even == ["€336k", "€2k", "€2k", "€1.2M", "€1.1M", "€2.8B", "€1234.6B", "€1000"]
+    assert up == ["€337k", "€3k", "€2k", "€1.3M", "€1.1M", "€2.8B", "€1234.6B", "€1000"]
+
+
 def test_dates(spark):
     df = spark.createDataFrame([("2024-05-01",), ("2021-01",), ("2016",), ("1990",), ("soon",), (None,)], "d string")
     w = df.select(dates.recency_weight(F.col("d"), F.lit("2024-06-01").cast("timestamp")))

@@ -322,7 +322,7 @@ def checked_amounts(t):
 def display_amount(t):
     p = F.col("o_totalprice")
     v = F.when(F.col("o_orderstatus") == "P", p * 10007 + 0.13).when(F.col("o_orderstatus") == "O", p * 17 + 0.13).otherwise(p / 1009)
-    return t.orders.select("o_orderkey", fm.display_eur(v).alias("shown"))
+    return t.orders.select("o_orderkey", fm.display_eur(v, ties="even").alias("shown"))
 
 
 @query(
