@@ -65,6 +65,27 @@ def test_cohen_kappa_agrees_with_brute_force(spark):
     assert turned[("u1", "u0")] == [want[("u0", "u1")][y * 3 + x] for x in range(3) for y in range(3)]
 
 
+def test_kappa_of_every_pair(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(f"i{i}", f"u{u}", rnd.choice([*vocab.ANSWERS, None])) for u in range(40) for i in range(30) if rnd.random() < 0.3]
+    df = spark.createDataFrame([*rows, ("i1", None, "yes")], JUDG)
+    want = agreement.shared_label_counts(df, agreement.all_pairs(df), "geroscience", vocab.ANSWERS).collect()
+    for sizes in ((256, 2048), (7, 9)):
+        assert sorted(agreement.all_label_counts(df, "geroscience", vocab.ANSWERS, *sizes).collect()) == sorted(want)
+    assert agreement.cohen_kappa(df).count() == len(want) > 200
+
+
+def test_kappa_query_has_every_pair(spark):
+    from workload import QUERIES
+    from workload.base import Tables, judgments
+
+    sf = "/root/testdata/sf0.001"
+    known = judgments(Tables(spark, sf)).where("geroscience IS NOT NULL")
+    assert QUERIES["cohen_kappa_pairs"](spark, sf).count() == agreement.all_pairs(known).count()
+
+
 def test_multiclass(spark):
     df = spark.createDataFrame([("care", "care"), ("care", "ambiguous"), ("care", "ambiguous"), ("care", "care"), ("not_relevant", "not_relevant")], "t string, p string")
     m = {r["class"]: r for r in agreement.multiclass(df, "t", "p", vocab.LABELS).collect()}
