@@ -162,6 +162,21 @@ def test_entity_funnel_finds_long_names_and_digits(spark):
     assert got == {"listed": 5, "unique": 4, "long_enough": 4, "with_hits": 3, "enough_hits": 3, "admitted": 3}
 
 
+def test_money_by_title_gram_equals_money_by_title(spark):
+    import random
+
+    from grantmill.functions.text import distinct_grams, explode_once, title_key
+    from grantmill.operators.mining import money_by_title, money_by_title_gram
+
+    rnd = random.Random(2)
+    rows = [(i, f"Title {rnd.randrange(60)}", " ".join(rnd.choices(["alpha", "beta", "gamma", "delta", "the"], k=4)), f"{i}.10") for i in range(90)]
+    d = spark.createDataFrame([*rows, (99, None, "alpha alone", None)], "record_id long, title string, text string, a string").withColumn("amount", F.col("a").cast("decimal(18,2)"))
+    long = d.select("record_id", "amount", title_key(F.col("title")).alias("title_key"), explode_once(distinct_grams(F.col("text"), ["the"], 1)).alias("gram"))
+    got = money_by_title_gram(d, "record_id", "text", "title", "amount", ["the"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, money_by_title(long, ["gram"]).collect()))
+    assert "title_key" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_net_screen_quote(spark):
     df = spark.createDataFrame([("senescence and longevity",), ("nothing",)], "t string")
     assert [r.matched_phrases for r in net_filter(df, "t", ["senescence", "longevity"]).collect()] == [["longevity", "senescence"]]

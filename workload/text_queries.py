@@ -123,17 +123,9 @@ def best_category(t):
 WORDS = f"{DOCUMENTS}, w AS (SELECT record_id, source, amount_eur, text, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', ' ', 'g') AS title_key, unnest({sql_grams('text', n=1)}) AS gram FROM docs)"
 
 
-def words(t):
-    from grantmill.functions.text import distinct_grams, explode_once, title_key
-
-    d = documents(t)
-    return d.select("record_id", "source", F.col("amount_eur").alias("amount"), F.length("text").alias("chars"), "text", title_key(F.col("title")).alias("title_key"),
-                    explode_once(distinct_grams(F.col("text"), STOP, 1)).alias("gram"))
-
-
 @query("money_by_title_key", f"WITH {WORDS}, o AS (SELECT gram, title_key, arg_min(amount_eur, record_id) AS m FROM w GROUP BY 1, 2) SELECT gram, count(*) AS titles, CAST(sum(m) AS DOUBLE) AS amount FROM o GROUP BY 1")
 def money_by_title_key(t):
-    return mining.money_by_title(words(t).drop("text"), ["gram"])
+    return mining.money_by_title_gram(documents(t), "record_id", "text", "title", "amount_eur", STOP)
 
 
 @query("longest_example", f"WITH {DOCUMENTS} SELECT source, arg_min(record_id, -length(text) * 1000000000000 + record_id) AS example FROM docs GROUP BY 1")
