@@ -38,7 +38,11 @@ def fingerprint(text: str | None) -> int:
     else:
         shingles = map(b" ".join, zip(words, words[1:], words[2:]))
     digest = xxhash.xxh64_intdigest
-    values = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return majority(np.array([digest(s, SEED) for s in shingles], dtype="<u8"))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half the 64-bit values."""
     counts = np.zeros(64, dtype=np.int64)
     for start in range(0, len(values), 65536):
         block = values[start : start + 65536].view(np.uint8).reshape(-1, 8)
@@ -135,7 +139,7 @@ def shingle_set(text: str | None) -> list[bytes]:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, words``: the shingle digests of each document as words, and a key of the whole set."""
+    """``doc_id, key, fp, words``: the shingle digests of each document as words, a key and the fingerprint of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,26 +147,44 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 part = batch.slice(start, 500)
                 sets = [shingle_set(t.as_py()) for t in part.column(1)]
                 keys = [xxhash.xxh3_128_digest(b"".join(s)) for s in sets]
+                fps = np.array([majority(np.frombuffer(b"".join(s), dtype="<u8")) for s in sets], dtype=np.uint64).view(np.int64)
                 listed = [b" ".join(b2a_base64(d, newline=False)[:11] for d in s).decode() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(listed, pa.string())], ["doc_id", "key", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(listed, pa.string())], ["doc_id", "key", "fp", "words"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, words string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, fp bigint, words string")
+
+
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """``a, b``: ids of ``sets`` (id, fp) whose fingerprints link; of equal fingerprints each with the smallest id, which stands for them."""
+    stands = stored(sets.groupBy("fp").agg(F.min("id").alias("a")), "near-prints")
+    same = sets.join(stands, "fp").where("id <> a").select("a", F.col("id").alias("b"))
+    found = links(stands.select("fp")).toDF("fa", "fb")
+    ends = [stands.toDF(f"f{c}", c) for c in "ab"]
+    return same.union(found.join(ends[0], "fa").join(ends[1], "fb").select("a", "b"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents whose id is the smallest of their group of near copies; the columns stay as they are.
 
     Near copies share four fifths or more of their five-word shingles (Jaccard);
-    pairs come from the exact set-similarity join of the line operator, so none
-    is missed, and groups are what their links reach.  Texts without a word are
-    one group.  Rows that repeat a kept id count as one document and stay; a row
-    without an id stays only where its whole group has none.
+    groups are what their links reach.  Pairs whose SimHash fingerprints (over
+    the five-word shingles) differ in ``RADIUS`` bits or fewer are found by the
+    multi-index.  Edited copies mostly differ in more bits, so the exact
+    set-similarity join of the line operator adds the rest, and the sets
+    themselves decide on all pairs.  Texts without a word are one group.  Rows
+    that repeat a kept id count as one document and stay; a row without an id
+    stays only where its whole group has none.
     """
-    sets = shingle_sets(docs).groupBy("key").agg(F.min("doc_id").alias("first"), F.first("words").alias("words"))
-    distinct = stored(sets.withColumn("id", F.monotonically_increasing_id()), "shingle-sets", compression="zstd")
-    pairs = stored(line_dedup.matches(distinct.where("words <> ''").select("id", "words")), "near-copies")
+    every = stored(shingle_sets(docs).withColumn("id", F.monotonically_increasing_id()), "shingle-sets", compression="zstd")
+    chosen = stored(every.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("id").alias("id"), F.first("fp").alias("fp")), "distinct-sets")
+    # the few copies, stored, so the sets need no shuffle to leave them out
+    copies = stored(every.select("id").join(chosen.select("id"), "id", "left_anti"), "copied-sets")
+    distinct = every.where("words <> ''").select("id", "words").join(copies, "id", "left_anti")
+    near = stored(print_pairs(chosen.select("id", "fp")), "print-pairs")
+    pairs = stored(line_dedup.matches(distinct, also=near), "near-copies")
     member = components(pairs).withColumnRenamed("node", "id")
-    named = distinct.select("id", "first").join(member, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = chosen.select("id", "first").join(member, "id", "left").withColumn("component", F.coalesce("component", "id"))
     found = stored(named.groupBy("component").agg(F.min("first").alias("doc_id")).select("doc_id").distinct(), "kept-ids")
     return docs.alias("d").join(found.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")

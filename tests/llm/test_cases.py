@@ -200,6 +200,16 @@ def test_near_copies_against_brute_force(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_near_copies_go_through_the_fingerprints(spark, monkeypatch):
+    base = 0x0F0F_0000_FFFF_1234
+    prints = [(1, base), (2, base), (3, base ^ 0b101), (4, base ^ 0b111 << 20), (5, 77)]
+    sets = spark.createDataFrame(prints, "id long, fp long")
+    assert {tuple(sorted(r)) for r in simhash.print_pairs(sets).collect()} == {(1, 2), (1, 3)}
+    asked, before = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps: asked.append(1) or before(fps))
+    assert simhash.keep_one(docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")])).count() == 2 and asked
+
+
 ITEM = ("tom has 5 apples and gives 3 apples to his friend Anna before he walks with her along the quiet river to the old mill, "
         "where Anna sells all her pears and asks him how many apples are left over")
 
