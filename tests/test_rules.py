@@ -162,6 +162,15 @@ def test_entity_funnel_finds_long_names_and_digits(spark):
     assert got == {"listed": 5, "unique": 4, "long_enough": 4, "with_hits": 3, "enough_hits": 3, "admitted": 3}
 
 
+def test_gram_levels_read_the_words_once(spark):
+    from grantmill.functions.text import distinct_grams
+
+    d = spark.createDataFrame([("One two the three four two three",), ("",), (None,)], "t string").select(distinct_grams(F.col("t"), ["the"]).alias("g"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    one, two, three = ("one", "two", "four"), ("one two", "three four", "four two", "two three"), ("three four two", "four two three")
+    assert [r.g and sorted(r.g) for r in d.collect()] == [sorted([*one, "three", *two, *three]), [], None]
+
+
 def test_entity_funnel_counts_before_it_joins(spark):
     docs = spark.createDataFrame([("a name of five words, and IL-6", "en"), ("another name of five words", "sv")] * 3, "text string, label string")
     names = spark.createDataFrame([("name of five words",), ("IL-6",), ("words",), ("not there",), ("of",)], "name string")
