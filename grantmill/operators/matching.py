@@ -228,10 +228,10 @@ def covered(gram: str, lexicon: Lexicon, df: DataFrame, out: str = "covered") ->
     return match_terms(df, gram, lexicon, "__c").withColumn(out, F.size("__c") > 0).drop("__c")
 
 
-def quote_found(quote: Column, source: Column, limit: int = vocab.QUOTE_LIMIT) -> Column:
-    """Verbatim-quote check: case and whitespace folded substring."""
+def quote_found(quote: Column, source: Column, limit: int = vocab.QUOTE_LIMIT, squeezed: bool = False) -> Column:
+    """Verbatim-quote check: case and whitespace folded substring; ``squeezed``: ``source`` is folded already."""
     usable = quote.isNotNull() & (quote != "") & (F.length(quote) <= limit)
-    return F.when(usable, F.contains(squeeze(source), squeeze(quote))).otherwise(False)
+    return F.when(usable, F.contains(source if squeezed else squeeze(source), squeeze(quote))).otherwise(False)
 
 
 def keyword_context(df: DataFrame, text: str, term: str, width: int = 70) -> DataFrame:

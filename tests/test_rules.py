@@ -196,6 +196,14 @@ def test_money_by_title_gram_equals_money_by_title(spark):
     assert "title_key" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_quote_query_folds_a_text_once(spark):
+    from workload import QUERIES
+
+    plan = QUERIES["quote_verification"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join", 1)
+    assert above.count("regexp_replace") == 1 and below.count("regexp_replace") == 1  # the quote's; the text's
+
+
 def test_net_screen_quote(spark):
     df = spark.createDataFrame([("senescence and longevity",), ("nothing",)], "t string")
     assert [r.matched_phrases for r in net_filter(df, "t", ["senescence", "longevity"]).collect()] == [["longevity", "senescence"]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grantmill import vocab
-from grantmill.functions.text import evidence_text, keyword_in_context, term_pattern
+from grantmill.functions.text import evidence_text, keyword_in_context, squeeze, term_pattern
 from grantmill.operators import awards, census, lexicon_stats, matching, overlay
 from grantmill.operators.lexicon import Lexicon, Term, term_problem
 from grantmill.operators.rules import classify
@@ -391,8 +391,9 @@ def quote_verification(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     changed = F.concat(F.replace("line", F.lit(" "), F.lit("  ")), F.when(F.col("i") % 7 == 3, "x").otherwise(""))
     d = lines.select((F.col("doc_id") * 100000 + F.col("i") + 1000000).alias("item_id"), changed.alias("quote"), "doc_id")
-    j = b.unionByName(d).join(t.documents.select("doc_id", "text"), "doc_id")
-    return j.select("item_id", matching.quote_found(F.col("quote"), F.col("text")).alias("quote_valid"))
+    # a text is folded once, below the join, not once a line
+    j = b.unionByName(d).join(t.documents.select("doc_id", squeeze(F.col("text")).alias("folded")), "doc_id")
+    return j.select("item_id", matching.quote_found(F.col("quote"), F.col("folded"), squeezed=True).alias("quote_valid"))
 
 
 @query(
