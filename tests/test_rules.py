@@ -196,6 +196,13 @@ def test_money_by_title_gram_equals_money_by_title(spark):
     assert "title_key" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lifts_run_the_rules_once(spark):
+    from workload import QUERIES
+
+    files = QUERIES["candidate_lift"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("documents" in f or "labels" in f for f in files)
+
+
 def test_quote_query_folds_a_text_once(spark):
     from workload import QUERIES
 

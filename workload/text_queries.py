@@ -10,6 +10,7 @@ from grantmill.operators import awards, mining
 from grantmill.operators.lexicon import Lexicon, Term
 from grantmill.operators.matching import match_terms
 from grantmill.operators.ranking import top_k
+from grantmill.session import materialise
 
 from .base import ARD, CARE, DOCUMENTS, FA, INT, LEXICON, RULED_EXPERTS, SOC, documents, query, ruled_documents, sql_has, sql_hits, sql_list, with_experts
 
@@ -65,9 +66,14 @@ counts AS (SELECT gram, category, count(*) FILTER (expert = category AND blind)
 lifts AS (SELECT *, ((a + 0.5::DOUBLE) / (n_pos + 0.5::DOUBLE)) / ((b + 0.5::DOUBLE) / (n_bg + 0.5::DOUBLE)) AS lift FROM counts JOIN totals USING (category))"""
 
 
+def scored(t):
+    # three steps read the labelled documents, so the rules run once
+    return mining.scored_grams(materialise(mining.prepare(mining_docs(t)), "mining-docs"), STOP)
+
+
 @query("candidate_lift", f"WITH {MINING} SELECT gram, category, a, b, n_pos, n_bg, round(lift, 6) AS lift FROM lifts")
 def candidate_lift(t):
-    s = mining.scored_grams(mining.prepare(mining_docs(t)), STOP)
+    s = scored(t)
     return s.withColumn("lift", F.round("lift", 6))
 
 
@@ -110,13 +116,13 @@ def candidate_context(t):
 
 @query("top_candidates", f"WITH {MINING} SELECT category, gram, round(lift, 2) AS lift, a FROM lifts QUALIFY row_number() OVER (PARTITION BY category ORDER BY round(lift, 2) DESC, a DESC, gram) <= 5")
 def top_candidates(t):
-    s = mining.scored_grams(mining.prepare(mining_docs(t)), STOP).select("category", "gram", F.round("lift", 2).alias("lift"), "a")
+    s = scored(t).select("category", "gram", F.round("lift", 2).alias("lift"), "a")
     return top_k(s, ["category"], [F.desc("lift"), F.desc("a"), F.col("gram")], 5).drop("rank")
 
 
 @query("best_category", f"WITH {MINING} SELECT gram, category, round(lift, 2) AS lift FROM lifts JOIN cats USING (category) QUALIFY row_number() OVER (PARTITION BY gram ORDER BY round(lift, 2) DESC, rank) = 1")
 def best_category(t):
-    s = mining.scored_grams(mining.prepare(mining_docs(t)), STOP).select("gram", "category", "lift")
+    s = scored(t).select("gram", "category", "lift")
     return mining.best_category(s, vocab.CATEGORIES).select("gram", "category", F.round("lift", 2).alias("lift"))
 
 
