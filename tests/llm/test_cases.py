@@ -235,3 +235,22 @@ def test_decontamination_finds_copies_in_other_case(spark):
 def test_decontamination_finds_dense_and_short_items(spark, item):
     assert [r["verbatim"] for r in leaked(spark, item, item)] == [True]
     assert not leaked(spark, item.replace("5", "6").replace("Odyssey", "Iliad").replace("8", "9").replace("9", "1").replace("Tom Reed", "x y"), item)
+
+
+def test_item_windows_have_a_hash_for_each_way_to_meet(spark):
+    """Windows with enough plain words meet by their template or without names; a third hash made every document's window dearer."""
+    plain = "alpha beta gamma delta Anna took 4 km home"
+    dense = "7 km 8 kg 9 cm 10 mm"
+    items = spark.createDataFrame([(1, plain), (2, dense)], "item_id long, text string")
+    rows = [r.asDict() for r in decontam.item_windows(items).collect()]
+    assert Counter(r["item_id"] for r in rows) == {1: 4, 2: 1}
+    texts = [(1, plain), (2, plain.upper()), (3, plain.replace("Anna", "Berta")), (4, dense), (5, dense.upper()), (6, dense.replace("7", "6"))]
+    found = decontam.leaks(docs(spark, texts), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
+
+
+def test_units_are_found_letter_by_letter(spark):
+    words = [w + end for u in decontam.UNITS for w in (u, u[:-1], u[1:]) for end in ("", "s", "x")]
+    form = spark.createDataFrame([(" " + "  ".join(words) + " ",)], "form string")
+    listed, tree = form.select(*[F.regexp_replace("form", p, " % ") for p in (decontam.UNIT_PATTERN, decontam.UNIT_TREE)]).first()
+    assert listed == tree and listed.count("%") >= len(decontam.UNITS)
