@@ -254,3 +254,13 @@ def test_units_are_found_letter_by_letter(spark):
     form = spark.createDataFrame([(" " + "  ".join(words) + " ",)], "form string")
     listed, tree = form.select(*[F.regexp_replace("form", p, " % ") for p in (decontam.UNIT_PATTERN, decontam.UNIT_TREE)]).first()
     assert listed == tree and listed.count("%") >= len(decontam.UNITS)
+
+
+def test_word_counts_reach_the_driver_as_columns(spark, monkeypatch):
+    """A Row object for each of 262,144 buckets took more of the driver's memory than the pipeline has."""
+    lines = spark.createDataFrame([(i, f"a b{i}") for i in range(40)], "id long, words string")
+    buckets = {w: r["b"] for w in ("a", "b7") for r in spark.range(1).select(
+        F.pmod(F.xxhash64(F.lit(w)), F.lit(1 << line_dedup.RARITY_BITS)).cast("int").alias("b")).collect()}
+    monkeypatch.setattr(type(lines), "collect", lambda self: pytest.fail("rows were collected"))
+    table = line_dedup.rarity(lines)
+    assert len(table) == 1 << line_dedup.RARITY_BITS and table[buckets["a"]] == 16 and table[buckets["b7"]] == 0
