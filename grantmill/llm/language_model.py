@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,10 @@ WINDOW = 24
 SAMPLE, PASSES = 600, 3
 LANES = 64
 RATE = 0.004
+#: Rows for which output probabilities are formed at once; it only steers the use of memory.
+BLOCK = 2048
+#: Tokens whose states are kept before their probabilities are formed; likewise.
+SPAN = 65_536
 
 
 def log_floor(count: float, total: float, kinds: float) -> float:
@@ -111,23 +116,54 @@ class Model:
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of the next tokens ``y`` after states ``h``; for rare ones, of their class."""
         w_c, b_c, w_w, b_w = self.parts[4:]
-        classes = y // CLASS_SIZE
-        logits = h @ w_c + b_c
-        out = logits[np.arange(len(y)), classes] - _log_sum(logits)
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        for c in np.unique(classes):
-            if c == CLASSES:
-                continue
-            rows = order[bounds[c] : bounds[c + 1]]
-            inner = h[rows] @ w_w[c] + b_w[c]
-            out[rows] += inner[np.arange(len(rows)), y[rows] % CLASS_SIZE] - _log_sum(inner)
+        order = np.argsort(y.astype(np.int16), kind="stable")  # by class, so that a class is a slice
+        out = np.empty(len(y), np.float32)
+        for start in range(0, len(y), BLOCK):  # blocks that stay in the cache
+            rows = order[start : start + BLOCK]
+            hs, target = h[rows], y[rows]
+            classes, at = target // CLASS_SIZE, np.arange(len(rows))
+            logits = hs @ w_c + b_c
+            p = logits[at, classes] - _log_sum(logits)
+            inner = _inside(hs, classes, w_w, b_w)
+            p[: len(inner)] += inner[at[: len(inner)], target[: len(inner)] % CLASS_SIZE] - _log_sum(inner)
+            out[rows] = p
         return out
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of each row, which ``x`` holds afterwards, up to a factor."""
     top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return top + np.log(x.sum(axis=1))
+
+
+def _slices(classes: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The rows of each class but the last, of rows in the order of their classes."""
+    bounds = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
+    for c in range(CLASSES):
+        if bounds[c] < bounds[c + 1]:
+            yield c, slice(bounds[c], bounds[c + 1])
+
+
+def _inside(hs: np.ndarray, classes: np.ndarray, w_w: np.ndarray, b_w: np.ndarray) -> np.ndarray:
+    """Logits of the tokens inside the class of each row; rows of the last class, which come last, have none."""
+    inner = b_w[classes[: np.searchsorted(classes, CLASSES)]]
+    for c, rows in _slices(classes):
+        inner[rows] += hs[rows] @ w_w[c]
+    return inner
+
+
+def _softmax(x: np.ndarray) -> None:
+    """Rows of logits become probabilities, in place."""
+    x -= x.max(axis=1)[:, None]
+    np.exp(x, out=x)
+    x /= x.sum(axis=1)[:, None]
+
+
+def _by_lane(x: np.ndarray) -> np.ndarray:
+    """(time, units, lanes) as rows of units, a row for each time and lane."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
 
 
 class Trainer:
@@ -135,81 +171,111 @@ class Trainer:
 
     def __init__(self, model: Model, rate: float = RATE):
         self.model, self.rate, self.turn = model, rate, 0
-        self.first = [np.zeros_like(p) for p in model.parts]
-        self.second = [np.zeros_like(p) for p in model.parts]
+        # weights, gradients and moments each lie in one piece; the parts are views of it
+        self.weights = model.flat()
+        self.grad, self.first, self.second = (np.zeros_like(self.weights) for _ in range(3))
+        ends = np.cumsum([p.size for p in model.parts])
+        shapes = [(slice(end - p.size, end), p.shape) for end, p in zip(ends, model.parts)]
+        model.parts = [self.weights[s].reshape(shape) for s, shape in shapes]
+        self.grads = [self.grad[s].reshape(shape) for s, shape in shapes]
 
     def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One update on inputs and targets of shape (time, lanes); returns the state after it.
 
-        A target below zero is padding and counts for nothing.
+        A target below zero is padding and counts for nothing.  Arrays of a time
+        step are (units, lanes), so that a gate is one piece of memory.
         """
-        m, k = self.model, HIDDEN
-        table, u_zr, u_n, _, w_c, b_c, w_w, b_w = m.parts
+        m, k, grads = self.model, HIDDEN, self.grads
+        table, u_zr, u_n, bias, w_c, b_c, w_w, b_w = m.parts
         steps, lanes = x.shape
-        kept, states = [], [h]
+        gates = np.ascontiguousarray((table[x] + bias).transpose(0, 2, 1))  # z, r and n of each step, in place of their inputs
+        states, reset = np.empty((steps + 1, k, lanes), np.float32), np.empty((steps, k, lanes), np.float32)
+        states[0] = h.T
+        into_zr, into_n = np.ascontiguousarray(u_zr.T), np.ascontiguousarray(u_n.T)
         for t in range(steps):
-            h, *rest = m.step(x[t], h)
-            kept.append(rest)
-            states.append(h)
-        live = np.argsort(y.ravel(), kind="stable")  # by class, so that a class is a slice
+            zr, n, after, rh = gates[t, : 2 * k], gates[t, 2 * k :], states[t + 1], reset[t]
+            zr += into_zr @ states[t]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(zr[k:], states[t], out=rh)
+            n += into_n @ rh
+            np.tanh(n, out=n)
+            np.subtract(states[t], n, out=after)
+            after *= zr[:k]
+            after += n
+        self.grad[:] = 0
+        live = np.argsort(y.ravel().astype(np.int16), kind="stable")  # by class, so that a class is a slice
         live = live[np.searchsorted(y.ravel()[live], 0) :]
-        hs, target = np.concatenate(states[1:])[live], y.ravel()[live]
-        grads = [np.zeros_like(p) for p in m.parts]
+        hs, target = _by_lane(states[1:])[live], y.ravel()[live]
         scale = 1 / len(target)
-        classes = target // CLASS_SIZE
-        logits = hs @ w_c + b_c
-        p = np.exp(logits - _log_sum(logits)[:, None])
-        p[np.arange(len(target)), classes] -= 1
+        classes, at = target // CLASS_SIZE, np.arange(len(target))
+        p = hs @ w_c + b_c
+        _softmax(p)
+        p[at, classes] -= 1
         p *= scale
-        grads[4], grads[5] = hs.T @ p, p.sum(axis=0)
+        np.matmul(hs.T, p, out=grads[4])
+        p.sum(axis=0, out=grads[5])
         dh_out = p @ w_c.T
-        bounds = np.searchsorted(classes, np.arange(CLASSES + 1))
-        for c in np.unique(classes):
-            if c == CLASSES:
-                continue
-            rows = slice(bounds[c], bounds[c + 1])
-            inner = hs[rows] @ w_w[c] + b_w[c]
-            q = np.exp(inner - _log_sum(inner)[:, None])
-            q[np.arange(len(q)), target[rows] % CLASS_SIZE] -= 1
-            q *= scale
-            grads[6][c], grads[7][c] = hs[rows].T @ q, q.sum(axis=0)
-            dh_out[rows] += q @ w_w[c].T
+        q = _inside(hs, classes, w_w, b_w)
+        _softmax(q)
+        q[at[: len(q)], target[: len(q)] % CLASS_SIZE] -= 1
+        q *= scale
+        for c, rows in _slices(classes):
+            part = q[rows]
+            np.matmul(hs[rows].T, part, out=grads[6][c])
+            part.sum(axis=0, out=grads[7][c])
+            dh_out[rows] += part @ w_w[c].T
         dh_all = np.zeros((steps * lanes, k), np.float32)
         dh_all[live] = dh_out
-        dh_out = dh_all.reshape(steps, lanes, k)
-        dh = np.zeros((lanes, k), np.float32)
-        inputs = np.zeros((steps, lanes, 3 * k), np.float32)
+        dh_out = np.ascontiguousarray(dh_all.reshape(steps, lanes, k).transpose(0, 2, 1))
+        z, r, n, before = gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k :], states[:-1]
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * (z * (1 - z)), before * (r * (1 - r))
+        inputs = np.empty((steps, 3 * k, lanes), np.float32)
+        dh = np.zeros((k, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
-            z, r, n, rh = kept[t]
-            before = states[t]
-            dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            drh = dn @ u_n.T
-            dr = drh * before * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
-            grads[1] += before.T @ dzr
-            grads[2] += rh.T @ dn
-            inputs[t] = np.concatenate([dzr, dn], axis=1)
-            dh = dh * z + drh * r + dzr @ u_zr.T
-        flat = inputs.reshape(-1, 3 * k)
-        grads[3] = flat.sum(axis=0)
-        order = np.argsort(x.ravel(), kind="stable")
-        seen, begins = np.unique(x.ravel()[order], return_index=True)
-        grads[0][seen] = np.add.reduceat(flat[order], begins)
-        self._apply(grads)
-        return states[-1]
-
-    def _apply(self, grads: list[np.ndarray]) -> None:
+            d = inputs[t]
+            dh += dh_out[t]
+            np.multiply(dh, to_z[t], out=d[:k])
+            np.multiply(dh, to_n[t], out=d[2 * k :])
+            drh = u_n @ d[2 * k :]
+            np.multiply(drh, to_r[t], out=d[k : 2 * k])
+            dh *= z[t]
+            drh *= r[t]
+            dh += drh
+            dh += u_zr @ d[: 2 * k]
+        flat = _by_lane(inputs)
+        np.matmul(_by_lane(before).T, flat[:, : 2 * k], out=grads[1])
+        np.matmul(_by_lane(reset).T, flat[:, 2 * k :], out=grads[2])
+        flat.sum(axis=0, out=grads[3])
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
+        at = x.ravel()[order]
+        begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        grads[0][at[begins]] = np.add.reduceat(flat[order], begins)
+        self._apply()
+        return np.ascontiguousarray(states[-1].T)
+
+    def _apply(self) -> None:
         self.turn += 1
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
-        cut = min(1.0, 1.0 / (norm + 1e-9))
-        rate = self.rate * math.sqrt(1 - 0.99**self.turn) / (1 - 0.9**self.turn)
-        for p, g, a, b in zip(self.model.parts, grads, self.first, self.second):
-            g = g * np.float32(cut)
-            a += np.float32(0.1) * (g - a)
-            b += np.float32(0.01) * (g * g - b)
-            p -= np.float32(rate) * a / (np.sqrt(b) + np.float32(1e-6))
+        norm = math.sqrt(sum(float(np.dot(g.ravel(), g.ravel())) for g in self.grads))
+        cut = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        rate = np.float32(self.rate * math.sqrt(1 - 0.99**self.turn) / (1 - 0.9**self.turn))
+        for start in range(0, len(self.grad), 16_384):  # blocks that stay in the cache
+            p, g, a, b = (v[start : start + 16_384] for v in (self.weights, self.grad, self.first, self.second))
+            g *= cut
+            step = g - a
+            step *= np.float32(0.1)
+            a += step
+            g *= g
+            g -= b
+            g *= np.float32(0.01)
+            b += g
+            np.sqrt(b, out=step)
+            step += np.float32(1e-6)
+            np.divide(a, step, out=step)
+            step *= rate
+            p -= step
 
     def documents(self, docs: Iterator[np.ndarray]) -> int:
         """Train on token ids of documents as they come; returns the tokens used, which are all.
@@ -280,7 +346,9 @@ def score_batch(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     at = 0
     while at < lengths[0]:
         states, targets, owners = [], [], []
-        for t in range(at, min(at + 64, int(lengths[0]))):
+        going = int(np.searchsorted(-lengths, -at, side="left"))
+        span = min(max(1, SPAN // going), int(lengths[0]) - at)
+        for t in range(at, at + span):
             n = int(np.searchsorted(-lengths, -t, side="left"))  # documents longer than t
             h_new = model.step(last[:n], h[:n])[0]
             y = flat[starts[:n] + t]
@@ -295,7 +363,7 @@ def score_batch(model: Model, docs: list[np.ndarray]) -> np.ndarray:
         for n in owners:
             out[:n] += p[begin : begin + n]
             begin += n
-        at += 64
+        at += span
     result = np.zeros(len(docs))
     result[order] = out
     return result
@@ -349,8 +417,9 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, dict[bytes, int]]:
 
 
 def _ids(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
-    get = ids.get
-    return np.array([get(w, VOCABULARY) for w in words_of(text)] + [0], dtype=np.int64)
+    words = words_of(text)
+    words.append(END)
+    return np.fromiter(map(ids.get, words, repeat(VOCABULARY)), np.int64, len(words))
 
 
 def _chunks(flat: np.ndarray, weight: float) -> list[tuple[int, bytes, float]]:
@@ -418,18 +487,30 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
     return Model.of(flat)
 
 
-def score(docs: DataFrame, lanes: int = 1024) -> DataFrame:
-    """Learn from the training fold and score every document."""
+def known_tokens(table: dict[bytes, int]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Places of the tokens of ``table``, and their counts and logarithms by place.
+
+    Places below ``VOCABULARY`` are the ids of the model's vocabulary; the last place stands for all other tokens.
+    """
+    places = {END: 0} | {t: i + 1 for i, t in enumerate(t for t in table if t != END)}
+    counts, logs = (np.zeros(max(len(places), VOCABULARY) + 1) for _ in range(2))
+    counts[: len(places)] = [table[t] for t in places]
+    logs[: len(places)] = [math.log10(table[t] + 0.1) for t in places]
+    return places, counts, logs
+
+
+def score(docs: DataFrame, lanes: int = 4096) -> DataFrame:
+    """Learn from the training fold and score every document; ``lanes`` documents run in step."""
     spark = docs.sparkSession
     counts = stored(token_counts(docs), "token-counts")
     vocab, table = vocabulary(counts)
     model = train(docs, vocab)
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    held = spark.sparkContext.broadcast((vocab, table, model.flat()))
+    held = spark.sparkContext.broadcast((*known_tokens(table), model.flat()))
 
     # tokens outside the table look their counts up in a shuffle, one row a document and token
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value[1]
+        known = held.value[0]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -454,9 +535,8 @@ def score(docs: DataFrame, lanes: int = 1024) -> DataFrame:
         F.sum(F.when(F.col("n") > 0, F.col("tf"))).alias("rare_known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, table, flat = held.value
-        model = Model.of(flat)
-        logs = {t: math.log10(n + 0.1) for t, n in table.items()}
+        places, counts, logs, flat = held.value
+        model, other = Model.of(flat), len(counts) - 1
         for batch in batches:
             for start in range(0, batch.num_rows, lanes):
                 part = batch.slice(start, lanes)
@@ -464,13 +544,13 @@ def score(docs: DataFrame, lanes: int = 1024) -> DataFrame:
                 for text in part.column(2):
                     words = words_of(text.as_py())
                     words.append(END)
-                    docs_ids.append(np.array([vocab.ids.get(w, VOCABULARY) for w in words], dtype=np.int64))
-                    seen = [logs[w] for w in words if w in logs]
+                    at = np.fromiter(map(places.get, words, repeat(other)), np.int64, len(words))
+                    log = logs[at]
                     # what the classes of the vocabulary leave to the shuffle: rare tokens the table holds
-                    inside = [logs[w] for w in words if w in logs and w not in vocab.ids]
-                    base.append((math.fsum(seen), math.fsum(inside)))
-                    known.append(sum(1 for w in words if table.get(w)))
+                    base.append((float(log.sum()), float(log[at >= VOCABULARY].sum())))
+                    known.append(int(np.count_nonzero(counts[at])))
                     count.append(len(words))
+                    docs_ids.append(np.minimum(at, VOCABULARY).astype(np.int16))
                 p = score_batch(model, docs_ids) / math.log(10)
                 rare_n = [int((d == VOCABULARY).sum()) for d in docs_ids]
                 yield pa.RecordBatch.from_arrays(

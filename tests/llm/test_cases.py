@@ -264,3 +264,25 @@ def test_word_counts_reach_the_driver_as_columns(spark, monkeypatch):
     monkeypatch.setattr(type(lines), "collect", lambda self: pytest.fail("rows were collected"))
     table = line_dedup.rarity(lines)
     assert len(table) == 1 << line_dedup.RARITY_BITS and table[buckets["a"]] == 16 and table[buckets["b7"]] == 0
+
+
+def test_language_model_gradient_is_that_of_the_scores():
+    """The step in one piece of memory follows the slope of the log probability that scoring gives."""
+    rng = np.random.default_rng(5)
+    model = language_model.Model.new()
+    ids = [np.append(np.minimum(rng.pareto(0.4, n) * 9, language_model.VOCABULARY).astype(np.int64), 0) for n in (20, 20, 20)]
+    flat, y = model.flat(), np.stack(ids, axis=1)
+    x = np.concatenate([np.zeros((1, 3), np.int64), y[:-1]])
+    trainer = language_model.Trainer(model)
+    trainer._apply = lambda: None
+    trainer.window(x, y, np.zeros((3, language_model.HIDDEN), np.float32))
+    slope = trainer.grad / np.linalg.norm(trainer.grad)
+    up, down = (-language_model.score_batch(language_model.Model.of(flat + e * slope), ids).sum() / y.size for e in (0.02, -0.02))
+    assert (up - down) / 0.04 == pytest.approx(np.linalg.norm(trainer.grad), rel=0.02)
+
+
+def test_known_tokens_have_the_places_of_the_vocabulary():
+    table = {b"b": 4, b"a": 3, language_model.END: 2}
+    places, counts, logs = language_model.known_tokens(table)
+    assert places == {language_model.END: 0, b"b": 1, b"a": 2} and counts[:4].tolist() == [2, 4, 3, 0]
+    assert len(counts) == language_model.VOCABULARY + 1 and logs[-1] == 0 and logs[1] == pytest.approx(np.log10(4.1))
