@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import line_dedup
-from .common import stored, words_of
+from .common import discard, stored, words_of
 from .components import components
 
 SHINGLE = 3
@@ -183,7 +183,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     copies = stored(every.select("id").join(chosen.select("id"), "id", "left_anti"), "copied-sets")
     distinct = every.where("words <> ''").select("id", "words").join(copies, "id", "left_anti")
     near = stored(print_pairs(chosen.select("id", "fp")), "print-pairs")
-    pairs = stored(line_dedup.matches(distinct, also=near), "near-copies", settings=line_dedup.BY_CELL_ALONE)
+    checked = line_dedup.matches(distinct, also=near)
+    discard(every)  # what the check reads of the sets is stored anew; both would be the most disk of the pipeline
+    pairs = stored(checked, "near-copies", settings=line_dedup.BY_CELL_ALONE)
     member = components(pairs).withColumnRenamed("node", "id")
     named = chosen.select("id", "first").join(member, "id", "left").withColumn("component", F.coalesce("component", "id"))
     found = stored(named.groupBy("component").agg(F.min("first").alias("doc_id")).select("doc_id").distinct(), "kept-ids")

@@ -51,6 +51,28 @@ def test_line_matches_do_not_depend_on_cells(spark):
     assert whole == cut == {(i, j) for i, v in sets for j, w in sets if i < j and len(v & w) * 5 >= len(v | w) * 4} and len(whole) > 50
 
 
+def test_crowded_near_copies_form_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(f"x{rng.randrange(99)}" if rng.random() < 0.05 else w for w in base)) for i in range(1200, 1000, -1)]
+    rows += [(300 + i, "short line " + "abcdefghi"[i % 9] + f"\n{rng.random()} alone") for i in range(30)] + [(1500, rows[7][1]), *ODD]
+    asked, before = [], line_dedup.stored
+
+    def stored(df, purpose, *args, **options):
+        out = before(df, purpose, *args, **options)
+        if purpose == "line-candidates":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    gone = line_dedup.repeated_lines(docs(spark, rows))
+    want = {place for place, removed in line_dedup.brute_force(rows).items() if removed}
+    assert {tuple(r) for r in gone.collect()} == want and len(want) > 190
+    few = sum(asked)
+    line_dedup.drop_lines(docs(spark, rows)).count()
+    assert sum(asked) == 2 * few < 200 * 199 / 2 / 4
+
+
 def test_line_dedup_keeps_columns_and_clean_documents(spark):
     d = docs(spark, [(11, "one two three\nfour five six"), (12, "seven\none two three"), (13, "one two three"), *ODD[:2]])
     after = line_dedup.drop_lines(d)
@@ -210,6 +232,23 @@ def test_near_copies_go_through_the_fingerprints(spark, monkeypatch):
     assert simhash.keep_one(docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")])).count() == 2 and asked
 
 
+def test_shingle_sets_are_gone_before_near_copies_are_checked(spark, monkeypatch):
+    left, before = {}, simhash.stored
+
+    def stored(df, purpose, *args, **options):
+        if purpose == "near-copies":
+            left.update({name: spark.read.parquet(path).count() for name, path in left.items()})
+        out = before(df, purpose, *args, **options)
+        if purpose == "shingle-sets":
+            left[purpose] = out.inputFiles()[0].rsplit("/", 1)[0]
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    text = " ".join(f"w{i}" for i in range(60))
+    after = simhash.keep_one(docs(spark, [(1, text), (2, text + " more"), (3, text + " more"), (4, "x y z"), (5, None)]))
+    assert sorted(r["doc_id"] for r in after.collect()) == [1, 4, 5] and left == {"shingle-sets": 0}
+
+
 ITEM = ("tom has 5 apples and gives 3 apples to his friend Anna before he walks with her along the quiet river to the old mill, "
         "where Anna sells all her pears and asks him how many apples are left over")
 
