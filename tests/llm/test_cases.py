@@ -51,6 +51,25 @@ def test_line_matches_do_not_depend_on_cells(spark):
     assert whole == cut == {(i, j) for i, v in sets for j, w in sets if i < j and len(v & w) * 5 >= len(v | w) * 4} and len(whole) > 50
 
 
+def test_long_texts_that_share_few_words_form_no_pairs(spark):
+    rng = random.Random(11)
+    table, rows = bytes(1 << line_dedup.RARITY_BITS), []
+    for i in range(40):  # each shares eight words with all others and none besides
+        rows.append({f"t{i}w{j}" for j in range(300)} | {f"same{j}" for j in range(8)})
+    apart = len(rows)
+    for n in (40, 63, 64, 65, 96, 127, 128, 200, 320, 700):  # about and at the similarity that counts
+        base = [f"n{n}w{j}" for j in range(n)]
+        rows += [{f"n{n}x{i}y{j}" if j in gone else w for j, w in enumerate(base)} | {f"n{n}x{i}z{j}" for j in range(more)}
+                 for i in range(6) for more in [rng.randrange(n // 8)] for gone in [set(rng.sample(range(n), n * i // 45))]]
+        rows += [set(base), set(base[: n * 4 // 5]), set(base[: n * 4 // 5 - 1])]
+    lines = spark.createDataFrame([(i, " ".join(sorted(r))) for i, r in enumerate(rows)], "id long, words string")
+    asked = {tuple(sorted(r)) for r in line_dedup.candidates(lines, table).select("a", "b").collect()}
+    assert not any(j < apart for _, j in asked)
+    found = {tuple(sorted(r)) for r in line_dedup.matches(lines).collect()}
+    want = {(i, j) for i, v in enumerate(rows) for j, w in enumerate(rows) if i < j and len(v & w) * 5 >= len(v | w) * 4}
+    assert found == want and want <= asked and len(want) > 50
+
+
 def test_crowded_near_copies_form_few_pairs(spark, monkeypatch):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(40)]
